@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import licenses, pieces
+from chunkloom.llm import decontaminate, licenses, pieces, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(table(spark, sf_dir, "documents"), model_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op5_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_toxicity, op5_sentencepiece)}
 ORACLE: dict[str, str] = {}
