@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontaminate, licenses, pieces, toxicity
+from chunkloom.llm import decontaminate, licenses, lines, pieces, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,5 +38,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(table(spark, sf_dir, "documents"), model_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_toxicity, op5_sentencepiece)}
-ORACLE: dict[str, str] = {}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op8_line_dedup)}
+ORACLE: dict[str, str] = {"op6_warc": warc.SQL, "op8_line_dedup": lines.SQL}
