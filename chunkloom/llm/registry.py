@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontaminate, licenses, lines, neardup, pieces, toxicity, warc
+from chunkloom.llm import decontaminate, fingerprints, licenses, lines, neardup, pieces, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,9 +46,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op8_line_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op8_line_dedup, op9_fingerprints, op10_minhash_near_dedup)}
 ORACLE: dict[str, str] = {"op6_warc": warc.SQL, "op8_line_dedup": lines.SQL}
