@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontaminate, fingerprints, licenses, lines, neardup, pieces, toxicity, warc
+from chunkloom.llm import decontaminate, extract, fingerprints, licenses, lines, neardup, pieces, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,5 +58,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op8_line_dedup, op9_fingerprints, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op8_line_dedup, op9_fingerprints, op10_minhash_near_dedup)}
 ORACLE: dict[str, str] = {"op6_warc": warc.SQL, "op8_line_dedup": lines.SQL}
