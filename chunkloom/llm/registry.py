@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontaminate, extract, fingerprints, licenses, lines, neardup, pieces, toxicity, warc
+from chunkloom.llm import decontaminate, extract, fingerprints, licenses, lines, neardup, pieces, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op8_line_dedup, op9_fingerprints, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op7_quality, op8_line_dedup, op9_fingerprints, op10_minhash_near_dedup)}
 ORACLE: dict[str, str] = {"op6_warc": warc.SQL, "op8_line_dedup": lines.SQL}

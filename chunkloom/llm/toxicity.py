@@ -210,9 +210,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SQL_SCHEMA)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, texts: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not toxic; the labels are of ``texts`` or else of ``docs``."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs if texts is None else texts, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
