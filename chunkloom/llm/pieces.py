@@ -114,7 +114,7 @@ class Encoder:
     def confirm(self) -> None:
         """Compare what is new with the library."""
         if self.check and self.fresh:
-            starts = [s[0] == MARK for s in self.fresh]
+            starts = [s[0] == MARK and len(s) > 1 for s in self.fresh]
             theirs = self.library.encode([s[1:] if m else f"\n{s}" for s, m in zip(self.fresh, starts, strict=True)], num_threads=1)
             for s, m, t in zip(self.fresh, starts, theirs, strict=True):
                 ours = (self.new.get(s) or self.old.get(s))[0]
