@@ -195,7 +195,7 @@ def export_bundles(archives: DataFrame, folder: str) -> None:
         where, path = fs.FileSystem.from_uri(folder)
         where.create_dir(path, recursive=True)
         for row in rows:
-            with where.open_output_stream(f"{path}/{row['bundle']}.warc.zst") as f:
+            with where.open_output_stream(f"{path}/{row['bundle']}.warc.zst", compression=None) as f:
                 f.write(row["data"])
 
     archives.select("bundle", "data").foreachPartition(put)
