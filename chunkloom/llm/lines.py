@@ -140,23 +140,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with what is left of their texts, and _n_lines and _n_dropped."""
-    drops = dropped_lines(docs).groupBy("_did", "_rk").agg(F.collect_set("pos").alias("_drop"))
-    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_rk", F.xxhash64("text"))
-    both = keyed.join(drops.hint("shuffle_hash"), ["_did", "_rk"], "left").withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("_n_lines", F.size("_lines").cast("long"))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _drop), i -> _lines[i]), '\n')")
-    return both.withColumn("text", F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)).withColumn("_n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long")).select(*docs.columns, "_n_lines", "_n_dropped")
+    """row (a struct of the columns of ``docs``), kept (what is left of the text), n_lines and n_dropped."""
+    drops = dropped_lines(docs.select("doc_id", "text")).groupBy("_did", "_rk").agg(F.collect_set("pos").alias("_drop"))
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_did"), F.xxhash64(docs["text"]).alias("_rk"))
+    both = keyed.join(drops.hint("shuffle_hash"), ["_did", "_rk"], "left").withColumn("_lines", F.split(F.coalesce("row.text", F.lit("")), "\n"))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _drop), i -> _lines[i]), '\n')")
+    return both.select("row", F.when(F.col("_drop").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(left).alias("kept"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, texts without repeated lines, and ``n_chars``, where there is one, to match."""
-    out = without_repeated_lines(docs).drop("_n_lines", "_n_dropped")
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept")}
+    return without_repeated_lines(docs).select(*(new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("row").getField(f.name).alias(f.name) for f in docs.schema.fields))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
-    return without_repeated_lines(docs.select("doc_id", "text")).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return without_repeated_lines(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""
