@@ -5,8 +5,8 @@ sample: ``severe`` (toxic, and as many different attack terms as the median toxi
 large a share of attack terms), attack terms being those with a high log-odds of ``toxic``. A later model trains on
 out-of-fold probabilities of the earlier categories (``FOLDS`` folds) and so never sees a fit to its own rows.
 
-Features are the presence of words, by 64-bit hash, out of the ``TERMS`` terms that tell most about ``toxic`` (chi-square) in at
-least two sampled texts. The model is fitted on at most ``SAMPLE`` labelled texts per class, chosen by a hash of doc_id: a bounded
+Features are the presence of words, by 64-bit hash, out of the ``TERMS`` terms that tell most about ``toxic`` (chi-square of at
+least ``GAIN``, in ``LEAST`` sampled texts or more). The model is fitted on at most ``SAMPLE`` labelled texts per class, chosen by a hash of doc_id: a bounded
 sample, as a documented parameter; the model is a few hundred kB. All rows are scored in one map, without a shuffle.
 
 Null and empty texts have no words and get the models' bias, which is low. Labels that are null are not used. Without any labelled
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from chunkloom.llm.words import chunks, encoded, word_hashes
 
 SAMPLE, TERMS, FOLDS, RIDGE, CUT = 3000, 16384, 5, 0.02, 0.5
+#: Texts a term must be in, and its least chi-square (0.1 % by chance).
+LEAST, GAIN = 3, 10.83
 CATEGORIES = ("toxic", "severe", "pervasive")
 
 
@@ -147,8 +149,8 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Chain:
     neg = df - pos
     expect = df * p / n
     gain = (pos - expect) ** 2 / expect + (neg - (df - expect)) ** 2 / np.maximum(df - expect, 1e-9)
-    gain[df < 2] = -1
-    best = np.sort(np.argsort(-gain, kind="stable")[: min(TERMS, int((df >= 2).sum()))])
+    gain[df < LEAST] = -1
+    best = np.sort(np.argsort(-gain, kind="stable")[: min(TERMS, int((gain >= GAIN).sum()))])
     new = np.full(len(terms), -1)
     new[best] = np.arange(len(best))
     odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - p - neg + 0.5))
