@@ -24,7 +24,7 @@ SAMPLES, WIDE = 64, 8
 #: Rows, by doc_id, of a range, and the number of ranges whose first ids are broadcast (16 bytes each).
 RANGE, RANGES = 256, 100_000
 _NULL = -(2**62)
-_HALF = 2.0**-31
+_UNIT = 2.0**-21
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -66,12 +66,12 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     """part, place, own and edit: arrays of SAMPLES longs."""
     terms = term_weights(rows).select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // WIDE - 1))).alias("g"))
     drawn = ["part", "place", "g", "ln_own", "ln_edit"]
-    half = F.lit(0x7FFFFFFF).cast("long")
+    bits = F.lit(0x1FFFFF).cast("long")  # 21 bits a draw: u1, u2 and b from x, u3 and u4 from y
     x = [F.xxhash64("term", F.col("g") * WIDE + j) for j in range(WIDE)]
     terms = terms.select(*drawn, *(c.alias(f"x{j}") for j, c in enumerate(x)), *(F.xxhash64("g", "term", F.lit(j)).alias(f"y{j}") for j in range(WIDE)))
-    unit = lambda c: (c + F.lit(0.5)) * F.lit(_HALF)
-    gamma = lambda c: -F.log(unit(F.shiftrightunsigned(c, 33)) * unit(c.bitwiseAND(half)))
-    terms = terms.select(*drawn, *(f"x{j}" for j in range(WIDE)), *(gamma(F.col(f"x{j}")).alias(f"r{j}") for j in range(WIDE)), *(F.log(gamma(F.col(f"y{j}"))).alias(f"c{j}") for j in range(WIDE)), *((F.shiftrightunsigned(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}")), 12).bitwiseAND(half) * F.lit(_HALF)).alias(f"b{j}") for j in range(WIDE)))
+    unit = lambda c: (c + F.lit(0.5)) * F.lit(_UNIT)
+    gamma = lambda c: -F.log(unit(F.shiftrightunsigned(c, 21).bitwiseAND(bits)) * unit(c.bitwiseAND(bits)))
+    terms = terms.select(*drawn, *(f"x{j}" for j in range(WIDE)), *(gamma(F.col(f"x{j}")).alias(f"r{j}") for j in range(WIDE)), *(F.log(gamma(F.col(f"y{j}"))).alias(f"c{j}") for j in range(WIDE)), *((F.shiftrightunsigned(F.col(f"x{j}"), 43) * F.lit(_UNIT)).alias(f"b{j}") for j in range(WIDE)))
 
     def packed(ln: str, j: int) -> Column:
         t = F.floor(F.col(ln) / F.col(f"r{j}") + F.col(f"b{j}"))
