@@ -41,3 +41,29 @@ def mark_key(file_id: Column, day: Column) -> Column:
 
 def split_key(key: Column) -> Column:
     return F.struct(F.split_part(key, F.lit("@"), F.lit(1)).cast("long").alias("file_id"), F.split_part(key, F.lit("@"), F.lit(2)).cast("int").alias("day"))
+
+
+def bit(h: Column, b: int) -> Column:
+    """Bit ``b`` of a hash, as a loupe over a boundary shows it."""
+    return F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long"))
+
+
+def smoothed(values: Column, keep: float = 0.9) -> Column:
+    """The exponentially smoothed end of an array of rates, starting at 0."""
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc * keep + x * (1 - keep))
+
+
+def padded_range(low: Column, high: Column, pad: float = 0.18) -> Column:
+    """Where a small chart's axis begins and ends: the data's range and ``pad`` of it on either side."""
+    span = F.when(high > low, high - low).otherwise(F.lit(1.0))
+    return F.struct((low - pad * span).alias("low"), (high + pad * span).alias("high"))
+
+
+def varint_length(n: Column) -> Column:
+    """Bytes of a number as LEB128."""
+    return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("int")
+
+
+def focus_first(file_id: Column, chosen: int) -> list[Column]:
+    """Sort keys of a queue that puts a chosen file first."""
+    return [(file_id == chosen).desc(), file_id.asc()]

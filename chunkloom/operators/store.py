@@ -82,3 +82,8 @@ def cumulative(decided: DataFrame, *by: str) -> DataFrame:
     wrote = F.when(F.col("kind") == "new", F.col("len")).otherwise(0)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return decided.select(*by, "ord", "len", "kind", F.row_number().over(w).alias("rn"), F.sum("len").over(run).alias("cum_logical"), F.sum(wrote).over(run).alias("cum_written"))
+
+
+def write_store(packed: DataFrame, payload: DataFrame, path: str) -> None:
+    """Containers as a Parquet table partitioned by shard: chunk_id, container, coff, rec_len, bytes. Written anew each time."""
+    packed.join(payload.select("chunk_id", "bytes"), "chunk_id").write.mode("overwrite").partitionBy("shard").parquet(path)

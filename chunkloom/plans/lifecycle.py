@@ -156,6 +156,17 @@ def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.restores(bodies(spark, sf_dir), DedupConfig(bits=9, container_bytes=32 * 1024, delta=True), DAYS)
 
 
+@query()
+def generated_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty generated files through a month by type: ratio, write amplification, collections. Seeded; tests check its invariants."""
+    out = None
+    for kind in ("code", "vm", "logs"):
+        cfg = DedupConfig(bits=10, container_bytes=256 * 1024)
+        one = lifecycle.write_amplification(lifecycle.simulate(lifecycle.generated_backups(spark, cfg, kind, files=24, kilobytes=32), cfg, DAYS)).select(F.lit(kind).alias("type"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"{SERIES} SELECT day, 'backup' AS kind, count(*) AS n, max(logical)::BIGINT AS bytes FROM s GROUP BY day UNION ALL SELECT day + {KEEP + 1}, 'expire', count(*), 0 FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY day")
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What happened: backups and expiries."""

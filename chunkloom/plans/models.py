@@ -98,6 +98,16 @@ def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("file_id", report.byte_size(n).alias("size"), report.hex_window(F.col("body"), n - 1, 16).alias("tail"), report.mark_key(F.col("file_id"), (F.col("file_id") % 30)).alias("key"), F.format_string("file-%03d.%s", F.col("file_id") + 1, F.col("lang")).alias("name"))
 
 
+@query(f"""WITH {FILES_SQL} SELECT file_id, k::INT AS k, (('0x' || hex(body[k * octet_length(body) // 64 + 1 : k * octet_length(body) // 64 + 1]))::INT & 63) / 63.0::DOUBLE AS shade
+FROM files, range(64) t(k) WHERE file_id % 50 = 0 AND octet_length(body) > 0""")
+def file_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty-four evenly spaced bytes of every fiftieth file (a picture of it), as shades."""
+    f = files(spark, sf_dir).filter((F.col("file_id") % 50 == 0) & (F.octet_length("body") > 0))
+    k = f.select("file_id", "body", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    byte = F.conv(F.hex(F.substring("body", (F.floor(F.col("k") * F.octet_length("body") / 64) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return k.select("file_id", "k", (byte.bitwiseAND(F.lit(63)) / 63.0).alias("shade"))
+
+
 @query(f"""{BLOCKS}, g AS (SELECT lang, count(*) AS n FROM chunks GROUP BY lang), m AS (SELECT *, pow(10, floor(log10(n))) AS p FROM g)
 SELECT lang, n, (CASE WHEN n / p <= 1 THEN 1 WHEN n / p <= 2 THEN 2 WHEN n / p <= 5 THEN 5 ELSE 10 END * p)::DOUBLE AS axis, regexp_replace(n::VARCHAR, '(\\d)(?=(\\d{{3}})+$)', '\\1,', 'g') AS shown FROM m""".replace("regexp_replace(n::VARCHAR, '(\\d)(?=(\\d{3})+$)', '\\1,', 'g')", "format('{:,}', n)"))
 def axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

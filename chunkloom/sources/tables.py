@@ -41,3 +41,9 @@ FILES_SQL = "files AS (SELECT doc_id AS file_id, lang, source, encode(coalesce(t
 def blocks_sql(size: int = 256, body: str = "files") -> str:
     """DuckDB CTE ``chunks`` of fixed blocks."""
     return f"chunks AS (SELECT file_id, lang, source, i::INT AS seq, (i * {size})::BIGINT AS off, least({size}, octet_length(body) - i * {size})::BIGINT AS len, md5(body[i * {size} + 1 : least((i + 1) * {size}, octet_length(body))]) AS fp, file_id * {SPAN} + i AS ord FROM {body}, range(((octet_length(body) + {size - 1}) // {size})::BIGINT) t(i))"
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_id (38 bits of a hash of the path, so that ``ord`` keys fit), name and body of real files, by Spark's binary source."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return f.select(F.pmod(F.xxhash64("path"), F.lit(1 << 38)).alias("file_id"), F.col("path").alias("name"), F.col("content").alias("body"))

@@ -227,3 +227,55 @@ def test_stream_windows(spark, tmp_path):
     q.awaitTermination(120)
     want = e.groupBy(F.to_date("ts"), "event_type").count().count()
     assert spark.table("days_seen").count() == want
+
+
+def test_population_keeps_its_rules():
+    cfg = DedupConfig(deaths_per_day=2, births_per_day=1)
+    p = lifecycle.population(cfg, 20, 40, 0.1)
+    there = p[p.event.fillna("") != "death"]
+    assert (there.groupby("day").size() >= 10).all() and (there[there.day == 0].version == 0).all() and set(p.event.dropna()) == {"death", "birth", "change"}
+    births = p[p.event == "birth"]
+    assert (births.born == births.day).all() and (births.version == 0).all()
+    assert lifecycle.population(cfg, 20, 40, 0.1).equals(p)
+
+
+def test_generated_month_lives_and_restores(spark):
+    cfg = DedupConfig(bits=10, container_bytes=64 * 1024, delta=True)
+    b = lifecycle.generated_backups(spark, cfg, files=6, kilobytes=16, days=15)
+    s = lifecycle.simulate(b, cfg, 15).orderBy("day").toPandas()
+    assert s["written"].iloc[0] > s["written"].iloc[-1] and (s["logical"] > 0).all()
+    assert lifecycle.restores(b, cfg, 15).filter("not verified").count() == 0
+
+
+def test_sql_functions(spark):
+    from chunkloom.functions import sql
+
+    sql.register(spark)
+    body = generate.pool(5000, 1)
+    spark.createDataFrame([(1, body, body[:2000] + b"x" + body[2000:]), (2, b"", b"q"), (3, None, b"z")], "id long, a binary, b binary").createOrReplaceTempView("pairs")
+    got = spark.sql("SELECT id, delta_apply(a, delta_encode(a, b), octet_length(b)) = b AS same, first_diff(a, b) AS d, size(cdc_cuts(a, 8)) AS n FROM pairs ORDER BY id").collect()
+    assert [x.same for x in got] == [True] * 3 and got[0].d == 2000 and got[1].d == 0
+    parts = spark.sql("SELECT p.id, c.* FROM pairs p, LATERAL chunk_bytes(p.a, 8) c WHERE p.id = 1").collect()
+    assert len(parts) == got[0].n and sum(x.len for x in parts) == 5000
+    ops = spark.sql("SELECT o.op FROM pairs p, LATERAL parse_record(delta_encode(p.a, p.b)) o WHERE p.id = 1 ORDER BY o.k").collect()
+    assert [x.op for x in ops] == ["copy", "insert", "copy"]
+
+
+def test_files_and_store_on_disk(spark, tmp_path):
+    from chunkloom.sources.tables import binary_files
+
+    for i in range(3):
+        (tmp_path / f"f{i}.bin").write_bytes(generate.pool(3000, i // 2))
+    f = binary_files(spark, str(tmp_path))
+    c = chunking.fixed_chunks(f.select("file_id", "body"), 512, keep=True)
+    new = c.groupBy("fp").agg(F.min("ord").alias("chunk_id"), F.min_by("bytes", "ord").alias("bytes"))
+    packed = store.pack(new.select(F.lit(0).alias("shard"), "chunk_id", (F.octet_length("bytes") + 1).cast("long").alias("rec_len")), 2048, "shard")
+    store.write_store(packed, new, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 12
+
+
+def test_report_functions(spark):
+    from chunkloom.functions import report
+
+    r = spark.createDataFrame([(0, [10.0, 10.0]), (127, []), (128, []), (16384, [])], "n long, v array<double>").select("n", report.varint_length(F.col("n")).alias("len"), report.smoothed(F.col("v")).alias("s"), report.bit(F.col("n"), 7).alias("b"), report.split_key(report.mark_key(F.col("n"), F.lit(3))).alias("k"), report.padded_range(F.lit(0.0), F.lit(100.0)).alias("p")).orderBy("n").collect()
+    assert [x.len for x in r] == [1, 1, 2, 3] and abs(r[0].s - 1.9) < 1e-9 and [x.b for x in r] == [0, 0, 1, 0] and r[2].k.file_id == 128 and r[2].k.day == 3 and r[0].p.high == 118.0
