@@ -223,19 +223,24 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
         return pa.table({"block": asked["block"], "shard": asked["shard"], "said": pa.array(out, pa.binary())})
 
     def total(block: pa.Table, said: pa.Table) -> pa.Table:
-        texts = _texts(block["text"])
-        keys, z = distinct_keys(texts), zstandard.ZstdDecompressor()
+        # keys once, piece by piece: the pieces' distinct keys give the block's, in the order in which the shards were asked
+        texts, z, parts = _texts(block["text"]), zstandard.ZstdDecompressor(), []
+        for a, b in chunks([len(t) for t in texts]):
+            g, begin = grams(texts[a:b])
+            u, at = np.unique(g, return_inverse=True)
+            parts.append((u, at.astype(np.int32), begin))
+        keys = np.unique(np.concatenate([u for u, *_ in parts])) if parts else np.empty(0, _U)
         where, value = shard_of(keys, shards), np.zeros(len(keys))
         order = np.argsort(where, kind="stable")
         cut = np.searchsorted(where[order], np.arange(shards + 1))
         for s, x in zip(said["shard"].to_pylist(), said["said"], strict=True):
             value[order[cut[s] : cut[s + 1]]] = np.frombuffer(z.decompress(x.as_py()), np.uint16) * STEP
         out = []
-        for a, b in chunks([len(t) for t in texts]):
-            g, begin = grams(texts[a:b])
-            n, mean = np.diff(begin), np.full(b - a, np.nan)
-            if len(g):
-                mean[n > 0] = np.add.reduceat(value[np.searchsorted(keys, g)], begin[:-1][n > 0]) / n[n > 0]
+        for u, at, begin in parts:
+            n = np.diff(begin)
+            mean = np.full(len(n), np.nan)
+            if len(at):
+                mean[n > 0] = np.add.reduceat(value[np.searchsorted(keys, u)][at], begin[:-1][n > 0]) / n[n > 0]
             out.append(mean)
         return pa.table({"doc_id": block["doc_id"], "lang": block["lang"], "nats": pa.array(np.concatenate(out), from_pandas=True)})
 
