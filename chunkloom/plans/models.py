@@ -47,7 +47,7 @@ def retention_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.lit("full").alias("strategy"), F.col("full").alias("bytes")).unionByName(l.select(F.lit("incremental").alias("strategy"), F.col("inc").alias("bytes"))).unionByName(d.select(F.lit("dedup").alias("strategy"), "bytes"))
 
 
-@query("SELECT n AS night, n * 2.0 AS logical_tb, round(2.0 + (n - 1) * 2.0 * 0.16, 6) AS physical_tb FROM (SELECT unnest(range(1, 13))::INT AS n)")
+@query("SELECT n AS night, n * 2.0::DOUBLE AS logical_tb, round(2.0::DOUBLE + (n - 1) * 2.0::DOUBLE * 0.16::DOUBLE, 6) AS physical_tb FROM (SELECT unnest(range(1, 13))::INT AS n)")
 def growth_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve nights of 2 TB, a sixth of it new each night (a formula, not a measurement)."""
     n = F.col("night")

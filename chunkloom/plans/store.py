@@ -116,11 +116,11 @@ def trace_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(n, "lang").groupBy("lang", "stride").agg(F.count_if(F.col("rn") % F.col("stride") == 0).alias("kept"))
 
 
-@query(f"{TRACE}, x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ord DESC) AS back FROM t) SELECT lang, count(*) AS shown, count(*) FILTER (kind = 'new') AS new_chunks, count(*) FILTER (kind = 'dup') AS references FROM x WHERE back <= 600 GROUP BY lang")
+@query(f"{TRACE}, x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ord DESC) AS back FROM t) SELECT lang, count(*) AS shown, count(*) FILTER (kind = 'new') AS new_chunks, count(*) FILTER (kind = 'dup') AS refs_shown FROM x WHERE back <= 600 GROUP BY lang")
 def tail_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 600 chunks of each language (a limited view of the stream)."""
     t = traced(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("ord"))))
-    return t.filter("back <= 600").groupBy("lang").agg(F.count("*").alias("shown"), F.count_if(F.col("kind") == "new").alias("new_chunks"), F.count_if(F.col("kind") == "dup").alias("references"))
+    return t.filter("back <= 600").groupBy("lang").agg(F.count("*").alias("shown"), F.count_if(F.col("kind") == "new").alias("new_chunks"), F.count_if(F.col("kind") == "dup").alias("refs_shown"))
 
 
 @query(f"{DECIDED}, f AS (SELECT source, file_id, sum(len) AS len, sum(len) FILTER (ord = chunk_id) AS wrote FROM d GROUP BY ALL) SELECT source, file_id, (sum(len) OVER w)::BIGINT AS cum_logical, (sum(coalesce(wrote, 0)) OVER w)::BIGINT AS cum_written, row_number() OVER w AS files_done FROM f WINDOW w AS (PARTITION BY source ORDER BY file_id)")

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -25,7 +26,7 @@ def duck():
 
 
 def rows(found):
-    return sorted(tuple("null" if v is None else repr(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in found)
+    return sorted(tuple("null" if v is None else repr(float(v)) if isinstance(v, (int, float, Decimal)) else str(v) for v in r) for r in found)
 
 
 @needs_data
