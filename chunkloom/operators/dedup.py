@@ -41,28 +41,34 @@ def totals(occ: DataFrame, *by: str) -> DataFrame:
 
 
 def near_exact(chunks: DataFrame, bits: int, verify: bool) -> DataFrame:
-    """One row of counters under an index of keys cut to ``bits``.
+    """One row of counters under an index of keys cut to ``bits``: see ``near_exact_grid``."""
+    return near_exact_grid(chunks, [(bits, verify)])
+
+
+def near_exact_grid(chunks: DataFrame, settings: list[tuple[int, bool]]) -> DataFrame:
+    """A row of counters for each (bits, verified) of an index of keys cut to ``bits`` (0: whole).
 
     Verified, a key's hit counts only if the whole fingerprint is stored, so decisions are the exact index's and only the index
     shrinks. Unverified, every later chunk with the key counts as its first: a false hit where fingerprints differ.
+    All settings share one aggregation by fingerprint and one by key, both combined map-side; there is no join.
     """
-    keyed = chunks.withColumn("key", truncated(F.col("fp"), bits))
-    # chunks by key and fingerprint first: the second step works on distinct fingerprints
-    per = keyed.groupBy("key", "fp").agg(F.count("*").alias("n"), F.max("len").alias("len"), F.min("ord").alias("first"))
-    keys = per.groupBy("key").agg(F.min("first").alias("first"))
-    # the fingerprint that came first, found by its ord without collecting those of a key
-    lead = keys.join(per.select("first", F.col("len").alias("lead_len")), "first")
-    both = per.join(F.broadcast(lead.select("key", F.col("first").alias("lead"), "lead_len")) if bits and bits <= 20 else lead.select("key", F.col("first").alias("lead"), "lead_len"), "key")  # 2**20 keys at most
-    logical = F.sum(F.col("n") * F.col("len"))
-    if verify:
-        written, unique = F.sum("len"), F.count("*")
-        false = F.lit(0).cast("long")
-    else:
-        is_lead = F.col("first") == F.col("lead")
-        written, unique = F.sum(F.when(is_lead, F.col("len")).otherwise(0)), F.count_if(is_lead)
-        false = F.sum(F.when(is_lead, 0).otherwise(F.col("n")))
-    out = both.agg(F.sum("n").alias("chunks"), unique.alias("uniques"), false.alias("false_hits"), logical.alias("logical"), written.alias("written"), (F.count_distinct("key") * ENTRY).alias("index_ram"))
-    return out.select(F.lit(bits).alias("bits"), F.lit(verify).alias("verified"), "*", ratio(F.col("logical"), F.col("written")).alias("ratio"))
+    every = sorted({b for b, _ in settings})
+    keyed = occurrences(chunks).select("*", F.explode(F.array(*map(F.lit, every))).alias("bits"))
+    key = truncated(F.col("fp"), 0)
+    cut = F.when(F.col("bits") == 0, key)
+    for b in every:
+        cut = cut if not b else cut.when(F.col("bits") == b, truncated(F.col("fp"), b))
+    first = F.min(F.struct("first", "len", "n"))
+    keys = keyed.groupBy("bits", cut.alias("key")).agg(F.count("*").alias("fps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("len")).alias("logical"), F.sum("len").alias("len"), first.alias("lead"))
+    sums = keys.groupBy("bits").agg(F.count("*").alias("keys"), *(F.sum(c).alias(c) for c in ("fps", "n", "logical", "len")), F.sum("lead.len").alias("lead_len"), F.sum("lead.n").alias("lead_n"))
+    flags = F.explode(F.array(F.lit(True), F.lit(False))).alias("verified")
+    v = F.col("verified")
+    written = F.when(v, F.col("len")).otherwise(F.col("lead_len"))
+    out = sums.select("*", flags).select("bits", "verified", F.col("n").alias("chunks"), F.when(v, F.col("fps")).otherwise(F.col("keys")).alias("uniques"), F.when(v, F.lit(0).cast("long")).otherwise(F.col("n") - F.col("lead_n")).alias("false_hits"), "logical", written.alias("written"), (F.col("keys") * ENTRY).alias("index_ram"), ratio(F.col("logical"), written).alias("ratio"))
+    wanted = F.lit(False)
+    for b, f in settings:
+        wanted = wanted | ((F.col("bits") == b) & (v == f))
+    return out.filter(wanted)
 
 
 def coverage(copy: DataFrame, original: DataFrame, *by: str) -> DataFrame:

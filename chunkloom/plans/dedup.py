@@ -233,12 +233,7 @@ SWEEP = [(b, v) for b in (0, 32, 16, 12, 8, 4) for v in (True, False)]
 @query(f"{BLOCKS} {' UNION ALL '.join(near_sql(b, v) for b, v in SWEEP)}")
 def near_exact_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All key lengths, verified or not."""
-    c = blocks(spark, sf_dir)
-    out = None
-    for b, v in SWEEP:
-        one = dedup.near_exact(c, b, v)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return dedup.near_exact_grid(blocks(spark, sf_dir), SWEEP)
 
 
 @query(f"""{BLOCKS}, g AS (SELECT fp, count(*) AS n, max(len) AS len FROM chunks GROUP BY fp), k AS (SELECT unnest([24, 12, 6, 3, 1])::BIGINT AS k)
