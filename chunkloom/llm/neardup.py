@@ -13,8 +13,8 @@ Equal texts are one node from the start. Members of a bucket of up to ``SMALL``
 compared with its most central member (the one in the fullest buckets). Texts with over a fifth of their weight in shingles that no
 other text in a large bucket has can't reach 0.8 with any and are done. Those left and linked to nothing yet are compared with 8 central ones of their own, then
 16, and so on until what is left is small. At last the members that are still not connected with the first hub meet those
-that are, as far as the triangle inequality of 1 - J leaves room for a link. So a pair of a large bucket is compared, or connected
-already, or ruled out, or has neither text connected with the first hub and one linked elsewhere.
+that are, as far as the triangle inequality of 1 - J leaves room for a link; they then get a first hub of their own, and after ``TURNS``
+of them those left are compared with each other. So any pair of a bucket is compared, or connected already, or ruled out exactly.
 
 Links are verified exactly, then joined to connected components by min-label propagation over stored tables. Nothing but the frequent
 shingles and counters reaches the driver. A bucket of any size is an ordinary (skewed) join, never one task's list.
@@ -42,6 +42,8 @@ THRESHOLD, WIDTH, FLOOR = 0.8, 5, 0.25
 BANDS, ROWS = 14, 3
 #: Members up to which all of a bucket are compared with each other.
 SMALL = 16
+#: Hubs that a large bucket gets one after the other, before what none of them is connected with is compared with each other.
+TURNS = 3
 _LAST = 2**63 - 1
 _U = np.uint64
 
@@ -283,15 +285,35 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         at = left.filter(F.col("n") > SMALL).drop("n")
         hubs = 8 if hubs == 1 else 2 * hubs
     links = store(known.filter(F.col("sim") >= threshold).select("a", "b"), "links")
-    if first is not None and first.limit(1).count():
-        # what isn't connected with its bucket's first hub meets those that are, unless the triangle inequality of 1 - J rules a link out
+    turn = 0
+    while first is not None and first.limit(1).count():
+        # what isn't connected with its bucket's hub meets those that are, unless the triangle inequality of 1 - J rules a link out
         known_classes = store(components(texts.select("node"), links), "classes")
         of = first.join(known_classes, "node").join(known_classes.select(F.col("node").alias("hub"), F.col("class").alias("hub_class")), "hub")
-        apart = of.filter("class != hub_class").join(alone, "node", "left_anti").select("band", "key", F.col("node").alias("x"), F.col("sim").alias("sx"))
+        apart = store(of.filter("class != hub_class").join(alone, "node", "left_anti").select("band", "key", "node", "sim", "class"), "apart")
         near = of.filter("class = hub_class").select("band", "key", F.col("node").alias("y"), F.col("sim").alias("sy"))
-        pairs = apart.join(near, ["band", "key"]).filter(F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        more = store(compare(pairs, bodies, held), "similarities")
+        room = F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9
+        x = apart.select("band", "key", F.col("node").alias("x"), F.col("sim").alias("sx"), "class")
+        pairs = x.join(near, ["band", "key"]).filter(room).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        turn += 1
+        n = apart.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        # then they are left with each other: few, or what is left after the last turn, meet at once, many get a hub of their own
+        many = F.col("n") > SMALL
+        rest = x.join(n.filter(~many) if turn < TURNS else n, ["band", "key"])
+        y = rest.select("band", "key", F.col("x").alias("y"), F.col("sx").alias("sy"), F.col("class").alias("y_class"))
+        pairs = pairs.unionByName(rest.join(y, ["band", "key"]).filter((F.col("x") < F.col("y")) & (F.col("class") != F.col("y_class")) & room).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        more = store(compare(pairs.distinct().join(known, ["a", "b"], "left_anti"), bodies, held), "similarities")
+        known = known.unionByName(more)
         links = store(links.unionByName(more.filter(F.col("sim") >= threshold).select("a", "b")), "links")
+        if turn == TURNS:
+            break
+        at = store(apart.join(n.filter(many), ["band", "key"]).join(some, "node").select("band", "key", "node", "degree"), "large")
+        lead = at.groupBy("band", "key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).getField("node").alias("hub"))
+        met = store(at.join(lead, ["band", "key"]).filter("node != hub").select("band", "key", "node", "hub", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), "met")
+        more = store(compare(met.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), bodies, held), "similarities")
+        known = known.unionByName(more)
+        links = store(links.unionByName(more.filter(F.col("sim") >= threshold).select("a", "b")), "links")
+        first = store(met.join(known, ["a", "b"]).select("band", "key", "node", "hub", "sim"), "first")
     by_node = texts.join(components(texts.select("node"), links), "node")
     return rowkeys.select("id", "h"), by_node.join(by_node.groupBy("class").agg(F.min("id").alias("class_id")), "class").select("h", "id", "class_id")
 

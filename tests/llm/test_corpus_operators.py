@@ -217,6 +217,26 @@ def test_near_classes_match_brute_force(spark, monkeypatch, small):
     assert len(got) == len(want) and wrong <= (0 if small > 2 else 2)
 
 
+def test_chains_in_one_bucket_stay_whole(spark, monkeypatch):
+    """Six families of drifting versions, neighbours over 0.8 and others below, all in one bucket: each is one class."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+
+    def one_bucket(texts, weights):
+        return np.arange(len(texts)), np.zeros((len(texts), 1), np.uint64)
+
+    monkeypatch.setattr(neardup, "band_keys", one_bucket)
+    r, texts = random.Random(1), []
+    for g in range(6):
+        t = words(510 + g, 60).split()
+        for at in r.sample(range(5, 55), 7):
+            texts.append((g, " ".join(t)))
+            t[at] = f"e{at}"
+    r.shuffle(texts)
+    least = {g: min(i for i, (x, _) in enumerate(texts) if x == g) for g in range(6)}
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in neardup.near_classes(docs).collect()} == {i: least[g] for i, (g, _) in enumerate(texts)}
+
+
 def test_near_classes_of_awkward_rows(spark, awkward, empty, awkward_rows):
     got = Counter((x.doc_id, x.class_id) for x in neardup.near_classes(awkward).collect())
     assert sum(got.values()) == len(awkward_rows) and got[3, 1] == 2 and got[2, 1] == 1 and got[7, 6] == 1 and got[13, 12] == 1 and got[None, None] == 1
