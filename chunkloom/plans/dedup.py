@@ -369,9 +369,9 @@ def superfeature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT s.file_id, r.owner, count(*) AS overlap FROM s JOIN r USING (fp) WHERE s.file_id <> r.owner GROUP BY ALL)
 SELECT file_id, arg_min(owner, (-overlap, owner)) AS recipe_of, max(overlap) AS overlap FROM m GROUP BY file_id""")
 def recipe_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The earlier recipe each file has most in common with, by chunks' first owners; chunks in over 1,000 files tell nothing of likeness."""
+    """The earlier recipe each file has most in common with, by chunks' first owners: a chunk counts for the first file that has it only."""
     s = blocks(spark, sf_dir).select("file_id", "fp").distinct()
-    r = s.groupBy("fp").agg(F.min("file_id").alias("owner"), F.count("*").alias("n")).filter("n BETWEEN 2 AND 1000").drop("n")
+    r = s.groupBy("fp").agg(F.min("file_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
     m = s.join(r, "fp").filter("file_id <> owner").groupBy("file_id", "owner").agg(F.count("*").alias("overlap"))
     return m.groupBy("file_id").agg(F.min_by("owner", F.struct((-F.col("overlap")).alias("o"), "owner")).alias("recipe_of"), F.max("overlap").alias("overlap"))
 

@@ -41,6 +41,15 @@ def test_query(spark, duck, name):
         assert found
 
 
+def test_recipes_with_a_chunk_in_very_many_files_are_matched(spark, monkeypatch):
+    from chunkloom.plans import dedup
+
+    rows = [(i, "common") for i in range(1200)] + [(5, "a"), (6, "a")]
+    monkeypatch.setattr(dedup, "blocks", lambda spark, sf_dir: spark.createDataFrame(rows, "file_id long, fp string"))
+    got = {x.file_id: (x.recipe_of, x.overlap) for x in dedup.recipe_match(spark, "").collect()}
+    assert got == {i: (0, 1) for i in range(1, 1200)}
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
