@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,14 +81,23 @@ def record_ops(records: DataFrame) -> DataFrame:
 
 
 def chain_depths(edges: DataFrame, most: int = 12) -> DataFrame:
-    """node, depth, root: how many records must be read before the raw one, by pointer jumping (log2 of ``most`` joins).
+    """node, depth, root: how many records must be read before the raw one, by pointer jumping until no pointer moves.
 
-    ``edges`` has node and target (null for raw). Chains longer than the next power of two above ``most`` have no root here: null.
+    ``edges`` has node and target (null for raw). ``most`` is the depth expected: the first log2 of it joins are made without
+    asking whether any pointer still moves; longer chains take as many more as they need. Only what leads to no raw node has no root: null.
     """
     at = edges.select("node", F.col("target").alias("to"), F.when(F.col("target").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(max(1, most.bit_length())):
-        step = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("depth").alias("more"))
-        at = at.join(step, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    done, nodes = 0, None
+    while True:
+        for _ in range(max(1, most.bit_length()) if not done else 1):
+            step = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("depth").alias("more"))
+            at = at.join(step, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+            done += 1
+        at = at.persist(StorageLevel.DISK_ONLY)
+        # a pointer to a node with a pointer moves on; in a ring it always does, and no chain needs more turns than log2 of all nodes
+        nodes = edges.count() if nodes is None else nodes
+        if 2**done > nodes or not at.join(at.filter("to IS NOT NULL").select(F.col("node").alias("to")), "to", "left_semi").limit(1).count():
+            break
     ends = edges.filter("target IS NULL").select(F.col("node").alias("root"))
     return at.select("node", "depth", F.coalesce("to", "node").alias("_r")).join(ends, F.col("_r") == F.col("root"), "left").select("node", "depth", "root")
 
