@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Each stretch of text that no piece can cross is encoded by a score-ordered agenda of adjacent symbol pairs: the pair whose
-merged piece scores highest goes first, the leftmost among equals. Symbols outside the vocabulary fall back to bytes. What
-is new in an Arrow batch is compared with the sentencepiece library; a difference raises.
+merged piece scores highest goes first, the leftmost among equals. Symbols outside the vocabulary fall back to bytes. The
+ids of each whole text are compared with the sentencepiece library's; a difference raises.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated results. Whole texts are
 encoded, however long. One pass, no shuffle; the cache of stretches is bounded by ``CACHE``.
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from chunkloom.llm.shared import rowwise
 
 MARK = "▁"
+#: What words are cut from: also characters like ² that aren't alphabetic.
+LETTER = r"[^\W\d_]"
 #: Stretches remembered per Python worker, at most twice as many.
 CACHE = 300_000
 
@@ -41,9 +43,9 @@ class Encoder:
                 self.score[p] = lib.get_score(i)
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("pieces of this vocabulary cross word starts or line ends")
-        after = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
+        after = {b for p in self.ids for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
         apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
-        word = f"{MARK}*[^\\W\\d_]+(?=[{apart}])|" if apart else ""  # no piece has a letter and then one of these
+        word = f"{MARK}*{LETTER}+(?=[{apart}])|" if apart else ""  # no piece has a letter and then one of these
         self.split = re.compile(f"{word}{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
         self.check, self.new, self.old, self.fresh = check, {}, {}, []
         head = lib.encode("\n")
@@ -123,6 +125,11 @@ class Encoder:
                     raise ValueError(f"encoding of {s!r} differs from the library's")
         self.fresh = []
 
+    def confirm_text(self, text: str, ids: list[int]) -> None:
+        """Compare a whole text with the library, so where it was cut too."""
+        if self.check and ids != self.library.encode(text):
+            raise ValueError(f"encoding of {text[:80]!r} differs from the library's")
+
     def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         if not text:
             return []
@@ -172,10 +179,11 @@ def piece_digest(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
         for text in columns[1]:
             found = enc.parts(text or "")
             ids = list(chain.from_iterable(x[0] for x in found))
+            enc.confirm_text(text or "", ids)
             n.append(len(ids))
             a.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
             b.append(hashlib.sha256(enc.library.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-        enc.confirm()
+        enc.fresh = []  # compared within their texts
         return [columns[0], n, a, b]
 
     return rowwise(docs, ["doc_id", "text"], SCHEMA, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -187,7 +195,9 @@ def piece_ids(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
     def work(columns: list[list]) -> list[list]:
         enc = encoder(model, check)
         out = [enc.encode(t) for t in columns[1]]
-        enc.confirm()
+        for text, ids in zip(columns[1], out, strict=True):
+            enc.confirm_text(text or "", ids)
+        enc.fresh = []  # compared within their texts
         return [columns[0], out]
 
     return rowwise(docs, ["doc_id", "text"], pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), work, "doc_id long, ids array<int>")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from chunkloom.llm import decontaminate, extract, licenses, pieces, toxicity
 from chunkloom.llm.registry import model_path
@@ -82,6 +83,21 @@ def test_tokens_equal_the_library(spark, awkward, empty, awkward_rows):
     assert {(x.doc_id, x.text) for x in pieces.piece_texts(ids, model_path()).collect()} == {(r[0], r[1] or "") for r in awkward_rows}
 
 
+def test_cuts_behind_superscripts_and_fractions_equal_the_library(spark):
+    enc = pieces.Encoder(model_path())
+    texts = ["km².", "an area of 5 km². And x³, ½. m²) ª. ①."] + [f"a{c}{d}" for c in "²³¹½¼¾ªº①Ⅳ" for d in ".,;:)(-'\"/"]
+    assert [enc.encode(t) for t in texts] == [enc.library.encode(t) for t in texts]
+    got = pieces.piece_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model_path()).collect()
+    assert {(x.doc_id, x.n_tokens) for x in got} == {(i, len(enc.library.encode(t))) for i, t in enumerate(texts)}
+
+
+def test_a_wrong_cut_is_noticed():
+    enc = pieces.Encoder(model_path())
+    enc.split = pieces.re.compile("[^²]+|²")  # cuts the piece '².'
+    with pytest.raises(ValueError):
+        enc.confirm_text("km².", enc.encode("km²."))
+
+
 def test_the_cache_turns_over_without_loss(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 5)
     enc = pieces.Encoder(model_path())
