@@ -1,23 +1,32 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 Weights. A shingle is a run of five words (a shorter text is one shingle). Its weight in a text is its count there times
-``ln(1 + N / max(df, FLOOR N))``: document frequencies below the share ``FLOOR`` of all rows count as that share, so rare shingles
-weigh the same and frequencies have to be known for frequent ones only. They are counted exactly over all rows: each block of rows
-names the shingles in at least half that share of its rows, and any shingle that reaches the share overall is named in enough blocks
-to pass the bound on its sum; what passes (at most ``2 / FLOOR`` times the mean number of shingles of a text, whatever the number of
-texts) is then counted in a second pass.
+``1 + ln(1 + N / df) / ln(1 + N)``, a smoothed TF-IDF: from 2 for a shingle of one row to just over 1 for one that all rows have. Document
+frequencies are exact and of all rows: rows are cut into blocks of about ``BLOCK`` shingles, each block sends a shard of the hash range its
+distinct shingles there with their numbers of rows, packed, and what comes back is those in two rows or more. (Packets are as many
+as blocks times shards: beyond some 10 TB raise ``BLOCK`` and ``SHARD`` with the square root of the input.)
+
+Who can have a partner. All that two texts share is in two rows at least, so a text with less than 0.8 of its weight in such shingles is like
+no other, exactly; the rest are sampled. The shingles that only one row has count in samples and similarities as one element of
+their total weight, which changes neither. In the same way texts are left out later whose shingles that no other text in a bucket has
+weigh over a fifth.
 
 Candidates. ``BANDS * ROWS`` samples per text; two texts agree in a sample with the probability of their weighted Jaccard similarity.
 Texts that agree in a band of ``ROWS`` samples share a bucket: at similarity 0.8 a pair is missed with probability below 1e-4.
-Equal texts are one node from the start. Members of a bucket of up to ``SMALL`` are compared with each other. In a larger one all are
-compared with its most central member (the one in the fullest buckets). Texts with over a fifth of their weight in shingles that no
-other text in a large bucket has can't reach 0.8 with any and are done. Those left and linked to nothing yet are compared with 8 central ones of their own, then
-16, and so on until what is left is small. At last the members that are still not connected with the first hub meet those
-that are, as far as the triangle inequality of 1 - J leaves room for a link; they then get a first hub of their own, and after ``TURNS``
-of them those left are compared with each other. So any pair of a bucket is compared, or connected already, or ruled out exactly.
+Equal texts are one node from the start.
+
+Verification. All members of a bucket are compared with its most central one, the hub (least weight of its own, fullest buckets): as many
+comparisons as members. Links are joined to connected components; members that aren't connected with the hub get a hub of their own,
+``TURNS`` times. What remains are pairs of a turn's connected and unconnected members, and in the last turn of unconnected ones. With o
+and e of a text its overlap with the hub and its weight beside that which other texts have too, two texts share at most
+min(o, o') + min(e, e'), which rules most pairs out. The bound is taken for cells of members of about equal o, e and
+weight first, of which a bucket has a limited number whatever its size; only members of cells that it leaves meet, and are compared
+unless they are connected by then. So any pair of a bucket is compared, or connected, or ruled out exactly, and no link is lost. What is
+left grows with the number of pairs that are loosely similar (just below the threshold) and not connected.
 
-Links are verified exactly, then joined to connected components by min-label propagation over stored tables. Nothing but the frequent
-shingles and counters reaches the driver. A bucket of any size is an ordinary (skewed) join, never one task's list.
+Links are verified exactly, then joined to connected components by min-label propagation over stored tables. Nothing but counters
+reaches the driver; nothing is broadcast. A bucket of any size is an ordinary (skewed) join, never one task's list, and a shingle that very many rows
+have is one entry a block.
 
 Null and empty texts, and texts without words, have no shingles: equal ones are one class, and they are like no other text. Rows with a
 null doc_id form classes by their text; their id counts as larger than all others. Repeated rows are in one class. Further columns pass
@@ -28,22 +37,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.shared import slices, store
-from chunkloom.llm.words import chunks, encoded, mix, shingle_hashes, word_hashes
+from chunkloom.llm.words import encoded, mix, shingle_hashes, word_hashes
 
-THRESHOLD, WIDTH, FLOOR = 0.8, 5, 0.25
+THRESHOLD, WIDTH = 0.8, 5
 BANDS, ROWS = 14, 3
-#: Members up to which all of a bucket are compared with each other.
-SMALL = 16
-#: Hubs that a large bucket gets one after the other, before what none of them is connected with is compared with each other.
-TURNS = 3
+#: Shingles of a block, and on average of a shard; shards at least; texts of a block from which on a shingle's owners stay out of its shard.
+BLOCK, SHARD, SHARDS, COMMON = 2_000_000, 2_000_000, 32, 64
+#: Hubs that a bucket gets one after the other; steps of a hub's weight in which members are put together in cells.
+TURNS, STEPS = 3, 64
+EPS = 1e-9
 _LAST = 2**63 - 1
 _U = np.uint64
 
@@ -63,84 +73,164 @@ def shingle_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return s[at], np.diff(np.append(at, len(s))), np.searchsorted(owner[at], np.arange(len(texts) + 1))
 
 
-class Weights:
-    """Shingle weights from the frequent shingles' document frequencies."""
-
-    def __init__(self, total: int, hashes: np.ndarray, df: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        floor = max(FLOOR * total, 1e-9)
-        self.idf = np.log1p(total / np.maximum(df[order], floor))
-        # a shingle that isn't listed has a df below the floor
-        self.rare = np.log1p(total / floor)
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.hashes >> _U(48)).astype(np.int64)] = True
-
-    def of(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = np.full(len(s), self.rare)
-        if len(self.hashes):
-            at = np.flatnonzero(self.seen[(s >> _U(48)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(self.hashes, s[at]), len(self.hashes) - 1)
-            hit = self.hashes[place] == s[at]
-            w[at[hit]] = self.idf[place[hit]]
-        return w * n
-
-
-def _texts(column) -> list[bytes]:
-    return [encoded(t) for t in column.to_pylist()]
-
-
-def frequent_shingles(docs: DataFrame) -> Weights:
-    """Exact document frequencies of all shingles in at least the share FLOOR of the rows."""
-    spark = docs.sparkSession
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("rows", pa.int64())])
-        held, rows = [], 0
-
-        def out():
-            u, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, _U), np.empty(0, np.int64))
-            keep = n >= FLOOR * rows / 2
-            # the block's number of rows stands in a line with a null hash
-            return pa.RecordBatch.from_arrays([pa.array([None, *u[keep].view(np.int64).tolist()], pa.int64()), pa.array([0, *n[keep].tolist()], pa.int64()), pa.array([rows] * (1 + int(keep.sum())), pa.int64())], schema=schema)
-
-        for batch in slices(batches):
-            texts = _texts(batch.column(0))
-            for a, b in chunks([len(t) for t in texts]):
-                held.append(shingle_counts(texts[a:b])[0])
-                rows += b - a
-                if sum(map(len, held)) > 4_000_000:
-                    yield out()
-                    held, rows = [], 0
-        if rows:
-            yield out()
-
-    named = store(docs.select("text").mapInArrow(name, "h long, n long, rows long"), "named-shingles")
-    total = named.filter("h is null").agg(F.sum("rows")).first()[0] or 0
-    # where a block doesn't name a shingle, it has it in less than FLOOR / 2 of its rows
-    likely = named.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).filter(F.col("n") + (F.lit(total) - F.col("rows")) * (FLOOR / 2) >= FLOOR * total).select("h")
-    hashes = np.sort(likely.toArrow()["h"].to_numpy().view(_U))
-    if not len(hashes):
-        return Weights(total, hashes, np.empty(0))
-    held = spark.sparkContext.broadcast(hashes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = held.value
-        seen = np.zeros(1 << 16, bool)
-        seen[(keys >> _U(48)).astype(np.int64)] = True
-        total = np.zeros(len(keys), np.int64)
-        for batch in slices(batches):
-            texts = _texts(batch.column(0))
-            for a, b in chunks([len(t) for t in texts]):
-                s = shingle_counts(texts[a:b])[0]
-                s = s[seen[(s >> _U(48)).astype(np.int64)]]
-                place = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                total += np.bincount(place[keys[place] == s], minlength=len(keys))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
-
-    df = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
-    return Weights(total, df["h"].to_numpy().view(_U).copy(), df["n"].to_numpy().copy())
+def idf(total: int, df: np.ndarray) -> np.ndarray:
+    """The smoothed inverse document frequency."""
+    return 1 + np.log1p(total / df) / np.log1p(total)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays, bytes of the same place side by side, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64)
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * count, 8).reshape(-1, 2), 8 * (1 + 2 * count), []
+    for width, n in head.tolist():
+        plane = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
+        out.append(np.ascontiguousarray(plane.T).reshape(-1).view(f"u{width}"))
+        at += width * n
+    return out
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
+
+
+PACKETS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+PACKETS_SQL = "shard long, block long, kind int, data binary"
+#: Packets of shingles by shard, of the owners of common shingles, and of the rows of a block.
+SHINGLES, OWNERS, DOCS = 0, 1, 2
+
+
+def cut_block(ids: list[int], texts: list[bytes], block: int, shards: int, common: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The packets of one block."""
+    first: dict[bytes, int] = {}
+    digests = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
+    which = np.array([first.setdefault(d, len(first)) for d in digests], np.uint32)
+    distinct = [texts[i] for i in np.unique(which, return_index=True)[1]]
+    copies = np.bincount(which, minlength=len(distinct))
+    s, tf, begin = shingle_counts(distinct)
+    owner = np.repeat(np.arange(len(distinct), dtype=np.uint32), np.diff(begin))
+    size = np.concatenate([[0], np.cumsum(tf)])[begin]
+    yield block % shards, block, DOCS, packed(np.array(ids, np.int64).view(_U), which, np.frombuffer(b"".join(first), _U), np.diff(size).astype(_U))
+    order = np.argsort(s, kind="stable")
+    s, tf, owner = s[order], tf[order].astype(np.uint32), owner[order]
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    n = np.diff(np.append(at, len(s)))
+    rows = np.add.reduceat(copies[owner], at).astype(np.uint32) if len(s) else np.empty(0, np.uint32)
+    h, few = s[at], n < common
+    if not few.all():
+        places = runs(at[~few], n[~few])
+        yield block % shards, block, OWNERS, packed(h[~few], n[~few].astype(np.uint32), owner[places], tf[places])
+    listed = np.where(few, n, 0).astype(np.uint32)
+    shard = ((h >> _U(32)) * _U(shards)) >> _U(32)  # ranges of hashes, so a shard's are side by side
+    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(h) else np.empty(0, np.int64)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(h)], strict=False):
+        places = runs(at[a:b], listed[a:b].astype(np.int64))
+        yield int(shard[a]), block, SHINGLES, packed(np.diff(h[a:b], prepend=_U(0)), rows[a:b], listed[a:b], owner[places], tf[places])
+
+
+ANSWERS_SQL = "block long, kind int, data binary"
+
+
+def answer_shard(packets: pa.Table) -> pa.Table:
+    """To each block what other rows have too of its shingles; other packets pass."""
+    blocks, kinds, data = packets["block"].to_pylist(), packets["kind"].to_pylist(), packets["data"]
+    mine = [i for i, k in enumerate(kinds) if k == SHINGLES]
+    parts = [unpacked(data[i].as_py()) for i in mine]
+    out = [(blocks[i], k, data[i].as_py()) for i, k in enumerate(kinds) if k != SHINGLES]
+    hashes = [np.cumsum(p[0], dtype=_U) for p in parts]
+    if parts:
+        keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        df = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(_U)[inverse]
+        at = 0
+        for i, h, p in zip(mine, hashes, parts, strict=True):
+            mine_df = df[at : at + len(h)]
+            at += len(h)
+            keep = mine_df > 1
+            if keep.any():
+                n = p[2].astype(np.int64)
+                places = runs((np.cumsum(n) - n)[keep], n[keep])
+                out.append((blocks[i], SHINGLES, packed(h[keep], mine_df[keep], p[2][keep], p[3][places], p[4][places])))
+    return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
+
+
+SIGNED = pa.schema([("id", pa.int64()), ("h", pa.string()), ("total", pa.float64()), ("keys", pa.list_(pa.int64())), ("hs", pa.list_(pa.int64())), ("ws", pa.list_(pa.float64()))])
+SIGNED_SQL = "id long, h string, total double, keys array<long>, hs array<long>, ws array<double>"
+
+
+def sign_block(packets: pa.Table, total: int, threshold: float, bands: int) -> pa.Table:
+    """id and h, the hash of the text, of each row of a block; once for each text that may have a partner also its weight, band keys, shared shingles and their weights."""
+    parts: dict[int, list] = {SHINGLES: [], OWNERS: [], DOCS: []}
+    for kind, data in zip(packets["kind"].to_pylist(), packets["data"], strict=True):
+        parts[kind].append(unpacked(data.as_py()))
+    ids, which, digests, size = parts[DOCS][0]
+    n_texts = len(size)
+    h, df, owner, tf = (np.concatenate([np.empty(0, _U), *x]) for x in zip(*[(np.repeat(p[0], p[2]), np.repeat(p[1], p[2]), p[3], p[4]) for p in parts[SHINGLES]], strict=True)) if parts[SHINGLES] else (np.empty(0, _U),) * 4
+    for hot, n, who, count in parts[OWNERS]:
+        known = [(p[0][p[2] == 0], p[1][p[2] == 0]) for p in parts[SHINGLES]]
+        keys, values = np.concatenate([k for k, _ in known]), np.concatenate([v for _, v in known])
+        order = np.argsort(keys)
+        found = values[order][np.searchsorted(keys[order], hot)]  # common ones are in several rows, so each was answered
+        h, df, owner, tf = np.concatenate([h, np.repeat(hot, n)]), np.concatenate([df, np.repeat(found, n)]), np.concatenate([owner, who]), np.concatenate([tf, count])
+    owner = owner.astype(np.int64)
+    w = tf * idf(total, df.astype(float))
+    shared = np.bincount(owner, w, n_texts)
+    own = (size - np.bincount(owner, tf.astype(float), n_texts)) * idf(total, np.ones(1))[0]
+    weight = shared + own
+    some = np.flatnonzero((shared >= threshold * weight - EPS) & (shared > 0))
+    place = np.full(n_texts, -1)
+    place[some] = np.arange(len(some))
+    keep = place[owner] >= 0
+    h, w, owner = h[keep], w[keep], place[owner[keep]]
+    order = np.lexsort((h, owner))
+    h, w = h[order], w[order]
+    begin = np.searchsorted(owner[order], np.arange(len(some) + 1))
+    keys = band_keys(h, w, begin, digests[::2][some], own[some], bands)
+    hexes = [np.array([digests[2 * i], digests[2 * i + 1]], _U).tobytes().hex() for i in range(n_texts)]
+    firsts = np.unique(which, return_index=True)[1]
+    at = np.full(len(which), -1)
+    at[firsts] = place
+    rows, hv = at.tolist(), h.view(np.int64)
+    pick = lambda f: [f(k) if k >= 0 else None for k in rows]
+    cols = [pa.array(ids.view(np.int64)), pa.array([hexes[i] for i in which.tolist()], pa.string()), pa.array(pick(lambda k: float(weight[some[k]])), pa.float64())]
+    cols += [pa.array(pick(lambda k: keys[k]), SIGNED.types[3]), pa.array(pick(lambda k: hv[begin[k] : begin[k + 1]]), SIGNED.types[4]), pa.array(pick(lambda k: w[begin[k] : begin[k + 1]]), SIGNED.types[5])]
+    return pa.Table.from_arrays(cols, schema=SIGNED)
+
+
+def band_keys(h: np.ndarray, w: np.ndarray, begin: np.ndarray, names: np.ndarray, own: np.ndarray, bands: int) -> np.ndarray:
+    """A row of ``bands`` keys for each text. What nobody else has is one element, named by the text's hash."""
+    n = len(names)
+    out = np.zeros((n, bands), _U)
+    lone = np.flatnonzero(own > EPS)
+    s, w = np.insert(h, begin[1:][lone], names[lone]), np.insert(w, begin[1:][lone], own[lone])
+    begin = begin.copy()
+    begin[1:] += np.cumsum(own > EPS)
+    begin = begin[:-1]
+    for a in range(0, n, 200):  # small arrays stay in the processor's cache
+        b = min(n, a + 200)
+        lo, hi = begin[a], begin[b] if b < n else len(s)
+        ln = np.log(w[lo:hi]).astype(np.float32)
+        for k in range(bands * ROWS):
+            out[a:b, k // ROWS] = mix(out[a:b, k // ROWS] ^ samples(s[lo:hi], ln, begin[a:b] - lo, k) + _U(k + 1))
+    return out.view(np.int64)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], total: float) -> float:
+    """Weighted Jaccard similarity of two (sorted hashes, weights) of texts of ``total`` weight together."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    place = np.searchsorted(b[0], a[0])
+    place[place == len(b[0])] = 0
+    hit = b[0][place] == a[0]
+    low = np.minimum(a[1][hit], b[1][place[hit]]).sum()
+    return float(low / (total - low))
 
 
 _LOW, _UNIT = _U(0x1FFFFF), np.float32(2**-21)
@@ -177,36 +267,9 @@ def samples(s: np.ndarray, w: np.ndarray, begin: np.ndarray, k: int) -> np.ndarr
     return np.minimum.reduceat(high, begin) & _U(0xFFFFFFFF)
 
 
-def band_keys(texts: list[bytes], weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """(places of texts with shingles, their band keys: a row of BANDS each)."""
-    s, n, begin = shingle_counts(texts)
-    some = np.flatnonzero(np.diff(begin))
-    keys = np.zeros((len(some), BANDS), _U)
-    if len(some):
-        w = np.log(weights.of(s, n)).astype(np.float32)
-        for k in range(BANDS * ROWS):
-            keys[:, k // ROWS] = mix(keys[:, k // ROWS] ^ samples(s, w, begin[some], k) + _U(k + 1))
-    return some, keys
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (sorted hashes, weights)."""
-    total = a[1].sum() + b[1].sum()
-    place = np.searchsorted(b[0], a[0])
-    place[place == len(b[0])] = 0
-    hit = b[0][place] == a[0] if len(b[0]) else np.zeros(len(a[0]), bool)
-    low = np.minimum(a[1][hit], b[1][place[hit]]).sum()
-    return float(low / (total - low)) if total > low else 1.0
-
-
-def vector(text: str | None, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    s, n, _ = shingle_counts([encoded(text)])
-    return s, weights.of(s, n)
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, class: the least node each of ``nodes`` is connected with, by propagating labels and jumping along them until nothing changes."""
-    both = store(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
+def components(edges: DataFrame) -> DataFrame:
+    """node, class: for each linked node the least node it is connected with, by propagating labels and jumping along them until nothing changes."""
+    both = store(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
     labels = store(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
@@ -217,8 +280,40 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         changed = done.filter(F.col("label") != F.col("next")).limit(1).count()
         labels = done.select("node", F.col("next").alias("label"))
         if not changed:
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class"))
+            return labels.select("node", F.col("label").alias("class"))
+
+
+def signatures(docs: DataFrame, threshold: float) -> DataFrame:
+    """The rows of SIGNED for all rows of ``docs``."""
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    shards = max(SHARDS, -(-(size or 0) // (6 * SHARD)))  # a word has some six bytes
+    most, common, bands = BLOCK, COMMON, BANDS
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def out():
+            for packet in cut_block(ids, texts, block, shards, common):
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(packet, PACKETS.types, strict=True)], schema=PACKETS)
+
+        for batch in slices(batches):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(encoded(t))
+                held += len(texts[-1]) // 6 + 20
+                if held >= most:
+                    yield from out()
+                    block, ids, texts, held = block + 1, [], [], 0
+        if ids:
+            yield from out()
+
+    def sign(packets: pa.Table) -> pa.Table:
+        return sign_block(packets, total, threshold, bands)
+
+    packets = keyed(docs).select("id", "text").mapInArrow(cut, PACKETS_SQL)
+    return packets.groupBy("shard").applyInArrow(answer_shard, ANSWERS_SQL).groupBy("block").applyInArrow(sign, SIGNED_SQL)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -235,141 +330,127 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.join(texts.select("h", "class_id"), "h").select(null("id").alias("doc_id"), null("class_id").alias("class_id"))
 
 
-def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id and h, the hash of the text, of each row of ``docs``; h, id, the least of its rows, and class_id of each distinct text)."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(frequent_shingles(docs))
-    rows = keyed(docs)
+def bucket_members(texts: DataFrame, threshold: float) -> DataFrame:
+    """band, key, node, total, own (weight of shingles that no other member has), rank (the less, the more central) of all texts in buckets of several."""
+    keys = texts.filter("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.string()), ("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
-        for batch in slices(batches):
-            data = _texts(batch.column(1))
-            lists: list = [None] * len(data)
-            for a, b in chunks([len(t) for t in data], 150_000):  # small arrays stay in the processor's cache
-                some, keys = band_keys(data[a:b], held.value)
-                for i, k in zip((some + a).tolist(), keys.view(np.int64), strict=True):
-                    lists[i] = k
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(t, usedforsecurity=False).hexdigest() for t in data]), batch.column(0), pa.array(lists, schema.types[2])], schema=schema)
-
-    # hash, id and band keys of every row; what follows works on these and reads texts of candidates only
-    rowkeys = store(rows.select("id", "text").mapInArrow(sign, "h string, id long, keys array<long>"), "signed")
-    # a node for each text; its row with the least id stands for it
-    texts = store(rowkeys.groupBy("h").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "texts")
-    signed = rowkeys.filter("keys IS NOT NULL").join(texts, ["h", "id"]).select("node", F.posexplode("keys").alias("band", "key"))
-    sizes = signed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").drop("lo", "hi")
-    members = store(signed.join(sizes, ["band", "key"]).dropDuplicates(["band", "key", "node"]), "members")
-    some = members.groupBy("node").agg(F.sum("n").alias("degree"))  # the more texts share a node's buckets, the more central it is
-    bodies = store(rows.join(some.select("node").join(texts, "node").hint("shuffle_hash"), ["h", "id"]).select("node", "text").dropDuplicates(["node"]), "candidates")
-    known = store(compare(close_pairs(members.filter(F.col("n") <= SMALL)), bodies, held), "similarities")
-    at = store(members.filter(F.col("n") > SMALL).join(some, "node").select("band", "key", "node", "degree"), "large")
-    hubs, first = 1, None
-    while at.limit(1).count():
-        # the most central node of each of ``hubs`` random parts of a bucket, found with map-side combining
-        lead = at.groupBy("band", "key", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")).agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).getField("node").alias("hub")).select("band", "key", "hub")
-        met = store(at.join(lead, ["band", "key"]).filter("node != hub"), "met")
-        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        known = known.unionByName(store(compare(pairs, bodies, held), "similarities"))
-        sims = met.select("band", "key", "node", "hub", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).join(known, ["a", "b"])
-        if first is None:
-            first = store(sims.select("band", "key", "node", "hub", "sim"), "first")
-        # what is linked anywhere is left to the last step; first members have met all others
-        linked = sims.filter(F.col("sim") >= threshold).select("node").distinct()
-        if hubs == 1:
-            alone = store(isolated(bodies.join(at.select("node").distinct(), "node", "left_semi"), held, threshold), "alone")
-        left = at.join(linked, "node", "left_anti").join(alone, "node", "left_anti").join(lead.withColumnRenamed("hub", "node"), ["band", "key", "node"], "left_anti")
-        n = left.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        left = store(left.join(n, ["band", "key"]), "left")
-        pairs = close_pairs(left.filter(F.col("n") <= SMALL)).join(known, ["a", "b"], "left_anti")
-        known = known.unionByName(store(compare(pairs, bodies, held), "similarities"))
-        at = left.filter(F.col("n") > SMALL).drop("n")
-        hubs = 8 if hubs == 1 else 2 * hubs
-    links = store(known.filter(F.col("sim") >= threshold).select("a", "b"), "links")
-    turn = 0
-    while first is not None and first.limit(1).count():
-        # what isn't connected with its bucket's hub meets those that are, unless the triangle inequality of 1 - J rules a link out
-        known_classes = store(components(texts.select("node"), links), "classes")
-        of = first.join(known_classes, "node").join(known_classes.select(F.col("node").alias("hub"), F.col("class").alias("hub_class")), "hub")
-        apart = store(of.filter("class != hub_class").join(alone, "node", "left_anti").select("band", "key", "node", "sim", "class"), "apart")
-        near = of.filter("class = hub_class").select("band", "key", F.col("node").alias("y"), F.col("sim").alias("sy"))
-        room = F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9
-        x = apart.select("band", "key", F.col("node").alias("x"), F.col("sim").alias("sx"), "class")
-        pairs = x.join(near, ["band", "key"]).filter(room).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        turn += 1
-        n = apart.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        # then they are left with each other: few, or what is left after the last turn, meet at once, many get a hub of their own
-        many = F.col("n") > SMALL
-        rest = x.join(n.filter(~many) if turn < TURNS else n, ["band", "key"])
-        y = rest.select("band", "key", F.col("x").alias("y"), F.col("sx").alias("sy"), F.col("class").alias("y_class"))
-        pairs = pairs.unionByName(rest.join(y, ["band", "key"]).filter((F.col("x") < F.col("y")) & (F.col("class") != F.col("y_class")) & room).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        more = store(compare(pairs.distinct().join(known, ["a", "b"], "left_anti"), bodies, held), "similarities")
-        known = known.unionByName(more)
-        links = store(links.unionByName(more.filter(F.col("sim") >= threshold).select("a", "b")), "links")
-        if turn == TURNS:
-            break
-        at = store(apart.join(n.filter(many), ["band", "key"]).join(some, "node").select("band", "key", "node", "degree"), "large")
-        lead = at.groupBy("band", "key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).getField("node").alias("hub"))
-        met = store(at.join(lead, ["band", "key"]).filter("node != hub").select("band", "key", "node", "hub", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), "met")
-        more = store(compare(met.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), bodies, held), "similarities")
-        known = known.unionByName(more)
-        links = store(links.unionByName(more.filter(F.col("sim") >= threshold).select("a", "b")), "links")
-        first = store(met.join(known, ["a", "b"]).select("band", "key", "node", "hub", "sim"), "first")
-    by_node = texts.join(components(texts.select("node"), links), "node")
-    return rowkeys.select("id", "h"), by_node.join(by_node.groupBy("class").agg(F.min("id").alias("class_id")), "class").select("h", "id", "class_id")
-
-
-def close_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a bucket; for buckets of at most SMALL, so a member has fewer partners than that."""
-    other = members.select("band", "key", F.col("node").alias("b"))
-    return members.select("band", "key", F.col("node").alias("a")).join(other, ["band", "key"]).filter("a < b").select("a", "b").distinct()
-
-
-def isolated(bodies: DataFrame, held, threshold: float) -> DataFrame:
-    """Nodes that are like no other of ``bodies``: shingles that no other has make up more than ``1 - threshold`` of their weight, so no similarity reaches ``threshold``."""
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            nodes, texts = batch.column(0).to_numpy(), _texts(batch.column(1))
-            for a, b in chunks([len(t) for t in texts], 500_000):
-                s, n, begin = shingle_counts(texts[a:b])
-                w, size = held.value.of(s, n), np.diff(begin)
-                total = np.add.reduceat(w, begin[:-1][size > 0]) if len(w) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.repeat(nodes[a:b], size)), pa.array(w / np.repeat(total, size[size > 0]))], names=["h", "node", "share"])
+    def several(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        return rows.join(sizes, ["band", "key"])
 
-    rows = bodies.select("node", "text").mapInArrow(weigh, "h long, node long, share double")
-    lone = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("share").alias("share")).filter("node = other")
-    return lone.groupBy("node").agg(F.sum("share").alias("share")).filter(F.col("share") > 1 - threshold + 1e-9).select("node")
+    found = store(several(keys), "members")
+    vectors = texts.join(found.groupBy("node").agg(F.sum("n").alias("degree")), "node")
+    each = vectors.select("node", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select("node", F.col("x.hs").alias("s"), F.col("x.ws").alias("w"))
+    lone = each.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("w").alias("w")).filter("node = other").groupBy("node").agg(F.sum("w").alias("lone"))
+    about = vectors.select("node", "degree", "total", (F.col("total") - F.aggregate("ws", F.lit(0.0), lambda a, x: a + x)).alias("unshared")).join(lone, "node", "left")
+    own = F.greatest(F.lit(0.0), F.col("unshared") + F.coalesce("lone", F.lit(0.0)))
+    # what is a fifth and more of their weight of its own is like no other
+    about = about.select("node", "total", own.alias("own"), F.struct(F.round(own / F.col("total"), 2).alias("share"), (-F.col("degree")).alias("less"), "node").alias("rank")).filter(F.col("total") - F.col("own") >= threshold * F.col("total") - EPS)
+    return store(several(found.drop("n").join(about, "node")).drop("n"), "members")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, held) -> DataFrame:
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id and h, the hash of the text, of each row of ``docs``; h, id, the least of its rows, and class_id of each distinct text)."""
+    signed = store(signatures(docs, threshold), "signed")
+    vector = F.first(F.when(F.col("keys").isNotNull(), F.struct("total", "keys", "hs", "ws")), ignorenulls=True)
+    # a node for each text; its row with the least id stands for it
+    texts = store(signed.groupBy("h").agg(F.min("id").alias("id"), vector.alias("v")).select("h", "id", "v.*").withColumn("node", F.monotonically_increasing_id()), "texts")
+    bodies, at = texts.select("node", "total", "hs", "ws"), bucket_members(texts, threshold)
+    known = links = met = None
+    for turn in range(TURNS):
+        lead = at.groupBy("band", "key").agg(F.min(F.struct("rank", "total")).alias("r")).select("band", "key", F.col("r.rank.node").alias("hub"), F.col("r.total").alias("hub_total"))
+        here = store(at.join(lead, ["band", "key"]).withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")), "turn")
+        pairs = here.filter("node != hub").select("a", "b").distinct()
+        pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
+        sims = store(compare(pairs, bodies), "similarities")
+        known = sims if known is None else known.unionByName(sims)
+        links = store(known.filter(F.col("sim") >= threshold - EPS).select("a", "b"), "links")
+        classes = components(links)
+        # overlap with the hub, and what else other texts may share
+        both = here.join(known, ["a", "b"], "left").withColumn("sim", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("sim")))
+        both = both.withColumn("o", F.col("sim") * (F.col("total") + F.col("hub_total")) / (1 + F.col("sim"))).withColumn("e", F.greatest(F.lit(0.0), F.col("total") - F.col("o") - F.col("own")))
+        both = labelled(labelled(both, classes, "node", "class"), classes, "hub", "hub_class").withColumn("near", F.col("class") == F.col("hub_class"))
+        both = store(both.select(F.lit(turn).alias("turn"), "band", "key", "node", "total", "own", "rank", "o", "e", "hub_total", "near"), "met")
+        met = both if met is None else met.unionByName(both)
+        apart = both.filter(~F.col("near"))
+        sizes = apart.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        at = apart.join(sizes, ["band", "key"]).select("band", "key", "node", "total", "own", "rank")
+        if turn + 1 < TURNS:
+            at = store(at, "apart")
+            if not at.limit(1).count():
+                break
+    pairs = possible_pairs(met, turn, components(links), threshold).join(known, ["a", "b"], "left_anti")
+    more = compare(pairs, bodies).filter(F.col("sim") >= threshold - EPS).select("a", "b")
+    classes = components(store(links.unionByName(more), "links"))
+    by_node = labelled(texts.select("h", "id", "node"), classes, "node", "class")
+    least = by_node.join(classes.select("node"), "node", "left_semi").groupBy("class").agg(F.min("id").alias("class_id"))
+    return signed.select("id", "h"), by_node.join(least, "class", "left").select("h", "id", F.coalesce("class_id", "id").alias("class_id"))
+
+
+def labelled(rows: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the class of the column ``node``, which is the node itself where it isn't linked."""
+    return rows.join(classes.select(F.col("node").alias(node), F.col("class").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def possible_pairs(met: DataFrame, last: int, classes: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs a < b of texts of different classes that met the same hub and that the bound on their overlap doesn't rule out."""
+    key = ["turn", "band", "key"]
+    step = lambda c: F.floor(F.col(c) / F.col("hub_total") * STEPS).cast("int")
+    rows = store(labelled(met, classes, "node", "class").withColumn("cell", F.struct("near", step("o").alias("o"), step("e").alias("e"), step("total").alias("t"))), "cells")
+    cells = rows.groupBy(*key, "cell").agg(F.max("o").alias("o"), F.max("e").alias("e"), F.min("total").alias("total"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
+    cells = store(cells, "cell-bounds")
+
+    def side(of: DataFrame, name: str, columns: list[str]) -> DataFrame:
+        return of.select(*key, *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
+    most = F.least("x_o", "y_o") + F.least("x_e", "y_e")
+    room = most >= (threshold - EPS) * (F.col("x_total") + F.col("y_total") - most)
+    # the connected meet those that aren't, and these in the last turn each other
+    order = (F.col("x_cell.near") & ~F.col("y_cell.near")) | ((F.col("turn") == last) & ~F.col("x_cell.near") & ~F.col("y_cell.near") & (F.col("x_cell") <= F.col("y_cell")))
+    one = (F.col("x_lo") == F.col("x_hi")) & (F.col("x_lo") == F.col("y_lo")) & (F.col("x_lo") == F.col("y_hi"))
+    columns = ["cell", "o", "e", "total", "lo", "hi"]
+    some = store(side(cells, "x", columns).join(side(cells, "y", columns), key).filter(order & room & ~one).select(*key, "x_cell", "y_cell"), "cell-pairs")
+    columns = ["cell", "node", "o", "e", "total", "own", "class"]
+    pairs = some.join(side(rows, "x", columns), [*key, "x_cell"]).join(side(rows, "y", columns), [*key, "y_cell"])
+    most = F.least(most, F.col("x_total") - F.col("x_own"), F.col("y_total") - F.col("y_own"))
+    room = most >= (threshold - EPS) * (F.col("x_total") + F.col("y_total") - most)
+    once = (F.col("x_cell") != F.col("y_cell")) | (F.col("x_node") < F.col("y_node"))
+    return pairs.filter((F.col("x_class") != F.col("y_class")) & room & once).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def compare(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """a, b, sim for each pair of nodes."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    side = lambda n: bodies.select(F.col("node").alias(n), F.col("total").alias(f"t{n}"), F.col("hs").alias(f"h{n}"), F.col("ws").alias(f"w{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = lru_cache(64)(lambda text: vector(text, held.value))  # sorted by b, so its text comes again and again
         for batch in slices(batches):
-            sims = [similarity(vector(x, held.value), get(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            lists = []
+            for k in (4, 5, 6, 7):
+                c = batch.column(k)
+                edge, flat = c.offsets.to_numpy(), c.values.to_numpy()
+                lists.append([flat[x:y].view(_U) if k < 6 else flat[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)])
+            sims = [similarity((ha, wa), (hb, wb), t) for ha, hb, wa, wb, t in zip(*lists, total.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
+    return both.select("a", "b", "ta", "tb", "ha", "hb", "wa", "wb").mapInArrow(run, "a long, b long, sim double")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each class; of repeated rows one. Unlike texts that share an id each stay."""
     keep = text_classes(docs.select("doc_id", "text"), threshold)[1].filter("id = class_id").select("id", "h")
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("id"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("h"))
+    packed_ = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("id"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("h"))
     # the same keys for the join and the choice: one exchange
-    return packed.join(keep.hint("shuffle_hash"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("row.*")
+    return packed_.join(keep.hint("shuffle_hash"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("row.*")
 
 
 def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD) -> dict[int, int]:
     """doc_id to class_id by comparing all pairs, for tests."""
     texts = [encoded(t) for _, t in docs]
-    grams = [shingle_counts([t]) for t in texts]
+    grams = [shingle_counts([t])[:2] for t in texts]
     h, n = np.unique(np.concatenate([g[0] for g in grams] or [np.empty(0, _U)]), return_counts=True)
-    often = n >= FLOOR * len(docs)
-    weights = Weights(len(docs), h[often], n[often])
-    vectors = [(g[0], weights.of(g[0], g[1])) for g in grams]
+    vectors = [(g, c * idf(len(docs), n[np.searchsorted(h, g)])) for g, c in grams]
     root = list(range(len(docs)))
 
     def find(i):
@@ -379,7 +460,7 @@ def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD
 
     for i in range(len(docs)):
         for j in range(i):
-            if texts[i] == texts[j] or (len(vectors[i][0]) and len(vectors[j][0]) and similarity(vectors[i], vectors[j]) >= threshold):
+            if texts[i] == texts[j] or similarity(vectors[i], vectors[j], vectors[i][1].sum() + vectors[j][1].sum()) >= threshold - EPS:
                 root[find(i)] = find(j)
     least: dict[int, int] = {}
     for i, (d, _) in enumerate(docs):
