@@ -356,7 +356,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     # a node for each text; its row with the least id stands for it
     texts = store(signed.groupBy("h").agg(F.min("id").alias("id"), vector.alias("v")).select("h", "id", "v.*").withColumn("node", F.monotonically_increasing_id()), "texts")
     bodies, at = texts.select("node", "total", "hs", "ws"), bucket_members(texts, threshold)
-    known = links = met = None
+    known = links = met = classes = None
     for turn in range(TURNS):
         lead = at.groupBy("band", "key").agg(F.min(F.struct("rank", "total")).alias("r")).select("band", "key", F.col("r.rank.node").alias("hub"), F.col("r.total").alias("hub_total"))
         here = store(at.join(lead, ["band", "key"]).withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")), "turn")
@@ -379,7 +379,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
             at = store(at, "apart")
             if not at.limit(1).count():
                 break
-    pairs = possible_pairs(met, turn, components(links), threshold).join(known, ["a", "b"], "left_anti")
+    pairs = possible_pairs(met, turn, classes, threshold).join(known, ["a", "b"], "left_anti")
     more = compare(pairs, bodies).filter(F.col("sim") >= threshold - EPS).select("a", "b")
     classes = components(store(links.unionByName(more), "links"))
     by_node = labelled(texts.select("h", "id", "node"), classes, "node", "class")
