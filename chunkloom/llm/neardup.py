@@ -50,7 +50,7 @@ from chunkloom.llm.words import encoded, mix, shingle_hashes, word_hashes
 THRESHOLD, WIDTH = 0.8, 5
 BANDS, ROWS = 14, 3
 #: Shingles of a block, and on average of a shard; shards at least; texts of a block from which on a shingle's owners stay out of its shard.
-BLOCK, SHARD, SHARDS, COMMON = 2_000_000, 2_000_000, 32, 64
+BLOCK, SHARD, SHARDS, COMMON = 1_000_000, 1_000_000, 32, 64
 #: Hubs that a bucket gets one after the other; steps of a hub's weight in which members are put together in cells.
 TURNS, STEPS = 3, 64
 EPS = 1e-9
@@ -455,7 +455,8 @@ def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD
 
     def find(i):
         while root[i] != i:
-            i = root[i] = root[root[i]]
+            root[i] = root[root[i]]
+            i = root[i]
         return i
 
     for i in range(len(docs)):

@@ -2,19 +2,19 @@
 
 Each stretch of text that no piece can cross is encoded by a score-ordered agenda of adjacent symbol pairs: the pair whose
 merged piece scores highest goes first, the leftmost among equals. Symbols outside the vocabulary fall back to bytes. The
-ids of each whole text are compared with the sentencepiece library's; a difference raises.
+ids of each whole text, batch after batch, are compared with the sentencepiece library's; a difference raises.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated results. Whole texts are
-encoded, however long. One pass, no shuffle; the cache of stretches is bounded by ``CACHE``.
+encoded, however long. One pass, no shuffle; the cache of stretches is bounded by ``CACHE`` and emptied when a task ends.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +25,7 @@ MARK = "▁"
 #: What words are cut from: also characters like ² that aren't alphabetic.
 LETTER = r"[^\W\d_]"
 #: Stretches remembered per Python worker, at most twice as many.
-CACHE = 300_000
+CACHE = 150_000
 
 
 class Encoder:
@@ -47,105 +47,73 @@ class Encoder:
         apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
         word = f"{MARK}*{LETTER}+(?=[{apart}])|" if apart else ""  # no piece has a letter and then one of these
         self.split = re.compile(f"{word}{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
-        self.check, self.new, self.old, self.fresh = check, {}, {}, []
-        head = lib.encode("\n")
-        self.head = len(head)
+        self.check, self.new, self.old = check, {}, {}
 
     def symbols(self, stretch: str) -> list[str]:
-        """Merge adjacent symbols in the order of the agenda."""
-        score = self.score
-        if len(stretch) > 48:
-            return self.agenda(stretch)
-        s = list(stretch)
-        pairs = [score.get(a + b) for a, b in zip(s, s[1:])]  # the agenda of a short stretch: scanned, not heaped
-        while True:
-            best, at = None, -1
-            for i, v in enumerate(pairs):
-                if v is not None and (best is None or v > best):
-                    best, at = v, i
-            if at < 0:
-                return s
-            s[at : at + 2] = [s[at] + s[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = score.get(s[at - 1] + s[at])
-            if at < len(pairs):
-                pairs[at] = score.get(s[at] + s[at + 1])
-
-    def agenda(self, stretch: str) -> list[str]:
-        """The same with a heap and linked symbols, for long stretches."""
-        score, s, n = self.score, list(stretch), len(stretch)
+        """Merge adjacent symbols in the order of the agenda: a heap of pairs by score and place, over linked symbols."""
+        score, s, n = self.score.get, list(stretch), len(stretch)
+        heap = [(-v, i, x) for i, x in enumerate(map(add, s, s[1:])) if (v := score(x)) is not None]
+        if not heap:
+            return s
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(-v, i, s[i] + s[i + 1]) for i in range(n - 1) if (v := score.get(s[i] + s[i + 1])) is not None]
-        heapq.heapify(heap)
+        heapify(heap)
         while heap:
-            _, i, joined = heapq.heappop(heap)
+            _, i, joined = heappop(heap)
             j = after[i]
-            if not s[i] or j < 0 or s[i] + s[j] != joined:
-                continue
+            if j < 0 or not s[i] or s[i] + s[j] != joined:
+                continue  # one of the pair has been merged since
             s[i], s[j] = joined, ""
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (v := score.get(s[a] + s[b])) is not None:
-                    heapq.heappush(heap, (-v, a, s[a] + s[b]))
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (v := score(x := joined + s[k])) is not None:
+                    heappush(heap, (-v, i, x))
+            k = before[i]
+            if k >= 0 and (v := score(x := s[k] + joined)) is not None:
+                heappush(heap, (-v, k, x))
         return [x for x in s if x]
 
-    def stretch_ids(self, stretch: str) -> tuple[int, ...]:
+    def stretch_ids(self, stretch: str) -> str:
+        """Decimal ids joined by commas."""
         out: list[int] = []
         for x in self.symbols(stretch):
             if (i := self.ids.get(x)) is not None:
                 out.append(i)
             else:
                 out.extend(self.byte0 + b for b in x.encode("utf-8", "surrogatepass"))
-        return tuple(out)
-
-    def lookup(self, stretch: str) -> tuple[tuple[int, ...], str]:
-        found = self.old.get(stretch)
-        if found is None:
-            ids = self.stretch_ids(stretch)
-            found = ids, ",".join(map(str, ids))
-            self.fresh.append(stretch)
-        self.new[stretch] = found
-        if len(self.new) >= CACHE:  # two generations: what is in use moves on, the rest goes
-            self.confirm()
-            self.old, self.new = self.new, {}
-        return found
-
-    def confirm(self) -> None:
-        """Compare what is new with the library."""
-        if self.check and self.fresh:
-            starts = [s[0] == MARK and len(s) > 1 for s in self.fresh]
-            theirs = self.library.encode([s[1:] if m else f"\n{s}" for s, m in zip(self.fresh, starts, strict=True)], num_threads=1)
-            for s, m, t in zip(self.fresh, starts, theirs, strict=True):
-                ours = (self.new.get(s) or self.old.get(s))[0]
-                # after a line end the library is asked with that line end in front
-                if list(ours) != (t if m else t[self.head :]):
-                    raise ValueError(f"encoding of {s!r} differs from the library's")
-        self.fresh = []
-
-    def confirm_text(self, text: str, ids: list[int]) -> None:
-        """Compare a whole text with the library, so where it was cut too."""
-        if self.check and ids != self.library.encode(text):
-            raise ValueError(f"encoding of {text[:80]!r} differs from the library's")
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        return ",".join(map(str, out))
+
+    def joined(self, text: str) -> str:
+        """Decimal ids of a text joined by commas."""
         if not text:
-            return []
-        get, new = self.new.get, self.new
-        out = []
+            return ""
+        new, old, out = self.new, self.old, []
         for s in self.split.findall(MARK + text.replace(" ", MARK)):
-            x = get(s)
+            x = new.get(s)
             if x is None:
-                x = self.lookup(s)
-                if self.new is not new:
-                    get, new = self.new.get, self.new
+                x = new[s] = old.get(s) or self.stretch_ids(s)
             out.append(x)
-        return out
+            if len(new) >= CACHE:  # two generations: what is in use moves on, the rest goes
+                self.old = old = new
+                self.new = new = {}
+        return ",".join(out)
+
+    def checked(self, text: str | None) -> tuple[list[int], str]:
+        """The ids of a whole text, compared with the library's, and the same in decimal, joined by commas."""
+        said = self.joined(text or "")
+        if not self.check:
+            return list(map(int, said.split(","))) if said else [], said
+        ids = self.library.encode(text or "")
+        if ",".join(map(str, ids)) != said:
+            raise ValueError(f"encoding of {(text or '')[:80]!r} differs from the library's")
+        return ids, said
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.parts(text or "")))
+        return self.checked(text)[0]
+
+    def forget(self) -> None:
+        """Empty the cache, which a Python worker would else keep for as long as it lives."""
+        self.new, self.old = {}, {}
 
     def decode(self, ids: list[int]) -> str:
         """What the ids stand for: pieces with their marks as spaces, byte runs as UTF-8, without the leading mark."""
@@ -177,16 +145,13 @@ def piece_digest(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
     def work(columns: list[list]) -> list[list]:
         enc, n, a, b = encoder(model, check), [], [], []
         for text in columns[1]:
-            found = enc.parts(text or "")
-            ids = list(chain.from_iterable(x[0] for x in found))
-            enc.confirm_text(text or "", ids)
+            ids, said = enc.checked(text)
             n.append(len(ids))
-            a.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
+            a.append(hashlib.sha256(said.encode()).hexdigest())
             b.append(hashlib.sha256(enc.library.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-        enc.fresh = []  # compared within their texts
         return [columns[0], n, a, b]
 
-    return rowwise(docs, ["doc_id", "text"], SCHEMA, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rowwise(docs, ["doc_id", "text"], SCHEMA, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: encoder(model, check).forget())
 
 
 def piece_ids(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
@@ -194,13 +159,9 @@ def piece_ids(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
 
     def work(columns: list[list]) -> list[list]:
         enc = encoder(model, check)
-        out = [enc.encode(t) for t in columns[1]]
-        for text, ids in zip(columns[1], out, strict=True):
-            enc.confirm_text(text or "", ids)
-        enc.fresh = []  # compared within their texts
-        return [columns[0], out]
+        return [columns[0], [enc.encode(t) for t in columns[1]]]
 
-    return rowwise(docs, ["doc_id", "text"], pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), work, "doc_id long, ids array<int>")
+    return rowwise(docs, ["doc_id", "text"], pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), work, "doc_id long, ids array<int>", lambda: encoder(model, check).forget())
 
 
 def piece_texts(tokens: DataFrame, model: str) -> DataFrame:

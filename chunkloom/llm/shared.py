@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: storage that all executors see, and Arrow helpers.
 
-Intermediate tables go below ``spark.checkpoint.dir`` as read from the session. Only where that is
-unset, as in tests, a folder is made and set.
+Intermediate tables go below ``spark.checkpoint.dir`` as read from the session, or the context's checkpoint folder. Only where
+neither is set and Spark runs in one process, as in tests, a folder is made and set; on a cluster that raises.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='chunkloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,20 +52,22 @@ def _clean() -> None:
             return
 
 
-def rowwise(df: DataFrame, columns: list[str], schema: pa.Schema, work: Callable[[list[list]], list[list]], sql_schema: str) -> DataFrame:
-    """Map ``columns`` of each Arrow batch, given as lists, to output columns. Map only: no shuffle."""
-    return df.select(*columns).mapInArrow(mapper(work, schema), sql_schema)
+def rowwise(df: DataFrame, columns: list[str], schema: pa.Schema, work: Callable[[list[list]], list[list]], sql_schema: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """Map ``columns`` of each Arrow batch, given as lists, to output columns. Map only: no shuffle. ``end`` is called when a task ends."""
+    return df.select(*columns).mapInArrow(mapper(work, schema, end), sql_schema)
 
 
-def mapper(work: Callable[[list[list]], list[list]], schema: pa.Schema, rows: int = 2000):
+def mapper(work: Callable[[list[list]], list[list]], schema: pa.Schema, end: Callable[[], None] | None = None, rows: int = 500):
     """Slices of at most ``rows`` rows bound what Python holds at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = work([c.to_pylist() for c in part.columns])
+        try:
+            for batch in slices(batches, rows):
+                out = work([c.to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
+        finally:
+            if end:
+                end()
 
     return run
 

@@ -207,24 +207,39 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_near_classes_match_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
+def near_found(spark, rows):
+    return {x.doc_id: x.class_id for x in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+
+
+@pytest.mark.parametrize("common", [neardup.COMMON, 2])
+def test_near_classes_match_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(neardup, "COMMON", common)
+    monkeypatch.setattr(neardup, "BLOCK", 3000)  # several blocks a task
     rows = near_rows()
-    got = {x.doc_id: x.class_id for x in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = neardup.brute_force(rows)
-    wrong = sum(got[d] != want[d] for d in want)
-    assert len(got) == len(want) and wrong <= (0 if small > 2 else 2)
+    assert near_found(spark, rows) == neardup.brute_force(rows)
+
+
+def test_large_groups_match_brute_force(spark):
+    """Two groups of over 200 loosely and closely similar versions of texts that are like each other, and others: no link is lost."""
+    r = random.Random(12)
+    base = words(77, 90).split()
+    other = base[:66] + words(78, 24).split()
+    rows = [(i, words(5000 + i, 60)) for i in range(200)]
+    for i in range(430):
+        t = list(base if i % 2 else other)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 3, 4])):
+            t[r.randrange(len(t))] = f"e{r.randrange(40)}"
+        rows.append((1000 + i, " ".join(t)))
+    assert near_found(spark, rows) == neardup.brute_force(rows)
 
 
 def test_chains_in_one_bucket_stay_whole(spark, monkeypatch):
     """Six families of drifting versions, neighbours over 0.8 and others below, all in one bucket: each is one class."""
-    monkeypatch.setattr(neardup, "SMALL", 2)
 
-    def one_bucket(texts, weights):
-        return np.arange(len(texts)), np.zeros((len(texts), 1), np.uint64)
-
-    monkeypatch.setattr(neardup, "band_keys", one_bucket)
+    sizes = neardup.F.lit(0).cast("long")
+    members = neardup.bucket_members
+    monkeypatch.setattr(neardup, "bucket_members", lambda texts, threshold: members(texts.withColumn("keys", neardup.F.array(sizes)), threshold))
+    monkeypatch.setattr(neardup, "TURNS", 2)
     r, texts = random.Random(1), []
     for g in range(6):
         t = words(510 + g, 60).split()
@@ -232,9 +247,14 @@ def test_chains_in_one_bucket_stay_whole(spark, monkeypatch):
             texts.append((g, " ".join(t)))
             t[at] = f"e{at}"
     r.shuffle(texts)
-    least = {g: min(i for i, (x, _) in enumerate(texts) if x == g) for g in range(6)}
-    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
-    assert {x.doc_id: x.class_id for x in neardup.near_classes(docs).collect()} == {i: least[g] for i, (g, _) in enumerate(texts)}
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    assert near_found(spark, rows) == neardup.brute_force(rows)
+
+
+def test_packets_round_trip():
+    for arrays in ([np.arange(5, dtype=np.uint64), np.array([7], np.uint32)], [np.empty(0, np.uint64)]):
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, neardup.unpacked(neardup.packed(*arrays)), strict=True))
+    assert neardup.runs(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
 
 
 def test_near_classes_of_awkward_rows(spark, awkward, empty, awkward_rows):
@@ -257,12 +277,19 @@ def test_collision_rate_is_weighted_jaccard():
     assert abs(hit - true) < 0.03
 
 
-def test_frequent_shingles_are_counted_exactly(spark):
+def test_document_frequencies_are_exact(spark, monkeypatch):
+    """Weights of shared shingles by the frequencies over all rows, repeated texts and common shingles included."""
     common = "this passage stands in very many of the texts here"
-    rows = [(i, f"{words(i, 30)} {common if i % 2 else ''}") for i in range(200)]
-    w = neardup.frequent_shingles(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    grams = Counter(g for _, t in rows for g in set(neardup.shingle_counts([encoded(t)])[0].tolist()))
-    often = {g: n for g, n in grams.items() if n >= neardup.FLOOR * len(rows)}
-    assert set(often) <= set(w.hashes.tolist())
-    for g, n in often.items():
-        assert abs(w.idf[w.hashes.tolist().index(g)] - math.log1p(len(rows) / n)) < 1e-9
+    rows = [(i, f"{words(i % 90, 3)} {common if i % 2 else words(i, 2)} {common}") for i in range(200)]
+    monkeypatch.setattr(neardup, "COMMON", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 900)
+    got = neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 0.1).collect()
+    df = Counter(g for _, t in rows for g in set(neardup.shingle_counts([encoded(t)])[0].tolist()))
+    texts = {hashlib.md5(encoded(t)).hexdigest(): t for _, t in rows}
+    assert sorted(x.id for x in got) == list(range(200)) and {x.h for x in got if x.keys} == set(texts)
+    for x in got:
+        if x.keys:
+            s, n = neardup.shingle_counts([encoded(texts[x.h])])[:2]
+            w = dict(zip(s.tolist(), (n * neardup.idf(200, np.array([df[g] for g in s.tolist()]))).tolist(), strict=True))
+            assert math.isclose(x.total, sum(w.values()))
+            assert {h % 2**64: round(v, 9) for h, v in zip(x.hs, x.ws, strict=True)} == {h: round(v, 9) for h, v in w.items() if df[h] > 1}
