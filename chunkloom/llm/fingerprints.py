@@ -5,14 +5,16 @@ For sample k each term of weight S draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from
 t = floor(ln S / r + b) and ln a = ln c - r (t - b + 1), the term with the least a is the sample, and (term, t) its value. Two texts
 agree in a sample with the probability of their generalised Jaccard similarity, the sum of the smaller weights by that of the larger.
 
-Plan. Rows are dealt out once, by ranges of doc_id, and everything after that (the next document's text, word counts, samples,
-fingerprints) runs inside those partitions: ``(range, place)`` keys refine the partitioning, so Spark adds no exchange. The first row of
-each range is also given to the range before it, so "next" needs no global order. ``samples`` are drawn ``WIDE`` at a time in generated
-code.
+Plan. Rows are dealt out once, by ranges of (doc_id, hash of the text), and everything after that (the next document's text, word counts,
+samples, fingerprints) runs inside those partitions: ``(range, place)`` keys refine the partitioning, so Spark adds no exchange. The bounds of
+the ranges are quantiles of a sample chosen by hash, so ranges hold about ``RANGE`` rows however ids are spread, negative, 64-bit or null ones too;
+a row finds its range by binary search. The first row of each range is also given to the range before it, so "next" needs no global order.
+``samples`` are drawn ``WIDE`` at a time in generated code.
 
-The next document is the one with the next smaller doc_id (null being the least, equal ids in the order of their texts' hashes), after
+The next document is the one with the next smaller doc_id (null being the least, equal ids in falling order of their texts' hashes), after
 the last the first; a single document is its own next. Null and empty texts are empty; a text without words has one term that no other
-text shares a fingerprint by, so such texts are alike. Repeated rows are rows of their own. Further columns are ignored.
+text shares a fingerprint by, so such texts are alike. Repeated rows are rows of their own (and share a range). Further columns are ignored.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,28 +23,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES, WIDE = 64, 8
-#: Rows, by doc_id, of a range, and the number of ranges whose first ids are broadcast (16 bytes each).
-RANGE, RANGES = 256, 100_000
-_NULL = -(2**62)
+#: Rows of a range, ranges at most, and sampled rows for each bound; the bounds are two longs each.
+RANGE, RANGES, DRAWN = 256, 50_000, 20
+_LEAST = -(2**63)
 _UNIT = 2.0**-21
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """text, and _id and _h, by which rows are in order: null ids come as the least, and before it."""
+    text, known = F.coalesce("text", F.lit("")), F.col("doc_id").isNotNull()
+    h = F.shiftrightunsigned(F.xxhash64(text), 1)
+    return docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("_id"), F.when(known, h).otherwise(h.bitwiseOR(F.lit(_LEAST))).alias("_h"))
+
+
+def bounds(rows: DataFrame) -> list[tuple[int, int]]:
+    """The least (_id, _h) of each range but the first: at most RANGES, out of DRAWN times as many rows."""
+    n = rows.count()
+    ranges = min(RANGES, -(-n // RANGE))
+    if ranges < 2:
+        return []
+    every = max(1, n // (DRAWN * ranges))
+    drawn = rows.filter(F.pmod(F.xxhash64("_id", "_h"), F.lit(every)) == 0).select("_id", "_h").distinct().toArrow()
+    keys = sorted(zip(drawn["_id"].to_pylist(), drawn["_h"].to_pylist(), strict=True))
+    return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
+
+
+def range_of(edges: list[tuple[int, int]]) -> Column:
+    """The number of bounds up to a row's (_id, _h), by binary search in constant arrays."""
+    if not edges:
+        return F.lit(0)
+    ids, hashes = (F.split(F.lit(",".join(str(e[k]) for e in edges)), ",").cast("array<bigint>") for k in (0, 1))
+
+    def step(at: Column, width: Column) -> Column:
+        i, h = F.get(ids, at + width - 1), F.get(hashes, at + width - 1)
+        below = (i < F.col("_id")) | ((i == F.col("_id")) & (h <= F.col("_h")))
+        return F.when((at + width <= len(edges)) & below, at + width).otherwise(at)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(len(edges).bit_length())))), F.lit(0), step)
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """part, place, extra, _id, text, next: each text beside the next document's; rows with ``extra`` stand in for a next range's first."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
-    least, most = docs.filter("doc_id is not null").agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(RANGE, -(-((most or 0) - (least or 0) + 1) // RANGES))
-    base = docs.select(F.coalesce("text", F.lit("")).alias("text"), ids.alias("_id"))
-    # the null ids' range comes below all others
-    part = lambda c: F.when(c == _NULL, F.lit(-1)).otherwise(F.floor((c - (least or 0)) / width))
-    heads = base.groupBy(part(F.col("_id")).alias("part")).agg(F.max("_id").alias("_id"))  # no more than RANGES + 1 rows
+    """part, place, extra, _id, _h, text, next: each text beside the next document's; rows with ``extra`` stand in for a next range's first."""
+    base = ordered(docs)
+    part = range_of(bounds(base))
+    heads = base.select("_id", "_h", part.alias("part")).groupBy("part").agg(F.max(F.struct("_id", "_h")).alias("x")).select("part", "x.*")  # no more than RANGES rows
     order = Window.orderBy(F.desc("part"))
-    above = heads.select("_id", F.coalesce(F.lag("part").over(order), F.min("part").over(Window.partitionBy())).alias("above"))
-    spread = base.join(F.broadcast(above), "_id", "left").withColumn("part", part(F.col("_id")))
-    both = spread.select("_id", "text", F.explode(F.when(F.col("above").isNull(), F.array(F.struct("part", F.lit(0).alias("extra")))).otherwise(F.array(F.struct("part", F.lit(0).alias("extra")), F.struct(F.col("above").alias("part"), F.lit(1).alias("extra"))))).alias("_to"))
-    w = Window.partitionBy("part").orderBy("extra", F.desc("_id"), F.xxhash64("text"))
-    return both.select("_id", "text", "_to.*").select("*", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("next"))
+    above = heads.select("_id", "_h", F.coalesce(F.lag("part").over(order), F.min("part").over(Window.partitionBy())).alias("above"))
+    spread = base.withColumn("part", part).join(F.broadcast(above), ["_id", "_h"], "left")
+    both = spread.select("_id", "_h", "text", F.explode(F.when(F.col("above").isNull(), F.array(F.struct("part", F.lit(0).alias("extra")))).otherwise(F.array(F.struct("part", F.lit(0).alias("extra")), F.struct(F.col("above").alias("part"), F.lit(1).alias("extra"))))).alias("_to"))
+    w = Window.partitionBy("part").orderBy("extra", F.desc("_id"), F.desc("_h"))
+    return both.select("_id", "_h", "text", "_to.*").select("*", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("next"))
 
 
 def edited(n: Column) -> Column:
@@ -99,6 +130,49 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     rows = neighbours(docs.select("doc_id", "text"))
     prints = fingerprints(rows).withColumn("after", F.lead("own").over(Window.partitionBy("part").orderBy("place")))
     n = F.char_length("text")
-    about = rows.filter("extra = 0").select("part", "place", F.when(F.col("_id") != _NULL, F.col("_id")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(edited(n).cast("binary"), 256).alias("edited_sha256"))
+    about = rows.filter("extra = 0").select("part", "place", F.when(F.col("_h") >= 0, F.col("_id")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(edited(n).cast("binary"), 256).alias("edited_sha256"))
     both = about.join(prints, ["part", "place"])
     return both.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("edit")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))
+
+
+def brute_force(text: str) -> str:
+    """The fingerprint of a text, sample by sample, with the hash function of the query; for tests."""
+    import math
+    import re
+    import struct
+    from collections import Counter
+
+    import xxhash
+
+    words = Counter(re.split(SEPARATORS, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c.lower() for c in text) + " "))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+
+    def hashed(*values: int | bytes) -> int:
+        seed = 42
+        for v in values:
+            data = v if isinstance(v, bytes) else struct.pack("<q", v) if abs(v) >= 2**31 or v in terms else struct.pack("<i", v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+        return seed
+
+    terms: set[int] = set()
+    found = {}
+    for word, n in words.items():
+        term = signed(hashed(word.encode()))
+        terms.add(term)
+        found[term] = -30.0 if word == "" else math.log(n)
+    bits, unit, out = 0x1FFFFF, lambda c: (c + 0.5) * _UNIT, []
+    for g in range(SAMPLES // WIDE):
+        for j in range(WIDE):
+            best = None
+            for term, ln in found.items():
+                x, y = hashed(term, g * WIDE + j), hashed(g, term, j)
+                gamma = lambda c: -math.log(unit((c >> 21) & bits) * unit(c & bits))
+                r, c, b = gamma(x), math.log(gamma(y)), (x >> 43) * _UNIT
+                t = math.floor(ln / r + b)
+                a = c - r * (t - b + 1)
+                high = int((max(a, -63.0) + 64) * 2.0**26) << 30
+                packed = high | ((x ^ (t % 2**64)) & (2**30 - 1))
+                packed = signed(packed % 2**64)
+                best = packed if best is None else min(best, packed)
+            out.append(best & (2**30 - 1))
+    return "".join(f"{v:08x}" for v in out)
