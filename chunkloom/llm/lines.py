@@ -6,9 +6,10 @@ A line's key is the line without white space (``[\\x20\\x09-\\x0D]``) at its end
 1. Distinct keys, as two independent 64-bit hashes, are counted with map-side combining (a line in every document is one row per
    task): occurrences, smallest and largest doc_id.
 2. Each shard of them becomes a minimal perfect hash (levels of bit arrays; the rank of a key's bit is its slot) over compact arrays
-   of fingerprints, counts and keepers. The number of shards follows the number of distinct keys, so a shard stays small.
+   of fingerprints, counts and keepers. The number of shards follows the number of distinct keys and of lines, so neither a shard's
+   arrays nor the lines that probe it are many.
 3. Lines go to their shard as hashes and probe its arrays; no line text is shuffled or joined. Keys with at least a quarter of a
-   shard's mean load, of which there can be at most four times as many as shards, are probed before that in a broadcast, so no
+   shard's mean load, of which there can be at most four times as many as shards and ``FREQUENT``, are probed before that in a broadcast, so no
    shard is hot.
 4. What is to be dropped returns to its document by doc_id.
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from chunkloom.llm.shared import store
 from chunkloom.llm.words import mix
 
-MIN_CHARS, SHARD = 10, 250_000
+#: Distinct keys and lines of a shard on average; frequent keys that are broadcast at most (32 bytes each).
+MIN_CHARS, SHARD, LINES, FREQUENT = 10, 250_000, 1_000_000, 1_000_000
 _LAST = 2**63 - 1
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -123,8 +125,8 @@ def line_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     keys = line_keys(docs).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_did").alias("lo"), F.max("_did").alias("hi"))
     keys = store(keys, "line-keys")
     distinct, total = keys.agg(F.count("*"), F.sum("n")).first()
-    shards = max(8, -(-distinct // SHARD))
-    heavy = keys.filter(F.col("n") >= max(64, (total or 0) // (4 * shards)))  # at most 4 * shards rows
+    shards = max(8, -(-distinct // SHARD), -(-(total or 0) // LINES))
+    heavy = keys.filter(F.col("n") >= max(64, -(-(total or 0) // min(FREQUENT, 4 * shards))))  # so at most FREQUENT rows
     index = keys.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards))).groupBy("shard").applyInArrow(build_shard, INDEX_SQL)
     return store(index, "line-index"), heavy, shards
 
