@@ -1,13 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 Benchmark items are partitioned by their number of distinct word shingles (powers of two, and by shingle width for items of
-fewer than five words). Within a partition an item of q shingles is held as the ``q - ceil(t q) + 1`` smallest hashes of its
-shingles, a bottom-k MinHash whose size follows the partition: a text that holds at least the share ``t`` of the item's
-shingles must hold one of these (it can miss at most ``q - ceil(t q)``), so the search loses nothing. Every document's
-shingles probe the sketches; candidates are verified on the words themselves.
+fewer than five words). Each partition is an index of its own: an item of q shingles is held there as a bottom-k MinHash, the
+``k = q - ceil(t q) + 1 + SPARE`` smallest hashes of its shingles (all, if it has fewer), whose size follows the partition. A text that holds at least
+the share ``t`` of the item's shingles misses at most ``q - ceil(t q)`` of all and so of these; so a text is a candidate if it holds
+``k - (q - ceil(t q))`` of the sketch or more: the sketch's estimate of containment, at a bound that loses nothing. Every document's
+shingles probe each partition; candidates are verified on the words themselves.
 
 The items are the stated query set. They are taken in blocks of at most ``BLOCK`` rows and ``BLOCK_BYTES`` bytes of text, each block
-against all documents, so what is broadcast doesn't grow with either table. Documents are read in one map per block: no shuffle.
+against all documents, so a task holds one block's sketches, whatever the size of either table. Documents are read in one map per block: no
+shuffle; ``decontaminate`` stores what one block leaves for the next.
 
 Null and empty texts contain nothing and items without words match nothing. Repeated documents or items give repeated rows. Further
 columns are ignored. Empty tables give no rows.
@@ -16,17 +18,20 @@ columns are ignored. Empty tables give no rows.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chunkloom.llm.shared import store
 from chunkloom.llm.words import FOLD, chunks, encoded, shingle_hashes, word_hashes
 
 BLOCK, BLOCK_BYTES = 20_000, 32_000_000
 WIDTH, THRESHOLD = 5, 0.8
+#: Hashes of a sketch beyond those needed to lose nothing; a candidate holds one more of them.
+SPARE = 3
 
 
 def shingle_set(words: list[bytes], width: int) -> set[bytes]:
@@ -34,11 +39,11 @@ def shingle_set(words: list[bytes], width: int) -> set[bytes]:
 
 
 class Sketches:
-    """The partitions of one block of items."""
+    """The partitions of one block of items: (width, class of size) to the sketches' sorted hashes, a filter over them, and who has each."""
 
     def __init__(self, items: list[tuple[int, str | None]], threshold: float):
         self.threshold, self.items = threshold, []
-        parts: dict[int, dict[int, dict[int, list[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
+        held: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = encoded(text).translate(FOLD).split()
             if not words:
@@ -48,31 +53,35 @@ class Sketches:
             h, first = word_hashes([b" ".join(words)])
             hashes = np.unique(shingle_hashes(h, first, width)[0])
             q = len(hashes)
-            size = q - math.ceil(threshold * q - 1e-9) + 1
-            for x in hashes[:size].tolist():
-                parts[width][q.bit_length()][x].append(len(self.items))
-            self.items.append((item_id, width, whole))
-        self.probes = {}
-        for width, by_size in parts.items():
-            joined: dict[int, list[int]] = defaultdict(list)
-            for owners in by_size.values():
-                for x, who in owners.items():
-                    joined[x] += who
-            keys = np.array(sorted(joined), np.uint64)
+            miss = q - math.ceil(threshold * q - 1e-9)
+            k = min(q, miss + 1 + SPARE)
+            for x in hashes[:k].tolist():
+                held[width, q.bit_length()][x].append(len(self.items))
+            self.items.append((item_id, width, whole, k - miss))
+        self.parts = {}
+        for part, owners in held.items():
+            keys = np.array(sorted(owners), np.uint64)
             seen = np.zeros(1 << 20, bool)
             seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.probes[width] = keys, seen, joined
+            self.parts[part] = keys, seen, dict(owners)
 
     def candidates(self, texts: list[bytes]) -> dict[int, set[int]]:
+        """Of each text's place, the items of whose sketch it holds enough."""
         out: dict[int, set[int]] = defaultdict(set)
         h, first = word_hashes(texts)
-        for width, (keys, seen, owners) in self.probes.items():
+        for width in sorted({w for w, _ in self.parts}):
             s, begin = shingle_hashes(h, first, width, short=False)
-            at = np.flatnonzero(seen[(s >> np.uint64(44)).astype(np.int64)])
-            at = at[np.isin(s[at], keys)]
-            docs = np.searchsorted(begin, at, side="right") - 1
-            for d, x in set(zip(docs.tolist(), s[at].tolist(), strict=True)):
-                out[d].update(owners[x])
+            top = (s >> np.uint64(44)).astype(np.int64)
+            for (w, _), (keys, seen, owners) in self.parts.items():
+                if w != width:
+                    continue
+                at = np.flatnonzero(seen[top])
+                at = at[np.isin(s[at], keys)]
+                docs = np.searchsorted(begin, at, side="right") - 1
+                hits = Counter((d, i) for d, x in set(zip(docs.tolist(), s[at].tolist(), strict=True)) for i in owners[x])
+                for (d, i), n in hits.items():
+                    if n >= self.items[i][3]:
+                        out[d].add(i)
         return out
 
     def found(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
@@ -81,7 +90,7 @@ class Sketches:
             words = texts[d].translate(FOLD).split()
             sets = {}
             for i in sorted(who):
-                item_id, width, whole = self.items[i]
+                item_id, width, whole, _ = self.items[i]
                 if width not in sets:
                     sets[width] = shingle_set(words, width)
                 shared = len(whole & sets[width])
@@ -129,9 +138,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item. A map per block of items: no shuffle."""
-    spark = docs.sparkSession
+    """The rows of ``docs``, with all their columns, that hold no item. A map per block of items, stored between blocks: no shuffle."""
+    spark, held = docs.sparkSession, None
     for items in item_blocks(benchmark):
+        if held is not None:
+            docs = store(docs, "decontaminated")
+            held.unpersist()
         held = spark.sparkContext.broadcast(Sketches(items, threshold).__dict__)
 
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
