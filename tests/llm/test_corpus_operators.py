@@ -188,6 +188,26 @@ def test_fingerprints_estimate_generalised_jaccard(spark, awkward, empty, awkwar
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_of_any_ids_equal_plain_python(spark, monkeypatch):
+    """64-bit, negative, null, repeated and lone outlying ids: fingerprints sample by sample, edited texts, and ranges of about equal size."""
+    monkeypatch.setattr(fingerprints, "RANGE", 16)
+    r = random.Random(3)
+    ids = [-(2**63), -(2**62), 2**63 - 1, None, None, 0, 5, 5] + [r.randrange(-(2**63), 2**63) for _ in range(150)] + list(range(1000, 1200))
+    rows = [(d, " ".join(r.choice("abcdef Gh É ö w1 w2".split()) for _ in range(r.randint(0, 12)))) for d in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprints.fingerprint_digest(df).collect()
+    ours = Counter((x.doc_id, x.n_chars, x.fingerprint) for x in out)
+    assert ours == Counter((d, len(t), fingerprints.brute_force(t)) for d, t in rows)
+    got, times = {x.doc_id: x for x in out}, Counter(ids)
+    falling = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
+    for k, (d, t) in enumerate(falling):
+        n, nxt = falling[(k + 1) % len(falling)]
+        if times[d] == times[n] == 1:
+            assert got[d].edited_sha256 == sha(t[: len(t) - len(t) // 3] + nxt[: len(t) // 3])
+    sizes = fingerprints.ordered(df).groupBy(fingerprints.range_of(fingerprints.bounds(fingerprints.ordered(df))).alias("p")).count().collect()
+    assert max(x["count"] for x in sizes) <= 32
+
+
 def test_fingerprints_use_no_python(spark, awkward):
     plan = fingerprints.fingerprint_digest(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
