@@ -316,6 +316,19 @@ def signatures(docs: DataFrame, threshold: float) -> DataFrame:
     return packets.groupBy("shard").applyInArrow(answer_shard, ANSWERS_SQL).groupBy("block").applyInArrow(sign, SIGNED_SQL)
 
 
+def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``classes`` (node, class) after new links (a, b): components of the classes that the links connect, so what is known isn't walked again."""
+    if classes is None:
+        return components(links)
+    apart = labelled(labelled(links, classes, "a", "x"), classes, "b", "y").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    apart = store(apart, "class-links")
+    if not apart.limit(1).count():
+        return classes
+    top = components(apart)
+    old = labelled(classes, top, "class", "least").select("node", F.col("least").alias("class"))
+    return store(old.unionByName(top.join(classes, "node", "left_anti")), "classes")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """id, text, h of the rows of ``docs``."""
     text = F.coalesce(docs["text"], F.lit(""))
@@ -356,7 +369,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     # a node for each text; its row with the least id stands for it
     texts = store(signed.groupBy("h").agg(F.min("id").alias("id"), vector.alias("v")).select("h", "id", "v.*").withColumn("node", F.monotonically_increasing_id()), "texts")
     bodies, at = texts.select("node", "total", "hs", "ws"), bucket_members(texts, threshold)
-    known = links = met = classes = None
+    known = met = classes = None
     for turn in range(TURNS):
         lead = at.groupBy("band", "key").agg(F.min(F.struct("rank", "total")).alias("r")).select("band", "key", F.col("r.rank.node").alias("hub"), F.col("r.total").alias("hub_total"))
         here = store(at.join(lead, ["band", "key"]).withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")), "turn")
@@ -364,8 +377,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
         sims = store(compare(pairs, bodies), "similarities")
         known = sims if known is None else known.unionByName(sims)
-        links = store(known.filter(F.col("sim") >= threshold - EPS).select("a", "b"), "links")
-        classes = components(links)
+        classes = merged(classes, sims.filter(F.col("sim") >= threshold - EPS).select("a", "b"))
         # overlap with the hub, and what else other texts may share
         both = here.join(known, ["a", "b"], "left").withColumn("sim", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("sim")))
         both = both.withColumn("o", F.col("sim") * (F.col("total") + F.col("hub_total")) / (1 + F.col("sim"))).withColumn("e", F.greatest(F.lit(0.0), F.col("total") - F.col("o") - F.col("own")))
@@ -381,7 +393,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
                 break
     pairs = possible_pairs(met, turn, classes, threshold).join(known, ["a", "b"], "left_anti")
     more = compare(pairs, bodies).filter(F.col("sim") >= threshold - EPS).select("a", "b")
-    classes = components(store(links.unionByName(more), "links"))
+    classes = merged(classes, more)
     by_node = labelled(texts.select("h", "id", "node"), classes, "node", "class")
     least = by_node.join(classes.select("node"), "node", "left_semi").groupBy("class").agg(F.min("id").alias("class_id"))
     return signed.select("id", "h"), by_node.join(least, "class", "left").select("h", "id", F.coalesce("class_id", "id").alias("class_id"))
