@@ -77,12 +77,20 @@ def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).groupBy("expired_on").agg(F.count("*").alias("copies"), F.count_distinct("file_id").alias("files"))
 
 
-@query(f"""WITH {BACKUPS_SQL}, due AS (SELECT day, file_id, day + {KEEP + 1} AS run_day FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1}),
-r AS (SELECT *, row_number() OVER (PARTITION BY run_day ORDER BY day, file_id) AS rn FROM due) SELECT run_day, count(*) FILTER (rn <= 20) AS taken, count(*) FILTER (rn > 20) AS backlog FROM r GROUP BY run_day""")
+@query(f"""WITH RECURSIVE {BACKUPS_SQL}, due AS (SELECT (day + {KEEP + 1})::INT AS run_day, count(*) AS n FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY ALL),
+d AS (SELECT t::INT AS run_day, coalesce(n, 0) AS n FROM range((SELECT min(run_day) FROM due), {DAYS}) r(t) LEFT JOIN due ON due.run_day = t),
+r AS (SELECT run_day, n AS due, least(n, 20) AS taken, greatest(n - 20, 0) AS backlog FROM d WHERE run_day = (SELECT min(run_day) FROM d)
+UNION ALL SELECT d.run_day, d.n, least(d.n + r.backlog, 20), greatest(d.n + r.backlog - 20, 0) FROM r JOIN d ON d.run_day = r.run_day + 1)
+SELECT run_day, due::BIGINT AS due, taken::BIGINT AS taken, backlog::BIGINT AS backlog FROM r""")
 def retention_due_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expiry of at most twenty copies a day, the oldest first, and what waits (the cap is the rule)."""
-    due = lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1)
-    return due.groupBy(F.col("expired_on").alias("run_day")).agg(F.least(F.count("*"), F.lit(20)).alias("taken"), F.greatest(F.count("*") - 20, F.lit(0)).alias("backlog"))
+    """Expiry of at most twenty copies a day, the oldest first: due, taken, and what waits for the next day (the cap is the rule)."""
+    due = lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).groupBy(F.col("expired_on").cast("int").alias("run_day")).agg(F.count("*").alias("due"))
+    days = due.agg(F.explode(F.sequence(F.min("run_day"), F.lit(DAYS - 1))).alias("run_day")).join(due, "run_day", "left").fillna(0, ["due"])
+    # one row a day: the queue is its sum of arrivals less the cap, less the least that sum ever was
+    w = Window.orderBy("run_day")
+    total = days.withColumn("c", F.sum(F.col("due") - 20).over(w))
+    waits = total.withColumn("backlog", F.col("c") - F.least(F.lit(0), F.min("c").over(w)))
+    return waits.select("run_day", "due", (F.col("due") + F.lag("backlog", 1, 0).over(w) - F.col("backlog")).alias("taken"), "backlog")
 
 
 LIVE = f"""{SESSIONS}, u AS (SELECT DISTINCT day, fp, len FROM refs), t AS (SELECT unnest(range({DAYS}))::INT AS t),
