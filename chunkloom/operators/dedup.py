@@ -54,10 +54,9 @@ def near_exact_grid(chunks: DataFrame, settings: list[tuple[int, bool]]) -> Data
     """
     every = sorted({b for b, _ in settings})
     keyed = occurrences(chunks).select("*", F.explode(F.array(*map(F.lit, every))).alias("bits"))
-    key = truncated(F.col("fp"), 0)
-    cut = F.when(F.col("bits") == 0, key)
+    cut = F.when(F.col("bits") == 0, F.col("fp"))  # the whole fingerprint
     for b in every:
-        cut = cut if not b else cut.when(F.col("bits") == b, truncated(F.col("fp"), b))
+        cut = cut if not b else cut.when(F.col("bits") == b, truncated(F.col("fp"), b).cast("string"))
     first = F.min(F.struct("first", "len", "n"))
     keys = keyed.groupBy("bits", cut.alias("key")).agg(F.count("*").alias("fps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("len")).alias("logical"), F.sum("len").alias("len"), first.alias("lead"))
     sums = keys.groupBy("bits").agg(F.count("*").alias("keys"), *(F.sum(c).alias(c) for c in ("fps", "n", "logical", "len")), F.sum("lead.len").alias("lead_len"), F.sum("lead.n").alias("lead_n"))

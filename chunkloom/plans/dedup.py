@@ -208,11 +208,11 @@ def index_bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_sql(bits: int, verify: bool) -> str:
-    mask = (1 << bits) - 1 if bits else (1 << 60) - 1
+    key = f"('0x' || substr(fp, 1, 15))::BIGINT & {(1 << bits) - 1}" if bits else "fp"
     unique, written, false = ("count(*)", "sum(len)", "0::BIGINT") if verify else ("count(*) FILTER (fo = lead)", "sum(len) FILTER (fo = lead)", "coalesce(sum(n) FILTER (fo <> lead), 0)::BIGINT")
     return f"""SELECT {bits} AS bits, {str(verify).lower()} AS verified, sum(n)::BIGINT AS chunks, {unique}::BIGINT AS uniques, {false} AS false_hits, sum(n * len)::BIGINT AS logical, ({written})::BIGINT AS written,
        (count(DISTINCT key) * {ENTRY})::BIGINT AS index_ram, {RATIO.format('sum(n * len)', f'({written})')} AS ratio
-FROM (SELECT *, min(fo) OVER (PARTITION BY key) AS lead FROM (SELECT ('0x' || substr(fp, 1, 15))::BIGINT & {mask} AS key, fp, count(*) AS n, max(len) AS len, min(ord) AS fo FROM chunks GROUP BY 1, 2))"""
+FROM (SELECT *, min(fo) OVER (PARTITION BY key) AS lead FROM (SELECT {key} AS key, fp, count(*) AS n, max(len) AS len, min(ord) AS fo FROM chunks GROUP BY 1, 2))"""
 
 
 @query(f"{BLOCKS} {near_sql(16, True)}")
