@@ -52,22 +52,18 @@ def _clean() -> None:
             return
 
 
-def rowwise(df: DataFrame, columns: list[str], schema: pa.Schema, work: Callable[[list[list]], list[list]], sql_schema: str, end: Callable[[], None] | None = None) -> DataFrame:
-    """Map ``columns`` of each Arrow batch, given as lists, to output columns. Map only: no shuffle. ``end`` is called when a task ends."""
-    return df.select(*columns).mapInArrow(mapper(work, schema, end), sql_schema)
+def rowwise(df: DataFrame, columns: list[str], schema: pa.Schema, work: Callable[[list[list]], list[list]], sql_schema: str) -> DataFrame:
+    """Map ``columns`` of each Arrow batch, given as lists, to output columns. Map only: no shuffle."""
+    return df.select(*columns).mapInArrow(mapper(work, schema), sql_schema)
 
 
-def mapper(work: Callable[[list[list]], list[list]], schema: pa.Schema, end: Callable[[], None] | None = None, rows: int = 500):
+def mapper(work: Callable[[list[list]], list[list]], schema: pa.Schema, rows: int = 500):
     """Slices of at most ``rows`` rows bound what Python holds at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in slices(batches, rows):
-                out = work([c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
-        finally:
-            if end:
-                end()
+        for batch in slices(batches, rows):
+            out = work([c.to_pylist() for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
 
     return run
 
