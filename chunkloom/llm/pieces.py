@@ -25,7 +25,7 @@ MARK = "▁"
 #: What words are cut from: also characters like ² that aren't alphabetic.
 LETTER = r"[^\W\d_]"
 #: Stretches remembered per Python worker, at most twice as many.
-CACHE = 150_000
+CACHE = 300_000
 
 
 class Encoder:
