@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import cache
 from heapq import heapify, heappop, heappush
 from operator import add
@@ -28,75 +29,82 @@ LETTER = r"[^\W\d_]"
 CACHE = 300_000
 
 
+class Remembered(dict):
+    """What ``work`` gives for a key, for at most ``CACHE`` keys and as many of the generation before: what is in use moves on, the rest goes."""
+
+    def __init__(self, work: Callable[[str], str]):
+        self.work, self.old = work, {}
+
+    def __missing__(self, key: str) -> str:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        x = self[key] = self.old.get(key) or self.work(key)
+        return x
+
+
 class Encoder:
     def __init__(self, path: str, check: bool = True):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         lib, n = self.library, self.library.get_piece_size()
-        self.ids, self.score = {}, {}
+        self.said, score = {}, {}  # piece to decimal id, piece to score
         for i in range(n):
             if lib.is_byte(i):
                 self.byte0 = min(i, getattr(self, "byte0", i))
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
-                self.ids[p := lib.id_to_piece(i)] = i
-                self.score[p] = lib.get_score(i)
-        if any(MARK in p[1:] and p.strip(MARK) for p in self.ids) or any("\n" in p for p in self.ids):
+                self.said[p := lib.id_to_piece(i)] = str(i)
+                score[p] = lib.get_score(i)
+        place = {v: k for k, v in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: place[v] for p, v in score.items()}
+        self.decimal = list(map(str, range(n)))
+        if any(MARK in p[1:] and p.strip(MARK) for p in self.said) or any("\n" in p for p in self.said):
             raise ValueError("pieces of this vocabulary cross word starts or line ends")
-        after = {b for p in self.ids for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
+        after = {b for p in self.said for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
         apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
         word = f"{MARK}*{LETTER}+(?=[{apart}])|" if apart else ""  # no piece has a letter and then one of these
         self.split = re.compile(f"{word}{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
-        self.check, self.new, self.old = check, {}, {}
+        self.check, self.cache = check, Remembered(self.stretch_ids)
 
     def symbols(self, stretch: str) -> list[str]:
-        """Merge adjacent symbols in the order of the agenda: a heap of pairs by score and place, over linked symbols."""
-        score, s, n = self.score.get, list(stretch), len(stretch)
-        heap = [(-v, i, x) for i, x in enumerate(map(add, s, s[1:])) if (v := score(x)) is not None]
+        """Merge adjacent symbols in the order of the agenda: a heap of pairs by rank of score and place, over linked symbols.
+
+        A pair's key is ``rank * n + place``. A key whose pair has been merged since names no pair of that rank any more.
+        """
+        rank, s, n = self.rank.get, list(stretch), len(stretch)
+        heap = [v * n + i for i, v in enumerate(map(rank, map(add, stretch, stretch[1:]))) if v is not None]
         if not heap:
             return s
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heapify(heap)
         while heap:
-            _, i, joined = heappop(heap)
+            r, i = divmod(heappop(heap), n)
             j = after[i]
-            if j < 0 or not s[i] or s[i] + s[j] != joined:
-                continue  # one of the pair has been merged since
+            if j < 0 or not s[i] or rank(joined := s[i] + s[j]) != r:
+                continue
             s[i], s[j] = joined, ""
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (v := score(x := joined + s[k])) is not None:
-                    heappush(heap, (-v, i, x))
+                if (v := rank(joined + s[k])) is not None:
+                    heappush(heap, v * n + i)
             k = before[i]
-            if k >= 0 and (v := score(x := s[k] + joined)) is not None:
-                heappush(heap, (-v, k, x))
+            if k >= 0 and (v := rank(s[k] + joined)) is not None:
+                heappush(heap, v * n + k)
         return [x for x in s if x]
 
     def stretch_ids(self, stretch: str) -> str:
         """Decimal ids joined by commas."""
-        out: list[int] = []
-        for x in self.symbols(stretch):
-            if (i := self.ids.get(x)) is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte0 + b for b in x.encode("utf-8", "surrogatepass"))
-        return ",".join(map(str, out))
+        said = self.said.get
+        return ",".join([said(x) or self.by_bytes(x) for x in self.symbols(stretch)])
+
+    def by_bytes(self, symbol: str) -> str:
+        return ",".join(str(self.byte0 + b) for b in symbol.encode("utf-8", "surrogatepass"))
 
     def joined(self, text: str) -> str:
         """Decimal ids of a text joined by commas."""
-        if not text:
-            return ""
-        new, old, out = self.new, self.old, []
-        for s in self.split.findall(MARK + text.replace(" ", MARK)):
-            x = new.get(s)
-            if x is None:
-                x = new[s] = old.get(s) or self.stretch_ids(s)
-            out.append(x)
-            if len(new) >= CACHE:  # two generations: what is in use moves on, the rest goes
-                self.old = old = new
-                self.new = new = {}
-        return ",".join(out)
+        return ",".join(map(self.cache.__getitem__, self.split.findall(MARK + text.replace(" ", MARK)))) if text else ""
 
     def checked(self, text: str | None) -> tuple[list[int], str]:
         """The ids of a whole text, compared with the library's, and the same in decimal, joined by commas."""
@@ -104,7 +112,7 @@ class Encoder:
         if not self.check:
             return list(map(int, said.split(","))) if said else [], said
         ids = self.library.encode(text or "")
-        if ",".join(map(str, ids)) != said:
+        if ",".join(map(self.decimal.__getitem__, ids)) != said:
             raise ValueError(f"encoding of {(text or '')[:80]!r} differs from the library's")
         return ids, said
 
