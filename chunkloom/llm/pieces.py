@@ -61,10 +61,17 @@ class Encoder:
         self.decimal = list(map(str, range(n)))
         if any(MARK in p[1:] and p.strip(MARK) for p in self.said) or any("\n" in p for p in self.said):
             raise ValueError("pieces of this vocabulary cross word starts or line ends")
-        after = {b for p in self.said for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
-        apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
-        word = f"{MARK}*{LETTER}+(?=[{apart}])|" if apart else ""  # no piece has a letter and then one of these
-        self.split = re.compile(f"{word}{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
+        before = {c: set() for c in map(chr, range(33, 127)) if not c.isalnum()}  # the letters that some piece has before a mark
+        for p in self.said:
+            for a, b in zip(p, p[1:]):
+                if b in before and re.match(LETTER, a):
+                    before[b].add(a)
+        # no piece has such a letter and then such a mark, so none crosses the cut between them
+        cuts = [f"(?<![{''.join(sorted(letters))}]){re.escape(c)}" for c, letters in before.items() if letters]
+        if apart := "".join(re.escape(c) for c, letters in before.items() if not letters):
+            cuts.append(f"[{apart}]")
+        word = f"{MARK}*+{LETTER}++(?={'|'.join([f'[{MARK}\\n]', *cuts])})"
+        self.split = re.compile(f"{word}|{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
         self.check, self.cache = check, Remembered(self.stretch_ids)
 
     def symbols(self, stretch: str) -> list[str]:
