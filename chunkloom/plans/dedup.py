@@ -285,14 +285,15 @@ def silo_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-HASH_ROW = f"""{BLOCKS}, g AS (SELECT file_id // {STREAM} AS shard, fp, count(*) AS n, max(len) AS len FROM chunks GROUP BY ALL)
+HASH_ROW = f"""{BLOCKS}, g AS (SELECT fp, count(*) AS n, max(len) AS len FROM chunks GROUP BY fp)
 SELECT 'hash' AS strategy, sum(n)::BIGINT AS chunks, count(*) AS fresh, sum(n - 1)::BIGINT AS dups, sum(n * len)::BIGINT AS logical, sum(len)::BIGINT AS stored, (count(*) * {ENTRY})::BIGINT AS index_ram, {RATIO.format('sum(n * len)', 'sum(len)')} AS ratio FROM g"""
 
 
 @query(HASH_ROW)
 def hash_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold's row for the hash table, which SQL can tell too."""
-    return indexes.strategy_totals(streams(spark, sf_dir), DedupConfig()).select("strategy", "chunks", "fresh", "dups", "logical", "stored", "index_ram", "ratio")
+    """The hash table's row over the whole store: an aggregation by fingerprint, without streams."""
+    t = dedup.totals(dedup.occurrences(blocks(spark, sf_dir)))
+    return t.select(F.lit("hash").alias("strategy"), "chunks", F.col("uniques").alias("fresh"), "dups", "logical", F.col("written").alias("stored"), "index_ram", "ratio")
 
 
 @query(f"{BLOCKS} SELECT file_id, min_by(fp, seq) AS first_rep, min(fp) AS min_rep FROM chunks GROUP BY file_id")
@@ -309,20 +310,37 @@ def eb_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.binned(blocks(spark, sf_dir))
 
 
-@query(f"""WITH {FILES_SQL}, {blocks_sql(64)}, items AS (SELECT item_id, encode(coalesce(text, '')) AS body FROM benchmark),
-p AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(decode(body)), '[^a-z0-9]+'), lambda x: length(x) > 6)) AS w FROM items),
-d AS (SELECT DISTINCT file_id, unnest(list_filter(regexp_split_to_array(lower(decode(body)), '[^a-z0-9]+'), lambda x: length(x) > 6)) AS w FROM files),
-n AS (SELECT item_id, count(DISTINCT w) AS words FROM p GROUP BY item_id),
-m AS (SELECT item_id, file_id, count(DISTINCT p.w) AS shared FROM p JOIN d ON p.w = d.w GROUP BY ALL)
-SELECT item_id, file_id, words, shared FROM m JOIN n USING (item_id) WHERE shared >= 0.9 * words""")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What parts words: ASCII characters that aren't letters or digits. All other scripts are words.
+APART = "[\\x01-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Words of a shingle; a shorter text is one shingle.
+SHINGLE = 5
+
+
+def shingles_sql(key: str, rows: str) -> str:
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{APART}'), lambda x: x <> '')"
+    runs = f"list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))"
+    return f"SELECT DISTINCT {key}, unnest({runs}) AS s FROM (SELECT {key}, {words} AS w FROM {rows}) WHERE len(w) > 0"
+
+
+def shingles(df: DataFrame, key: str) -> DataFrame:
+    """The distinct runs of five words of each ``key``."""
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), APART), lambda x: x != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))
+    return df.select(key, words.alias("w")).filter(F.size("w") > 0).select(key, F.explode(F.array_distinct(runs)).alias("s")).distinct()
+
+
+@query(f"""WITH p AS ({shingles_sql('item_id', 'benchmark')}), d AS ({shingles_sql('file_id', '(SELECT doc_id AS file_id, text FROM documents)')}),
+n AS (SELECT item_id, count(*) AS shingles FROM p GROUP BY item_id), m AS (SELECT item_id, file_id, count(*) AS shared FROM p JOIN d USING (s) GROUP BY ALL)
+SELECT item_id, file_id, shingles, shared FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * shingles""")
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which files hold nearly all long words of a benchmark passage: coverage as a join on words."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: F.length(x) > 6)))
-    items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), words(F.col("text")).alias("w"))
-    n = items.groupBy("item_id").agg(F.count("*").alias("words"))
-    shared = items.join(docs, "w").groupBy("item_id", "file_id").agg(F.count("*").alias("shared"))
-    return shared.join(n, "item_id").filter(F.col("shared") >= 0.9 * F.col("words")).select("item_id", "file_id", "words", "shared")
+    """Which files hold at least 0.8 of a benchmark passage's runs of five words: coverage as a join on shingles, of any script and length."""
+    items = shingles(table(spark, sf_dir, "benchmark"), "item_id")
+    docs = shingles(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "file_id"), "file_id")
+    n = items.groupBy("item_id").agg(F.count("*").alias("shingles"))
+    shared = items.join(docs, "s").groupBy("item_id", "file_id").agg(F.count("*").alias("shared"))
+    return shared.join(n, "item_id").filter(F.col("shared") >= 0.8 * F.col("shingles")).select("item_id", "file_id", "shingles", "shared")
 
 
 @query(f"{BLOCKS} SELECT lang, count(DISTINCT sha256(fp || 'k')) AS uniques, count(*) AS chunks FROM chunks GROUP BY lang")
