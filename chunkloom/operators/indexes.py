@@ -112,39 +112,47 @@ STRATEGIES = {"hash": FullHash, "eb": ExtremeBinning, "silo": SiLo}
 
 
 def replay(frame: pd.DataFrame, cfg: DedupConfig) -> dict:
-    """Counters of one shard's stream (file_id, ord, fp, len) under one strategy."""
+    """Counters of one shard's stream (file_id, ord, fp, len) under one strategy.
+
+    With ``first`` (the place of a fingerprint's first occurrence in the whole store) what other streams stored before counts as
+    stored, so false_neg holds what this stream's index can't see of it; else only the stream counts.
+    """
     frame = frame.sort_values("ord")
-    index, stored = STRATEGIES[cfg.index_kind](cfg), set()
+    first = frame["first"] if "first" in frame else frame.groupby("fp")["ord"].transform("min")
+    index = STRATEGIES[cfg.index_kind](cfg)
+    whole = cfg.index_kind == "hash"  # one table for all streams
     out = dict.fromkeys(("chunks", "fresh", "dups", "false_neg", "logical", "stored", "disk_reads", "seq_reads", "containers"), 0)
     used = 0
-    for file_id, part in frame.groupby("file_id", sort=False):
+    for file_id, part in frame.assign(known=frame["ord"] > first).groupby("file_id", sort=False):
         fps = part["fp"].tolist()
         index.begin(file_id, fps)
-        for fp, n in zip(fps, part["len"].tolist(), strict=True):
+        for fp, n, known in zip(fps, part["len"].tolist(), part["known"].tolist(), strict=True):
             hit, _, seek, seq = index.look(fp)
+            hit = hit or known and whole
             out["chunks"] += 1
             out["logical"] += n
             out["disk_reads"] += seek
             out["seq_reads"] += seq
-            if hit and fp in stored:
+            if hit and known:
                 out["dups"] += 1
                 continue
-            out["false_neg"] += fp in stored  # stored already, and the index didn't see it
-            stored.add(fp)
+            out["false_neg"] += known  # stored already, and the index didn't see it
             out["fresh"] += 1
             out["stored"] += n
             if not used or used + n > cfg.container_bytes:
                 out["containers"], used = out["containers"] + 1, 0
             used += n
-    return out | {"ram_reads": out["chunks"], "index_entries": index.entries, "index_ram": index.ram}
+    entries, ram = (out["fresh"], out["fresh"] * ENTRY) if whole else (index.entries, index.ram)
+    return out | {"ram_reads": out["chunks"], "index_entries": entries, "index_ram": ram}
 
 
 COLUMNS = "chunks fresh dups false_neg logical stored disk_reads seq_reads containers ram_reads index_entries index_ram".split()
 
 
 def strategy_totals(chunks: DataFrame, cfg: DedupConfig, shard: str = "shard") -> DataFrame:
-    """One row of counters of ``cfg.index_kind`` over all shards of ``chunks``."""
-    fold = chunks.select(shard, "file_id", "ord", "fp", "len").groupBy(shard).applyInPandas(lambda f: pd.DataFrame([replay(f, cfg)])[COLUMNS], ", ".join(f"{c} long" for c in COLUMNS))
+    """One row of counters of ``cfg.index_kind`` over all shards of ``chunks``, which may tell ``first``."""
+    told = ["first"] * ("first" in chunks.columns)
+    fold = chunks.select(shard, "file_id", "ord", "fp", "len", *told).groupBy(shard).applyInPandas(lambda f: pd.DataFrame([replay(f, cfg)])[COLUMNS], ", ".join(f"{c} long" for c in COLUMNS))
     out = fold.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COLUMNS))
     return out.select(F.lit(cfg.index_kind).alias("strategy"), "*", ratio(F.col("logical"), F.col("stored")).alias("ratio"), (F.col("containers") * cfg.container_bytes).alias("container_bytes"))
 

@@ -249,7 +249,8 @@ def near_exact_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, sf_dir).withColumn("shard", F.floor(F.col("file_id") / STREAM))
+    """Blocks in streams of consecutive files, each with its fingerprint's first place in the whole store."""
+    return dedup.decisions(blocks(spark, sf_dir)).withColumnRenamed("chunk_id", "first").withColumn("shard", F.floor(F.col("file_id") / STREAM))
 
 
 @query()

@@ -21,6 +21,13 @@ def test_full_hash_sees_every_duplicate():
     assert (r["fresh"], r["dups"], r["false_neg"], r["index_ram"]) == (4, 2, 0, 4 * 24)
 
 
+def test_what_other_streams_stored_is_known():
+    frame = stream("abc", "abd").assign(first=-1)  # all of it was stored before
+    whole, eb = (indexes.replay(frame, DedupConfig(index_kind=x)) for x in ("hash", "eb"))
+    assert (whole["dups"], whole["fresh"], whole["false_neg"], whole["index_ram"]) == (6, 0, 0, 0)
+    assert eb["dups"] + eb["false_neg"] == 6 and eb["fresh"] == eb["false_neg"]
+
+
 def test_extreme_binning_links_by_first_chunk():
     r = indexes.replay(stream("abc", "abd", "xbc"), DedupConfig(index_kind="eb"))
     # the second file links to the first by a; the third has no representative in common, so b and c are missed
