@@ -9,7 +9,7 @@ from chunkloom.config import DedupConfig
 from chunkloom.operators import chunking, dedup, lifecycle
 from chunkloom.plans.dedup import BLOCK
 from chunkloom.plans.registry import query
-from chunkloom.sources.tables import BACKUPS_SQL, FILES_SQL, SPAN, backups, blocks_sql, files
+from chunkloom.sources.tables import BACKUPS_SQL, FILES_SQL, backups, blocks_sql, files
 
 DAYS, KEEP, GC = 30, 7, 0.25
 SESSIONS = f"WITH {FILES_SQL}, {blocks_sql(BLOCK)}, {BACKUPS_SQL}, refs AS (SELECT b.day, b.file_id, c.fp, c.len, c.seq FROM backups b JOIN chunks c ON c.file_id = b.doc_id)"
@@ -119,16 +119,45 @@ def holes_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holes(spark, sf_dir).select("day", "holes", "used")
 
 
-@query()
+CONTAINER = 64 * 1024
+
+
+def between_sql(lo: str, hi: str) -> str:
+    """Bits lo..hi of a mask of days."""
+    return f"(((1::BIGINT << (({hi}) + 1)::INT) - 1) & ~((1::BIGINT << ({lo})::INT) - 1))"
+
+
+ON_DISK = f"days & {between_sql(f'greatest(0, c - {KEEP})', 't')} <> 0"
+ALIVE = f"days & {between_sql(f'greatest(0, t - {KEEP})', 't')} <> 0"
+BEFORE = f"days & {between_sql(f'greatest(0, c - {KEEP})', 't - 1')} <> 0"
+HOLES = f"coalesce(sum(len) FILTER ({ON_DISK}), 0) - coalesce(sum(len) FILTER ({ALIVE}), 0)"
+WHOLE = f"((coalesce({{}}, 0)::BIGINT + {CONTAINER - 1}) // {CONTAINER} * {CONTAINER})"
+#: DuckDB CTEs up to ``log``: c is the day of the last collection, each step of ``ran`` finds the next one.
+LOG = f"""{SESSIONS.replace('WITH', 'WITH RECURSIVE', 1)}, masks AS MATERIALIZED (SELECT fp, max(len)::BIGINT AS len, bit_or(1::BIGINT << day) AS days FROM refs WHERE day < {DAYS} GROUP BY fp),
+clock AS (SELECT unnest(range({DAYS}))::INT AS t),
+ran AS (SELECT -1 AS c UNION ALL SELECT x FROM (SELECT min(t) AS x FROM (SELECT t FROM masks, clock, ran WHERE t > c GROUP BY t HAVING {HOLES} > {GC}::DOUBLE * {WHOLE.format(f'sum(len) FILTER ({ON_DISK})')})) WHERE x IS NOT NULL),
+since AS (SELECT t, max(c) AS c, t IN (SELECT c FROM ran) AS gc FROM clock JOIN ran ON c < t GROUP BY t),
+state AS (SELECT t, any_value(gc) AS gc, coalesce(sum(len) FILTER (days & (1::BIGINT << t) <> 0 AND NOT ({BEFORE})), 0)::BIGINT AS written, count(*) FILTER (days & (1::BIGINT << t) <> 0 AND NOT ({BEFORE})) AS new_chunks,
+  coalesce(sum(len) FILTER ({ALIVE}), 0)::BIGINT AS live, count(*) FILTER ({ALIVE}) AS live_n, coalesce(sum(len) FILTER ({ON_DISK}), 0)::BIGINT AS used, count(*) FILTER ({ON_DISK}) AS used_n FROM masks, since GROUP BY t),
+log AS (SELECT t AS day, written, new_chunks, live AS live_bytes, CASE WHEN gc THEN live ELSE used END AS used, CASE WHEN gc THEN 0 ELSE used - live END AS holes, {WHOLE.format('CASE WHEN gc THEN live ELSE used END')} AS disk, CASE WHEN gc THEN live_n ELSE used_n END AS entries,
+  CASE WHEN used > 0 THEN round((used - live)::DOUBLE / {WHOLE.format('used')}, 6) ELSE 0 END AS holes_ratio_before_gc, CASE WHEN gc THEN live ELSE 0 END AS gc, CASE WHEN gc OR used = 0 THEN 0 ELSE round((used - live)::DOUBLE / {WHOLE.format('used')}, 6) END AS holes_ratio_after_gc FROM state)"""
+
+
+def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store day by day, under collection."""
+    return lifecycle.collections(spark, lifecycle.day_masks(day_refs(spark, sf_dir).filter(F.col("day") < DAYS)), DAYS, KEEP, GC, CONTAINER)
+
+
+@query(f"{LOG} SELECT * FROM log")
 def gc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day with collection: holes before, bytes rewritten. Feedback of collection on dedup has no plain SQL; tests replay it."""
-    return lifecycle.collections(spark, lifecycle.day_masks(day_refs(spark, sf_dir)), DAYS, KEEP, GC)
+    """Each day's holes and collection: what it found, what it rewrote."""
+    return collected(spark, sf_dir)
 
 
-@query()
+@query(f"{LOG} SELECT sum(written)::BIGINT AS stored, sum(gc)::BIGINT AS rewritten, count(*) FILTER (gc > 0) AS gc_runs, round((sum(written) + sum(gc))::DOUBLE / sum(written), 6) AS wa, round(sum(gc)::DOUBLE / (sum(written) + sum(gc)), 6) AS gc_share FROM log")
 def write_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes put on disk for each byte that had to be stored."""
-    log = lifecycle.collections(spark, lifecycle.day_masks(day_refs(spark, sf_dir)), DAYS, KEEP, GC)
+    log = collected(spark, sf_dir)
     s, g = F.sum("written"), F.sum("gc")
     return log.agg(s.alias("stored"), g.alias("rewritten"), F.count_if(F.col("gc") > 0).alias("gc_runs"), F.round((s + g) / s, 6).alias("wa"), F.round(g / (s + g), 6).alias("gc_share"))
 
@@ -187,15 +216,16 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT unnest(range(12))::INT AS s) SELECT s, greatest(0, {DAYS - 1} - s * {max(1, (DAYS - 1) // 11)})::INT AS day, file_id FROM s, n JOIN c ON c.rn = (s.s * 7) % n.n""")
 def restore_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which twelve copies a spot check restores (a sampling operator): spread over days and files."""
-    d = backups(spark, sf_dir).select("file_id").distinct()
+    rank, total = ranked(backups(spark, sf_dir).select("file_id").distinct())
+    pick = spark.range(12).select(F.col("id").cast("int").alias("s")).crossJoin(F.broadcast(total)).withColumn("rn", F.pmod(F.col("s") * 7, F.col("total")))
+    return pick.join(rank, "rn").select("s", F.greatest(F.lit(0), F.lit(DAYS - 1) - F.col("s") * max(1, (DAYS - 1) // 11)).cast("int").alias("day"), "file_id")
+
+
+def ranked(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_id and its rank rn from 0, one row with their total) of distinct files."""
     # a dense rank without one task's order: ranks within ranges of ids, shifted by the counts of the ranges before
     part = F.floor(F.col("file_id") / 4096)
     sizes = d.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("n"))
-    rank = d.withColumn("part", part).withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("file_id")) - 1).join(base, "part").select("file_id", (F.col("rn") + F.col("base")).alias("rn"), "n")
-    s = spark.range(12).select(F.col("id").cast("int").alias("s"))
-    pick = s.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("total")))).withColumn("rn", F.pmod(F.col("s") * 7, F.col("total")))
-    return pick.join(rank.select("file_id", "rn"), "rn").select("s", F.greatest(F.lit(0), F.lit(DAYS - 1) - F.col("s") * max(1, (DAYS - 1) // 11)).cast("int").alias("day"), "file_id")
-
-
-assert SPAN
+    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    rank = d.withColumn("part", part).withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("file_id")) - 1).join(base, "part").select("file_id", (F.col("rn") + F.col("base")).alias("rn"))
+    return rank, sizes.agg(F.sum("n").alias("total"))
