@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Bloom:
@@ -41,3 +43,24 @@ def build(hashes: DataFrame, bits: int = 1 << 20, k: int = 5) -> Bloom:
     for row in hashes.mapInArrow(run, "data binary").toLocalIterator():
         out.data |= np.frombuffer(row["data"], np.uint8)
     return out
+
+
+def gated(batch: DataFrame, store: DataFrame, key: str, shard: int = 1 << 18) -> DataFrame:
+    """The distinct keys of ``batch`` with ``maybe``: whether a filter over ``store`` lets them through to the index.
+
+    Keys are dealt by hash into shards of about ``shard`` stored keys, each with a filter of ten bits a key, so no filter grows with the store.
+    A null key isn't looked up.
+    """
+    have, want = (d.select(F.col(key).cast("string").alias("k")).filter("k IS NOT NULL").distinct() for d in (store, batch))
+    n = max(1, -(-have.count() // shard))
+    dealt = lambda d: d.toDF("k").select("k", F.xxhash64("k").alias("h"), F.pmod(F.hash("k"), F.lit(n)).alias("shard"))
+
+    def look(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        one = Bloom(max(1024, len(there) * 10 + 7 & ~7), 7)
+        one.add(there["h"].to_numpy(np.int64).view(np.uint64))
+        maybe = one.has(asked["h"].to_numpy(np.int64).view(np.uint64)) if len(asked) else np.zeros(0, bool)
+        return pd.DataFrame({"k": asked["k"], "maybe": maybe})
+
+    # the names of the two sides are their own, however the callers' frames are related
+    there, asked = dealt(have).toDF("k", "h", "shard"), dealt(want).toDF("k", "h", "part")
+    return there.groupBy("shard").cogroup(asked.groupBy("part")).applyInPandas(look, "k string, maybe boolean").withColumnRenamed("k", key)

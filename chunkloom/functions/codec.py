@@ -140,3 +140,14 @@ def first_difference(a: bytes, b: bytes) -> int:
     if a == b:
         return -1
     return _common(memoryview(a), memoryview(b))
+
+
+def positional(base: str, text: str) -> tuple[int, int, int]:
+    """(copies, inserts, literal code points) of a delta that compares code points at the same place only: a run of equal ones is one copy."""
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (base, text))
+    same = np.zeros(len(b), bool)
+    n = min(len(a), len(b))
+    same[:n] = a[:n] == b[:n]
+    starts = np.flatnonzero(np.diff(same, prepend=~same[:1]))
+    copies = int(same[starts].sum())
+    return copies, len(starts) - copies, int((~same).sum())

@@ -24,8 +24,24 @@ def nice_maximum(v: Column) -> Column:
 
 
 def unit_hash(s: Column) -> Column:
-    """A number in [0, 1) from a string."""
-    return F.pmod(F.xxhash64(s), F.lit(1_000_000)) / 1_000_000.0
+    """A number in [0, 1) from a string: FNV-1a over its code points, for colours and sizes that stay the same."""
+    # fixed values: offset basis and prime
+    basis, prime, m = F.lit(0x811C9DC5).cast("long"), F.lit(0x01000193).cast("long"), F.lit(0xFFFFFFFF).cast("long")
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, basis, lambda h, c: (h.bitwiseXOR(c) * prime).bitwiseAND(m)) % 100000 / 100000.0
+
+
+def day_sentence(day: Column, chunks: Column, dups: Column, written: Column, delta: Column, gc: Column, expired: Column) -> Column:
+    """What a day meant, the first of seven outcomes that holds: counts of chunks, duplicates and deltas, bytes written and collected, copies expired."""
+    return (
+        F.when(day == 0, "first backup")
+        .when(written == 0, "nothing new")
+        .when((chunks > 0) & (dups > 0.8 * chunks), "mostly duplicates")
+        .when((delta > 0) & (delta * 3 > chunks), "shortened by deltas")
+        .when(gc > 0, "collected")
+        .when(expired > 0, "expiry and small changes")
+        .otherwise("ordinary")
+    )
 
 
 def hex_window(body: Column, at: Column, n: int = 96) -> Column:

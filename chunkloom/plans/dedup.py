@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import ENTRY, DedupConfig
+from chunkloom.functions import report
+from chunkloom.functions.bloom import gated
 from chunkloom.functions.fingerprint import bucket, truncated
-from chunkloom.functions.gear import gear_table
+from chunkloom.functions.gear import gear_table, probing_spans
 from chunkloom.operators import chunking, dedup, indexes
 from chunkloom.operators.store import STREAM
 from chunkloom.plans.registry import query
-from chunkloom.sources.tables import FILES_SQL, SPAN, blocks_sql, files, table
+from chunkloom.sources.generate import spliced
+from chunkloom.sources.tables import FILES_SQL, blocks_sql, files, table
 
 BLOCK = 256
 BLOCKS = f"WITH {FILES_SQL}, {blocks_sql(BLOCK)}"
@@ -25,9 +28,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed_chunks(files(spark, sf_dir), BLOCK)
 
 
-def gear_sql(bits: int, body: str = "files") -> str:
-    """DuckDB CTEs: ``hashed`` (file_id, i, the low ``bits`` bits of the rolling hash after byte i, 0-based)."""
-    rows = ", ".join(f"('{i:02X}', {g})" for i, g in enumerate(gear_table().tolist()))
+def gear_sql(bits: int, body: str = "files", seven: bool = False) -> str:
+    """DuckDB CTEs: ``hashed`` (file_id, i, the low ``bits`` bits of the rolling hash after byte i, 0-based); ``seven``: by the low seven bits of each byte."""
+    table = gear_table().tolist()
+    rows = ", ".join(f"('{i:02X}', {table[i & 127 if seven else i]})" for i in range(256))
     total = " + ".join(f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}" for k in range(bits))
     return f"""gear AS (SELECT * FROM (VALUES {rows}) AS t(hx, g)),
 bytes AS (SELECT file_id, i, substr(hx, (2 * i + 1)::BIGINT, 2) AS hx FROM (SELECT file_id, hex(body) AS hx, octet_length(body) AS n FROM {body}), range(n::BIGINT) t(i)),
@@ -405,12 +409,76 @@ def identical_file_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("files"), F.count_if(later).alias("skipped"), F.sum(F.when(later, F.col("len")).otherwise(0)).alias("bytes_not_chunked"))
 
 
-@query(f"""{BLOCKS}, d AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ord) > 1 AS dup FROM chunks)
-SELECT count(*) FILTER (NOT dup) AS lookups_saved, count(*) FILTER (dup) AS lookups_needed FROM d""")
+@query(f"""{BLOCKS}, p AS (SELECT max(source) AS source FROM documents), b AS (SELECT DISTINCT fp FROM chunks WHERE source = (SELECT source FROM p)), s AS (SELECT DISTINCT fp FROM chunks WHERE source <> (SELECT source FROM p))
+SELECT count(*) AS asked, count(s.fp) AS stored, 0::BIGINT AS missed, true AS few_passed FROM b LEFT JOIN s USING (fp)""")
 def bloom_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an exact gate in front of the index saves; ``functions.bloom`` has the filter itself, whose errors only add lookups."""
-    occ = dedup.occurrences(blocks(spark, sf_dir))
-    return occ.agg(F.count("*").alias("lookups_saved"), F.sum(F.col("n") - 1).alias("lookups_needed"))
+    """The last source's chunks against a filter over the other sources': how many are stored, how many of these the filter missed
+    (none may be), and whether it let at most one in twenty of the others through to the index."""
+    c = blocks(spark, sf_dir)
+    last = F.broadcast(files(spark, sf_dir).agg(F.max("source").alias("last")))  # one row
+    c = c.crossJoin(last)
+    store, batch = c.filter("source <> last"), c.filter("source = last")
+    there = store.select("fp").distinct().withColumn("there", F.lit(True))
+    r = gated(batch, store, "fp").join(there, "fp", "left").select("maybe", F.coalesce("there", F.lit(False)).alias("there"))
+    return r.agg(F.count("*").alias("asked"), F.count_if("there").alias("stored"), F.count_if(F.col("there") & ~F.col("maybe")).alias("missed"), (F.count_if(~F.col("there") & F.col("maybe")) * 20 <= F.count("*")).alias("few_passed"))
+
+
+def probing_sql(bits: int) -> str:
+    """DuckDB CTE ``cdc`` of the probing chunker: ends are picked from the places where the hash is zero, file by file."""
+    low, high = (1 << bits) >> 2, (1 << bits) * 4
+    limit = f"least(c.n, s.e + {high})"
+    return f"""{gear_sql(bits, seven=True)},
+zero AS (SELECT file_id, list(i + 1 ORDER BY i) FILTER (h = 0) AS at, max(i) + 1 AS n FROM hashed GROUP BY file_id),
+step AS (SELECT file_id, 0::BIGINT AS off, 0::BIGINT AS e, 0 AS k FROM zero UNION ALL
+  SELECT s.file_id, s.e, coalesce(list_min(list_filter(c.at, lambda x: x >= s.e + {low + 16} AND x <= {limit} AND (x - s.e - {low}) % 16 = 0)), list_min(list_filter(c.at, lambda x: x > s.e + {low} AND x <= {limit})), {limit}), s.k + 1
+  FROM step s JOIN zero c ON s.file_id = c.file_id WHERE s.e < c.n)"""
+
+
+@query(f"WITH RECURSIVE {FILES_SQL}, {probing_sql(8)} SELECT file_id, (k - 1)::INT AS seq, off, e - off AS len FROM step WHERE k > 0")
+def probing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by a table of 128 entries that probe every sixteenth place first."""
+    return chunking.span_chunks(files(spark, sf_dir), lambda body: probing_spans(body, 8)).select("file_id", "seq", "off", "len")
+
+
+@query(f"WITH RECURSIVE {FILES_SQL}, {probing_sql(8)} SELECT least(13, (e - off) // 74)::INT AS bin, count(*) AS n FROM step WHERE k > 0 GROUP BY 1")
+def probing_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their lengths in fourteen bins up to the greatest."""
+    return probing_chunks(spark, sf_dir).groupBy(F.least(F.lit(13), F.floor(F.col("len") / 74)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{BLOCKS}, h AS (SELECT file_id, source, md5(body) AS whole, octet_length(body) AS n FROM files), g AS (SELECT whole, count(*) AS copies, count(DISTINCT source) AS users, max(n) AS n FROM h GROUP BY whole),
+r AS (SELECT c.source, c.fp, c.len FROM chunks c JOIN h USING (file_id) JOIN g USING (whole) WHERE users = 1), u AS (SELECT source, fp, count(*) AS c, max(len) AS len FROM r GROUP BY ALL)
+SELECT 'file' AS level, count(*) AS uniques, coalesce(sum(copies * n), 0)::BIGINT AS logical, coalesce(sum(n), 0)::BIGINT AS stored FROM g WHERE users > 1 UNION ALL SELECT 'chunk', count(*), coalesce(sum(c * len), 0)::BIGINT, coalesce(sum(len), 0)::BIGINT FROM u""")
+def key_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys by content for whole files that several users have, by user and content for the chunks of all others."""
+    f = files(spark, sf_dir)
+    h = chunking.whole_files(f).select("file_id", "source", F.col("fp").alias("whole"), "len")
+    g = h.groupBy("whole").agg(F.count("*").alias("copies"), F.count_distinct("source").alias("users"), F.max("len").alias("n"))
+    sums = lambda name, c, n: [F.lit(name).alias("level"), F.count("*").alias("uniques"), F.coalesce(F.sum(F.col(c) * F.col(n)), F.lit(0)).alias("logical"), F.coalesce(F.sum(n), F.lit(0)).alias("stored")]
+    own = h.join(g.filter("users = 1").select("whole"), "whole", "left_semi").select("file_id")
+    u = blocks(spark, sf_dir).join(own, "file_id", "left_semi").groupBy("source", "fp").agg(F.count("*").alias("c"), F.max("len").alias("len"))
+    whole, parts = (d.agg(*x[1:]).select(x[0], "*") for d, x in ((g.filter("users > 1"), sums("file", "copies", "n")), (u, sums("chunk", "c", "len"))))
+    return whole.unionByName(parts)
+
+
+@query(f"{BLOCKS}, u AS (SELECT DISTINCT ('0x' || substr(fp, 1, 15))::BIGINT AS h FROM chunks) SELECT b::INT AS bit, sum((h >> b) & 1)::BIGINT AS ones, count(*) AS n FROM u, range(16) t(b) GROUP BY b")
+def bit_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of the low bits, which a mask looks at, is set over all fingerprints."""
+    u = blocks(spark, sf_dir).select("fp").distinct().select(truncated(F.col("fp"), 0).alias("h"))
+    one = u.agg(F.count("*").alias("n"), *(F.sum(report.bit(F.col("h"), b)).alias(f"b{b}") for b in range(16)))
+    return one.select("n", F.posexplode(F.array(*(f"b{b}" for b in range(16))))).select(F.col("pos").alias("bit"), F.col("col").alias("ones"), "n")
 
 
-assert SPAN
+@query("""WITH s AS (SELECT source, count(*) AS files FROM documents GROUP BY source), c AS (SELECT *, list_transform(string_split(source, ''), lambda x: unicode(x)::BIGINT) AS codes FROM s)
+SELECT source, files, list_reduce(list_prepend(2166136261::BIGINT, codes), lambda h, x: (xor(h, x) * 16777619) & 4294967295) % 100000 / 100000.0::DOUBLE AS shade FROM c""")
+def source_shades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stable number in [0, 1) for each source, for its colour."""
+    return files(spark, sf_dir).groupBy("source").agg(F.count("*").alias("files")).select("source", "files", report.unit_hash(F.col("source")).alias("shade"))
+
+
+@query(f"{BLOCKS}, moved AS (SELECT doc_id AS file_id, lang, source, encode(substr(coalesce(text, ''), 1, 300) || 'INSERTED' || substr(coalesce(text, ''), 301)) AS body FROM documents), {blocks_sql(BLOCK, 'moved').replace('chunks AS', 'moved_chunks AS')} {COVER.format('moved_chunks', 'chunks')}")
+def spliced_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a copy fixed blocks find again if eight letters are put in behind the first three hundred characters."""
+    f = files(spark, sf_dir)
+    moved = f.withColumn("body", F.encode(spliced(F.decode("body", "UTF-8"), 300, "INSERTED"), "UTF-8"))
+    return dedup.coverage(chunking.fixed_chunks(moved, BLOCK), chunking.fixed_chunks(f, BLOCK), "lang")
