@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import DedupConfig
+from chunkloom.functions.codec import positional
 from chunkloom.operators import chunking, delta
+from chunkloom.plans.lifecycle import ranked
 from chunkloom.plans.registry import query
 from chunkloom.sources.tables import SPAN, table
 
@@ -93,23 +96,105 @@ def chain_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.chain_depths(edges(spark, sf_dir), 64)
 
 
-DEAD = f"(node // {SPAN} + node % {SPAN}) % 5 = 0"
+#: A version is kept on its own day and on two more; the day is the newest version's number.
+KEPT = 2
+NODES = f"""{VERSIONS}, lens AS (SELECT file_id, version, octet_length(body) AS n, lag(octet_length(body)) OVER w AS before, lag(version) OVER w AS prev FROM versions WINDOW w AS (PARTITION BY file_id ORDER BY version)),
+nodes AS (SELECT file_id, version, n, CASE WHEN prev IS NOT NULL AND n < 2 * before THEN prev END AS target, CASE WHEN prev IS NOT NULL AND n < 2 * before THEN n - before ELSE n END AS held FROM lens),
+today AS (SELECT max(version) AS today FROM nodes), bad AS (SELECT nodes.*, today FROM nodes, today WHERE version >= today - {KEPT} AND target < today - {KEPT})"""
 
 
-@query(f"WITH {EDGES}, live AS (SELECT node FROM edges WHERE NOT ({DEAD})) SELECT node, target FROM edges WHERE target IS NOT NULL AND node IN (SELECT node FROM live) AND target NOT IN (SELECT node FROM live)")
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, version, n, target (null if raw), held (bytes its record adds to the store), today (the newest version of all)."""
+    w = Window.partitionBy("file_id").orderBy("version")
+    v = versions(spark, sf_dir).select("file_id", "version", F.octet_length("body").cast("long").alias("n"))
+    v = v.select("*", F.lag("n").over(w).alias("before"), F.lag("version").over(w).alias("prev"))
+    short = F.col("prev").isNotNull() & (F.col("n") < 2 * F.col("before"))
+    out = v.select("file_id", "version", "n", F.when(short, F.col("prev")).alias("target"), F.when(short, F.col("n") - F.col("before")).otherwise(F.col("n")).alias("held"))
+    return out.crossJoin(F.broadcast(table(spark, sf_dir, "conversations").agg(F.max("turn").alias("today"))))  # one row
+
+
+def bad_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live deltas whose target retention has dropped."""
+    return nodes(spark, sf_dir).filter((F.col("version") >= F.col("today") - KEPT) & (F.col("target") < F.col("today") - KEPT))
+
+
+@query(f"WITH {NODES} SELECT file_id * {SPAN} + version AS node, file_id * {SPAN} + target AS target FROM bad")
 def broken_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live deltas whose target retention has dropped."""
-    e = edges(spark, sf_dir)
-    live = e.filter((F.floor(F.col("node") / SPAN) + F.col("node") % SPAN) % 5 != 0).select("node")
-    return delta.broken_links(e, live)
+    n = nodes(spark, sf_dir)
+    at = lambda v: F.col("file_id") * SPAN + F.col(v)
+    live = n.filter(F.col("version") >= F.col("today") - KEPT).select(at("version").alias("node"))
+    return delta.broken_links(n.select(at("version").alias("node"), at("target").alias("target")), live)
 
 
-@query(f"""WITH {EDGES}, live AS (SELECT node FROM edges WHERE NOT ({DEAD})), b AS (SELECT node FROM edges WHERE target IS NOT NULL AND node IN (SELECT node FROM live) AND target NOT IN (SELECT node FROM live))
-SELECT node // {SPAN} AS file_id, count(*) AS broken, min(node % {SPAN}) AS first_version FROM b GROUP BY 1""")
+@query(f"WITH {NODES} SELECT file_id, count(*) AS broken, min(version) AS first_version FROM bad GROUP BY 1")
 def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with broken chains: what a guard must write raw, or a collection makes unreadable."""
-    b = broken_chains(spark, sf_dir)
-    return b.groupBy(F.floor(F.col("node") / SPAN).alias("file_id")).agg(F.count("*").alias("broken"), F.min(F.col("node") % SPAN).alias("first_version"))
+    return bad_nodes(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("broken"), F.min("version").alias("first_version"))
+
+
+@query(f"""WITH {NODES}, d AS (SELECT unnest(range(today + 1)) AS day FROM today), b AS (SELECT day, count(*) AS broken, count(DISTINCT file_id) AS files FROM nodes, d WHERE version BETWEEN day - {KEPT} AND day AND target < day - {KEPT} GROUP BY day),
+z AS (SELECT day, coalesce(broken, 0) AS broken, coalesce(files, 0) AS files FROM d LEFT JOIN b USING (day)) SELECT day, broken, files, greatest(broken - lag(broken, 1, 0) OVER (ORDER BY day), 0) AS more FROM z""")
+def broken_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken chains on each day, and how many more than the day before: what an event tells."""
+    n = nodes(spark, sf_dir).filter("target IS NOT NULL")
+    first, last = F.greatest("version", F.col("target") + KEPT + 1), F.least(F.col("version") + KEPT, "today")
+    b = n.filter(first <= last).select("file_id", F.explode(F.sequence(first, last)).alias("day")).groupBy("day").agg(F.count("*").alias("broken"), F.count_distinct("file_id").alias("files"))
+    days = table(spark, sf_dir, "conversations").agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("turn"))).alias("day"))
+    z = days.join(b, "day", "left").fillna(0, ["broken", "files"])
+    return z.withColumn("more", F.greatest(F.col("broken") - F.lag("broken", 1, 0).over(Window.orderBy("day")), F.lit(0)))  # a row per day
+
+
+@query(f"""WITH {NODES}, l AS (SELECT count(*) FILTER (version >= today - {KEPT}) AS moved, coalesce(sum(held) FILTER (version >= today - {KEPT}), 0)::BIGINT AS bytes, coalesce(sum(held) FILTER (version < today - {KEPT}), 0)::BIGINT AS freed FROM nodes, today),
+r AS (SELECT count(*) AS risky, count(DISTINCT file_id) AS broken_files FROM bad), s AS (SELECT coalesce(string_agg(name, ', ' ORDER BY file_id), '') AS names FROM (SELECT DISTINCT file_id, printf('file-%03d', file_id + 1) AS name FROM bad ORDER BY file_id LIMIT 6))
+SELECT risky, broken_files, moved, bytes, freed, names FROM l, r, s""")
+def forced_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection whatever the holes, without a guard: what it moves and frees, and what can't be restored after it, with the first six names."""
+    live = F.col("version") >= F.col("today") - KEPT
+    size = lambda c: F.coalesce(F.sum(F.when(c, F.col("held"))), F.lit(0))
+    l = nodes(spark, sf_dir).agg(F.count_if(live).alias("moved"), size(live).alias("bytes"), size(~live).alias("freed"))
+    bad = bad_nodes(spark, sf_dir)
+    r = bad.agg(F.count("*").alias("risky"), F.count_distinct("file_id").alias("broken_files"))
+    six = bad.select("file_id").distinct().orderBy("file_id").limit(6).select("file_id", F.format_string("file-%03d", F.col("file_id") + 1).alias("name"))
+    s = six.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_id", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    return l.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s)).select("risky", "broken_files", "moved", "bytes", "freed", "names")  # one row each
+
+
+@query(f"WITH {NODES} SELECT file_id, count(*) AS fixed, (sum(n) + count(*))::BIGINT AS bytes, sum(held)::BIGINT AS holes FROM bad GROUP BY file_id")
+def repaired_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken deltas written raw while their targets' bytes are still there: bytes written (a record has a byte more), holes where they stood."""
+    return bad_nodes(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("fixed"), (F.sum("n") + F.count("*")).alias("bytes"), F.sum("held").alias("holes"))
+
+
+@query(f"""WITH {NODES}, b AS (SELECT (row_number() OVER (ORDER BY file_id, version) - 1)::INT AS s, version AS day, file_id FROM (SELECT file_id, version FROM bad ORDER BY file_id, version LIMIT 4)),
+c AS (SELECT file_id, row_number() OVER (ORDER BY file_id) - 1 AS rn FROM (SELECT DISTINCT file_id FROM versions)), k AS (SELECT count(*) AS total FROM c), t AS (SELECT unnest(range(12))::INT AS s)
+SELECT 'broken' AS why, s, day, file_id FROM b UNION ALL SELECT 'spread', s, greatest(0, today - s * greatest(1, today // 11)), file_id FROM t, k, today JOIN c ON rn = (s * 7) % total""")
+def broken_and_spread_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a spot check restores: four copies with broken chains, so that damage shows, and twelve spread over days and files (a sampling operator)."""
+    four = bad_nodes(spark, sf_dir).select("file_id", F.col("version").alias("day")).orderBy("file_id", "day").limit(4)
+    b = four.select(F.lit("broken").alias("why"), (F.row_number().over(Window.orderBy("file_id", "day")) - 1).cast("int").alias("s"), "day", "file_id")
+    turns = table(spark, sf_dir, "conversations")
+    rank, total = ranked(turns.select(F.col("conv_id").alias("file_id")).distinct())
+    pick = spark.range(12).select(F.col("id").cast("int").alias("s")).crossJoin(F.broadcast(total.crossJoin(F.broadcast(turns.agg(F.max("turn").alias("today"))))))
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("today") / 11))
+    spread = pick.withColumn("rn", F.pmod(F.col("s") * 7, F.col("total"))).join(rank, "rn").select(F.lit("spread").alias("why"), "s", F.greatest(F.lit(0).cast("long"), F.col("today") - F.col("s") * step).alias("day"), "file_id")
+    return b.unionByName(spread)
+
+
+@query("""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS t, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), q AS (SELECT * FROM p WHERE b IS NOT NULL),
+x AS (SELECT conv_id, turn, i, substr(t, i, 1) IS NOT DISTINCT FROM nullif(substr(b, i, 1), '') AS same FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM q)),
+y AS (SELECT *, same IS DISTINCT FROM lag(same) OVER (PARTITION BY conv_id, turn ORDER BY i) AS starts FROM x), z AS (SELECT conv_id, turn, count(*) FILTER (starts AND same) AS copies, count(*) FILTER (starts AND NOT same) AS inserts, count(*) FILTER (NOT same) AS literals FROM y GROUP BY ALL)
+SELECT conv_id, turn, coalesce(copies, 0) AS copies, coalesce(inserts, 0) AS inserts, coalesce(literals, 0) AS literals, coalesce(copies + 2 * inserts + literals, 0) AS size FROM q LEFT JOIN z USING (conv_id, turn)""")
+def positional_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a delta of the turn before that compares the same places only: a copy takes a byte, an insert two and its text."""
+
+    @F.pandas_udf("copies long, inserts long, literals long")
+    def ops(base: pd.Series, text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([positional(b, t) for b, t in zip(base, text, strict=True)], columns=["copies", "inserts", "literals"])
+
+    t = F.coalesce("text", F.lit(""))
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"), F.lag(t).over(Window.partitionBy("conv_id").orderBy("turn")).alias("b")).filter("b IS NOT NULL")
+    return p.select("conv_id", "turn", ops("b", "t").alias("o")).select("conv_id", "turn", "o.*").withColumn("size", F.col("copies") + 2 * F.col("inserts") + F.col("literals"))
 
 
 @query(f"""WITH {VBLOCKS}, {PREV} SELECT c.file_id, c.version, sum(c.len)::BIGINT AS bytes, coalesce(sum(c.len) FILTER (t.fp = c.fp), 0)::BIGINT AS same_place

@@ -71,21 +71,21 @@ def generated_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shift_coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of a shifted copy by insert length, mean size and masks, the mean over five seeds: an experiment in parallel tasks."""
-    grid = spark.range(5).select((F.col("id") + 1).alias("seed")).select("seed", F.explode(F.array(*(F.lit(x) for x in (0, 137, 1024, 4096)))).alias("insert")).select("*", F.explode(F.array(*(F.lit(x) for x in (8, 10)))).alias("bits")).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("normalized"))
+    """Coverage of a shifted copy of a megabyte by insert length, mean size and masks, the mean over five seeds: an experiment in parallel tasks."""
+    grid = spark.range(5).select((F.col("id") + 1).alias("seed")).select("seed", F.explode(F.array(*(F.lit(x) for x in (0, 137, 1024, 4096)))).alias("insert")).select("*", F.explode(F.array(*(F.lit(x) for x in (10, 12, 13)))).alias("bits")).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("normalized"))
 
     def run(frames):
         for f in frames:
             out = []
             for seed, ins, bits, nc in zip(f["seed"], f["insert"], f["bits"], f["normalized"], strict=True):
-                a, b = generate.shifted_pair(int(seed), 64, int(ins))
+                a, b = generate.shifted_pair(int(seed), 1024, int(ins))
                 cfg = DedupConfig(bits=int(bits), normalized=bool(nc))
                 have = {a[o : o + n] for o, n in cdc_spans(a, cfg)}
                 parts = [b[o : o + n] for o, n in cdc_spans(b, cfg)]
                 out.append(sum(len(p) for p in parts if p in have) / len(b))
             yield f.assign(coverage=out)
 
-    cov = grid.repartition(8, "seed", "insert").mapInPandas(run, "seed long, insert int, bits int, normalized boolean, coverage double")
+    cov = grid.repartition("seed", "insert", "bits").mapInPandas(run, "seed long, insert int, bits int, normalized boolean, coverage double")
     return cov.groupBy("insert", "bits", "normalized").agg(F.round(F.avg("coverage"), 6).alias("coverage"), F.count("*").alias("runs"))
 
 
