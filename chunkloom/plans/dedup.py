@@ -174,11 +174,14 @@ def fastcdc_nc_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size_stats(chunking.cdc_chunks(files(spark, sf_dir), NORMAL), "normalized")
 
 
-@query()
+SIZES = {f"{b}{' normalized' if n else ''}": DedupConfig(bits=b, normalized=n) for b in (8, 9, 10) for n in (False, True)}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {FILES_SQL}, {bounded_cdc_sql(cfg)} {STATS.format(name, 'list(len ORDER BY len)')})" for name, cfg in SIZES.items()))
 def chunk_size_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes by mean and masks. Rows checked by the tests of each chunker."""
+    """Sizes by mean and masks."""
     f = files(spark, sf_dir)
-    parts = [size_stats(chunking.cdc_chunks(f, DedupConfig(bits=b, normalized=n)), f"{b}{' normalized' if n else ''}") for b in (8, 9, 10) for n in (False, True)]
+    parts = [size_stats(chunking.cdc_chunks(f, cfg), name) for name, cfg in SIZES.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
