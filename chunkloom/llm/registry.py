@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontaminate, extract, fingerprints, licenses, lines, neardup, pieces, quality, toxicity, warc
+from chunkloom.llm import decontaminate, extract, fim, fingerprints, importance, licenses, lines, neardup, pieces, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,5 +62,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op7_quality, op8_line_dedup, op9_fingerprints, op10_minhash_near_dedup)}
-ORACLE: dict[str, str] = {"op6_warc": warc.SQL, "op8_line_dedup": lines.SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = [op1_license_scan, op2_html_extraction, op3_decontaminate, op4_toxicity, op5_sentencepiece, op6_warc, op7_quality, op8_line_dedup]
+_ALL += [op9_fingerprints, op10_minhash_near_dedup, op11_fill_in_middle, op12_simhash_near_dedup, op13_importance_resampling]
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLE: dict[str, str] = {"op6_warc": warc.SQL, "op8_line_dedup": lines.SQL, "op11_fill_in_middle": fim.SQL, "op13_importance_resampling": importance.SQL}
