@@ -117,6 +117,20 @@ def extremum_spans(body: bytes, window: int) -> list[tuple[int, int]]:
     return _spans(ends, n)
 
 
+def maximum_spans(body: bytes, window: int) -> list[tuple[int, int]]:
+    """Hash-less local maxima: cut behind each byte that exceeds all of the ``window`` bytes before it and all of those after it."""
+    n = len(body)
+    if n <= 2 * window:
+        return _spans([], n)
+    top, width = np.frombuffer(body, np.uint8), 1
+    while width < window:  # the maximum of ``width`` bytes from each place on, by doubling
+        step = min(width, window - width)
+        top, width = np.maximum(top[:-step], top[step:]), width + step
+    inner = np.frombuffer(body, np.uint8)[window : n - window]
+    peak = (inner > top[: n - 2 * window]) & (inner > top[window + 1 :])
+    return _spans((np.flatnonzero(peak) + window + 1).tolist(), n)
+
+
 class Resumable:
     """The chunker fed piece by piece: it holds back the bytes since the last cut and the few before it that the hash still needs."""
 

@@ -6,12 +6,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import DedupConfig
 from chunkloom.functions.fingerprint import digest
-from chunkloom.functions.gear import cdc_spans, extremum_spans
+from chunkloom.functions.gear import cdc_spans, extremum_spans, maximum_spans
 from chunkloom.sources.tables import SPAN
 
 
@@ -74,6 +74,29 @@ def ae_chunks(files: DataFrame, window: int = 128) -> DataFrame:
     return span_chunks(files, lambda body: extremum_spans(body, window))
 
 
+def peak_chunks(files: DataFrame, window: int = 64) -> DataFrame:
+    """Chunks by local maxima."""
+    return span_chunks(files, lambda body: maximum_spans(body, window))
+
+
+def transitions(decided: DataFrame) -> DataFrame:
+    """``decided`` (file_id, seq, kind) with recut: a new chunk beside a duplicate, where an edit begins or ends."""
+    w = Window.partitionBy("file_id").orderBy("seq")
+    beside = F.coalesce(F.lag("kind").over(w) == "dup", F.lit(False)) | F.coalesce(F.lead("kind").over(w) == "dup", F.lit(False))
+    return decided.withColumn("recut", (F.col("kind") == "new") & beside)
+
+
+def recut_chunks(files: DataFrame, spans: DataFrame, small: DedupConfig) -> DataFrame:
+    """file_id, off (of the chunk that is cut again), seq, len, fp of the small chunks within each of ``spans`` (file_id, off, len).
+
+    A file's spans (no more than its chunks) meet its body once; only what is cut again becomes a row of bytes.
+    """
+    wanted = spans.groupBy("file_id").agg(F.collect_list(F.struct("off", "len")).alias("spans"))
+    parts = files.select("file_id", "body").join(wanted, "file_id").select("file_id", "body", F.explode("spans").alias("x"))
+    bodies = parts.select("file_id", F.col("x.off").alias("at"), F.expr("substring(body, CAST(x.off AS INT) + 1, CAST(x.len AS INT))").alias("body"))
+    return cdc_chunks(bodies, small).select("file_id", F.col("at").alias("off"), "seq", "len", "fp")
+
+
 def hashed_share(len_: Column, min_size: int) -> Column:
     """The share of bytes a chunker must hash if it skips the first ``min_size`` of each chunk (it still hashes the window before a cut)."""
     return F.round(1 - F.sum(F.greatest(F.least(len_, F.lit(min_size)) - 32, F.lit(0))) / F.sum(len_), 6)

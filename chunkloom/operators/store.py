@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions.codec import first_difference
+from chunkloom.operators import scan
 
 #: Files of one ingest stream (a shard packs its own containers).
 STREAM = 4096
@@ -77,11 +78,10 @@ def restore(recipe: DataFrame, payload: DataFrame, files: DataFrame) -> DataFram
 
 
 def cumulative(decided: DataFrame, *by: str) -> DataFrame:
-    """rn, cum_logical and cum_written along the trace of ``decided``, within ``by``."""
-    w = Window.partitionBy(*by).orderBy("ord")
+    """part, rn, cum_logical and cum_written along the trace of ``decided``, within ``by``: an ordered scan by ranges."""
     wrote = F.when(F.col("kind") == "new", F.col("len")).otherwise(0)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return decided.select(*by, "ord", "len", "kind", F.row_number().over(w).alias("rn"), F.sum("len").over(run).alias("cum_logical"), F.sum(wrote).over(run).alias("cum_written"))
+    parts = scan.in_ranges(decided.select(*by, "ord", "len", "kind", wrote.alias("wrote")), [*by], ["ord"])
+    return scan.running(parts, [*by], ["ord"], "rn", cum_logical="len", cum_written="wrote").drop("wrote")
 
 
 def write_store(packed: DataFrame, payload: DataFrame, path: str) -> None:

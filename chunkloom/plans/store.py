@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.operators import chunking, dedup, store
+from chunkloom.operators import chunking, dedup, reuse, scan, store
 from chunkloom.plans.dedup import BLOCK, BLOCKS, blocks
 from chunkloom.plans.registry import query
 from chunkloom.sources.tables import files
@@ -91,7 +91,7 @@ def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{TRACE} SELECT lang, ord, len, kind, rn, cum_logical, cum_written FROM t")
 def trace_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in and bytes written along each language's trace."""
-    return traced(spark, sf_dir)
+    return traced(spark, sf_dir).drop("part")
 
 
 HEADS = (0.25, 0.5, 0.75, 1.0)
@@ -118,17 +118,21 @@ def trace_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{TRACE}, x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ord DESC) AS back FROM t) SELECT lang, count(*) AS shown, count(*) FILTER (kind = 'new') AS new_chunks, count(*) FILTER (kind = 'dup') AS refs_shown FROM x WHERE back <= 600 GROUP BY lang")
 def tail_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 600 chunks of each language (a limited view of the stream)."""
-    t = traced(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("ord"))))
-    return t.filter("back <= 600").groupBy("lang").agg(F.count("*").alias("shown"), F.count_if(F.col("kind") == "new").alias("new_chunks"), F.count_if(F.col("kind") == "dup").alias("refs_shown"))
+    """The last 600 chunks of each language (a limited view of the stream): each range keeps its last 600 before they meet."""
+    parts = scan.in_ranges(decided(spark, sf_dir).select("lang", "ord", "kind"), ["lang"], ["ord"])
+    ends = parts.withColumn("back", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("ord")))).filter("back <= 600")
+    later = Window.partitionBy("lang").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    after = scan.sizes(parts, ["lang", "part"]).select("lang", "part", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
+    t = scan.matched(ends, after, ["lang", "part"]).filter(F.col("back") + F.col("after") <= 600)
+    return t.groupBy("lang").agg(F.count("*").alias("shown"), F.count_if(F.col("kind") == "new").alias("new_chunks"), F.count_if(F.col("kind") == "dup").alias("refs_shown"))
 
 
 @query(f"{DECIDED}, f AS (SELECT source, file_id, sum(len) AS len, sum(len) FILTER (ord = chunk_id) AS wrote FROM d GROUP BY ALL) SELECT source, file_id, (sum(len) OVER w)::BIGINT AS cum_logical, (sum(coalesce(wrote, 0)) OVER w)::BIGINT AS cum_written, row_number() OVER w AS files_done FROM f WINDOW w AS (PARTITION BY source ORDER BY file_id)")
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and bytes done, file by file, in each source's session."""
     f = decided(spark, sf_dir).groupBy("source", "file_id").agg(F.sum("len").alias("len"), F.sum(F.when(F.col("kind") == "new", F.col("len")).otherwise(0)).alias("wrote"))
-    w = Window.partitionBy("source").orderBy("file_id")
-    return f.select("source", "file_id", F.sum("len").over(w).alias("cum_logical"), F.sum("wrote").over(w).alias("cum_written"), F.row_number().over(w).alias("files_done"))
+    done = scan.running(scan.in_ranges(f, ["source"], ["file_id"]), ["source"], ["file_id"], "files_done", cum_logical="len", cum_written="wrote")
+    return done.select("source", "file_id", "cum_logical", "cum_written", "files_done")
 
 
 @query(f"""{PACKED}, last AS (SELECT shard, max(file_id) AS file_id FROM (SELECT file_id // {store.STREAM} AS shard, file_id FROM files WHERE octet_length(body) > 0) GROUP BY shard),
@@ -148,7 +152,31 @@ s AS (SELECT *, shard = lag(shard) OVER w AND container = lag(container) OVER w
 SELECT lang, count(*) FILTER (NOT new) AS dups, count(*) FILTER (NOT new AND coalesce(same, false)) AS cache_hits FROM s GROUP BY lang""")
 def locality_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates whose container is the one just read: what a locality-preserving cache of one container saves."""
-    where = packed(spark, sf_dir).select("chunk_id", "shard", "container")
-    w = Window.partitionBy("lang").orderBy("ord")
-    s = decided(spark, sf_dir).join(where, "chunk_id").select("lang", "kind", ((F.lag("shard").over(w) == F.col("shard")) & (F.lag("container").over(w) == F.col("container"))).alias("same"))
-    return s.groupBy("lang").agg(F.count_if(F.col("kind") == "dup").alias("dups"), F.count_if((F.col("kind") == "dup") & F.coalesce("same", F.lit(False))).alias("cache_hits"))
+    uses = container_uses(spark, sf_dir)
+    parts = scan.running(scan.in_ranges(uses, ["lang"], ["ord"]), ["lang"], ["ord"], "rn")
+    s = scan.previous_use(parts, ["lang"], "container", "rn").withColumn("hit", (F.col("kind") == "dup") & (F.col("prev") == F.col("rn") - 1))
+    return s.groupBy("lang").agg(F.count_if(F.col("kind") == "dup").alias("dups"), F.count_if("hit").alias("cache_hits"))
+
+
+def container_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, ord, kind and container (of whatever shard) of each chunk."""
+    where = packed(spark, sf_dir).select("chunk_id", (F.col("shard") * 1_000_000 + F.col("container")).alias("container"))
+    return decided(spark, sf_dir).join(where, "chunk_id").select("lang", "ord", "kind", "container")
+
+
+CACHES = (1, 4, 16, 64)
+
+
+@query(f"""{PACKED}, put AS MATERIALIZED (SELECT d.lang, p.shard * 1000000 + p.container AS c, d.ord <> d.chunk_id AS dup, row_number() OVER (PARTITION BY d.lang ORDER BY d.ord) AS rn FROM d JOIN p USING (chunk_id)),
+replay AS (SELECT DISTINCT lang, 0::BIGINT AS rn, []::BIGINT[] AS cache, 0::BIGINT AS found, false AS dup FROM put UNION ALL
+  SELECT r.lang, put.rn, list_prepend(put.c::BIGINT, list_filter(r.cache, lambda x: x <> put.c))[1:{max(CACHES)}], coalesce(list_position(r.cache, put.c::BIGINT), 0)::BIGINT, put.dup
+  FROM replay r JOIN put ON put.lang = r.lang AND put.rn = r.rn + 1),
+sizes AS (SELECT unnest([{', '.join(map(str, CACHES))}])::BIGINT AS containers)
+SELECT lang, containers, count(*) FILTER (dup) AS dups, count(*) FILTER (dup AND found BETWEEN 1 AND containers) AS hits FROM replay, sizes GROUP BY lang, containers""")
+def container_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates whose container a least-recently-used cache of 1, 4, 16 or 64 containers holds (locality-preserved caching): from reuse
+    distances, so a cache of any size is read off one pass over the trace. New chunks use the container they are written to."""
+    d = reuse.distances(container_uses(spark, sf_dir), ["lang"], "ord", "container").filter("kind = 'dup'")
+    counts = d.groupBy("lang").agg(F.count("*").alias("dups"), *(F.count_if(F.col("distance") < n).alias(f"_{n}") for n in CACHES))
+    each = F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("containers"), F.col(f"_{n}").alias("hits")) for n in CACHES)))
+    return counts.select("lang", "dups", each.alias("x")).select("lang", "x.containers", "dups", "x.hits")
