@@ -9,8 +9,8 @@ Features are the presence of words, by 64-bit hash, out of the ``TERMS`` terms t
 least ``GAIN``, in ``LEAST`` sampled texts or more). The model is fitted on at most ``SAMPLE`` labelled texts per class, chosen by a hash of doc_id: a bounded
 sample, as a documented parameter; the model is a few hundred kB. All rows are scored in one map, without a shuffle.
 
-Null and empty texts have no words and get the models' bias, which is low. Labels that are null are not used; of several texts with a sampled
-id the one with the least hash trains. Without any labelled
+Null and empty texts have no words and get the models' bias, which is low. Labels that are null are not used; repeated labels of an id count
+once, and as toxic if one says so; of several texts with a sampled id the one with the least hash trains. Without any labelled
 text of both classes nothing counts as toxic (probability 0). Repeated rows give repeated results; further columns are ignored.
 """
 
@@ -176,10 +176,10 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Chain:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     """Train on the bounded sample of ``labels`` (doc_id, toxic)."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(F.col("toxic").isin(0, 1))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # rows of both classes by a hash order; with one class, rows of all are few anyway
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1)]
-    sample = chosen[0].unionByName(chosen[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = chosen[0].unionByName(chosen[1])
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * SAMPLE rows are broadcast
     # of rows that share an id one, by hash, so that the driver gets as many as were chosen
     texts = texts.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -165,6 +167,55 @@ def test_toxicity_on_held_out_rows(spark, awkward, empty):
     assert toxicity.without_toxic(awkward, labels).columns == awkward.columns
 
 
+def test_repeated_labels_and_texts_do_not_fill_the_sample(spark, monkeypatch):
+    rows = toxic_corpus(900, 3)
+    monkeypatch.setattr(toxicity, "SAMPLE", 400)
+    labels = [(i, y) for i, _, y in rows if i < 700]
+    one, zero = next(i for i, y in labels if y), next(i for i, y in labels if not y)
+    plain = spark.createDataFrame(labels, "doc_id long, toxic int")
+    repeated = spark.createDataFrame(labels + [(one, 1), (zero, 0)] * 1500 + [(one, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    again = docs.unionByName(docs.filter(f"doc_id < {one + 1}"))
+    score = lambda d, y: sorted((x.doc_id, x.p_toxic) for x in toxicity.toxicity(d, y).dropDuplicates(["doc_id"]).collect())
+    assert score(docs, plain) == score(docs, repeated) == score(again, repeated)
+
+
+def test_the_chain_is_that_of_plain_logistic_models():
+    """Newton steps on dense features, out-of-fold probabilities by hand."""
+    rows = [(i, y, np.unique(np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64)), None) for i, t, y in toxic_corpus(400, 6)]
+    rows = [(i, y, w, np.ones(len(w), np.int32)) for i, y, w, _ in rows]
+    chain = toxicity.train(rows)
+    n, at = len(rows), {t: k for k, t in enumerate(chain.terms.tolist())}
+    x = np.zeros((n, len(at)))
+    for i, (_, _, w, _) in enumerate(rows):
+        x[i, [at[t] for t in w.tolist() if t in at]] = 1
+
+    def fitted(x, y):
+        x = np.column_stack([x, np.ones(len(x))])
+        ridge, w = np.diag([toxicity.RIDGE] * (x.shape[1] - 1) + [0.0]), np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (p - y) + ridge @ w)
+        return w
+
+    probability = lambda x, w: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    y = np.array([r[1] for r in rows], float)
+    fold = (np.arange(n) * 2654435761 % 2**32) % toxicity.FOLDS
+    out = np.zeros(n)
+    for k in range(toxicity.FOLDS):
+        out[fold == k] = probability(x, fitted(x[fold != k], y[fold != k]))[fold == k]
+    first = probability(x, fitted(x, y))
+    model = toxicity.Linear(len(at), 0)
+    model.w = chain.weights[0]
+    begin = np.concatenate([[0], np.cumsum(x.sum(axis=1))]).astype(int)
+    cols = np.nonzero(x)[1]
+    assert np.abs(model.proba(cols, begin, np.zeros((n, 0))) - first).max() < 0.02
+    # the second link: trained on what the folds say, applied to what the first link says
+    again = toxicity.Linear(len(at), 1).fit(cols, begin, out[:, None], y, np.arange(n))
+    plain = fitted(np.column_stack([x, out]), y)
+    assert np.abs(again.proba(cols, begin, first[:, None]) - probability(np.column_stack([x, first]), plain)).max() < 0.05
+
+
 def test_later_links_of_the_chain_see_earlier_probabilities():
     rows = [(i, y, np.unique(np.array([hash(w) % 2**60 for w in t.split()], np.uint64)), np.ones(len(set(t.split())), np.int32)) for i, t, y in toxic_corpus(300, 2)]
     rows = [(i, y, w, np.ones(len(w), np.int32)) for i, y, w, _ in rows]
