@@ -16,7 +16,8 @@ symbols (0xFF, which UTF-8 never has); a trusted one ends with one. Trusted text
 
 Trusted doc_ids are broadcast while there are at most ``TRUSTED`` (32 MB); beyond, documents are semi-joined with them.
 
-Null and empty texts have nothing to predict: their perplexity is null and they are not kept. Null ids are never trusted; a null language is one of its own.
+Null and empty texts have nothing to predict: their perplexity is null, they are not kept, and they train nothing. Null ids are never trusted; a null
+language is one of its own, apart from the empty one.
 Repeated rows count as often as they occur and get equal results. Without trusted texts all bytes are alike and all texts that aren't empty are kept.
 Further columns are ignored; empty tables give no rows.
 """
@@ -36,6 +37,8 @@ from chunkloom.llm.shared import store
 from chunkloom.llm.words import chunks, encoded
 
 ORDER, BLOCK, TRUSTED = 6, 16_000_000, 4_000_000
+#: Blocks for each shard, so that a task has no more than about their requests (some 2 MB each) at a time.
+ASKED = 8
 QUANTILE, MARGIN = 0.995, 0.1
 #: Answers are in steps of this many nats.
 STEP = 1 / 2048
@@ -172,7 +175,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def gram_counts(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
     """gram, n over all trusted texts."""
     ids = trusted_ids(labels)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''")
     if ids.count() <= bound:
         held = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["doc_id"].to_numpy()))
         rows = docs.mapInArrow(lambda batches: count_grams(batches, held.value), "gram long, n long")
@@ -203,7 +206,7 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
     base, d = model(counts)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(64, -(-size // BLOCK))
-    shards = max(16, blocks // 4, -(-counts.count() // 1_000_000))
+    shards = max(16, blocks // ASKED, -(-counts.count() // 1_000_000))
     held = docs.sparkSession.sparkContext.broadcast((base, d))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
 
@@ -212,7 +215,9 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
         where, z = shard_of(keys, shards), zstandard.ZstdCompressor(level=3)
         order = np.argsort(where, kind="stable")
         parts = np.split(keys[order], np.searchsorted(where[order], np.arange(1, shards)))
-        return pa.table({"shard": pa.array(range(shards), pa.int64()), "block": pa.array([block["block"][0].as_py()] * shards, pa.int64()), "asked": [z.compress(np.diff(p, prepend=_U(0)).tobytes()) for p in parts]})
+        some = [s for s, p in enumerate(parts) if len(p)]
+        packets = [z.compress(np.diff(parts[s], prepend=_U(0)).tobytes()) for s in some]
+        return pa.table({"shard": pa.array(some, pa.int64()), "block": pa.array([block["block"][0].as_py()] * len(some), pa.int64()), "asked": pa.array(packets, pa.binary())})
 
     def answer(grams_: pa.Table, asked: pa.Table) -> pa.Table:
         s = Shard(grams_["gram"].to_numpy().view(_U), grams_["n"].to_numpy(), *held.value)
@@ -250,11 +255,16 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
     return dealt.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(total, "doc_id long, lang string, nats double")
 
 
+def _language() -> Column:
+    """The language as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("_lang")
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep for each row of ``docs`` (doc_id, text, lang)."""
     counts = gram_counts(docs, labels)
     scored = store(perplexities(docs, counts), "nats")
-    bins = scored.join(trusted_ids(labels), "doc_id", "left_semi").groupBy(F.coalesce("lang", F.lit("")).alias("_lang"), F.round("nats", 3).alias("bin")).agg(F.count("*").alias("n"))
+    bins = scored.join(trusted_ids(labels), "doc_id", "left_semi").filter("nats IS NOT NULL").groupBy(_language(), F.round("nats", 3).alias("bin")).agg(F.count("*").alias("n"))
 
     def limits(bins: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by)
@@ -263,7 +273,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     every = limits(bins.groupBy("bin").agg(F.sum("n").alias("n")), []).first()
     overall = every[0] if every and every[0] is not None else None
-    own = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(limits(bins, ["_lang"]), "_lang", "left").withColumn("limit", F.coalesce("limit", F.lit(overall).cast("double")))
+    own = scored.withColumn("_lang", _language()).join(limits(bins, ["_lang"]), "_lang", "left").withColumn("limit", F.coalesce("limit", F.lit(overall).cast("double")))
     return own.select("doc_id", "lang", F.round(F.exp("nats"), 6).alias("perplexity"), F.round(F.exp("limit"), 6).alias("threshold"), (F.col("nats").isNotNull() & F.coalesce(F.col("nats") <= F.col("limit"), F.lit(True))).alias("keep"))
 
 
