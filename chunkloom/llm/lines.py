@@ -23,7 +23,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.shared import store
@@ -31,16 +31,20 @@ from chunkloom.llm.words import mix
 
 #: Distinct keys and lines of a shard on average; frequent keys that are broadcast at most (32 bytes each).
 MIN_CHARS, SHARD, LINES, FREQUENT = 10, 250_000, 1_000_000, 1_000_000
-_LAST = 2**63 - 1
 _GOLD = 0x9E3779B97F4A7C15
 
 
+def _id(c: Column) -> tuple[Column, Column]:
+    """An id that is never null, and whether there was none."""
+    return F.coalesce(c.cast("long"), F.lit(0)).alias("_did"), c.isNull().alias("_none")
+
+
 def line_keys(docs: DataFrame) -> DataFrame:
-    """_did, _rk (which row), pos, h1, h2 for every line with a key that is long enough."""
+    """_did and _none (the id, and whether there is none), _rk (which row), pos, h1, h2 for every line with a key that is long enough."""
     blank = " \t\n\x0b\x0c\r"
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_did"), F.xxhash64("text").alias("_rk"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    keys = lines.select("_did", "_rk", "pos", F.translate(F.btrim("line", F.lit(blank)), string.ascii_uppercase, string.ascii_lowercase).alias("key")).filter(F.char_length("key") >= MIN_CHARS)
-    return keys.select("_did", "_rk", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    lines = docs.select(*_id(F.col("doc_id")), F.xxhash64("text").alias("_rk"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    keys = lines.select("_did", "_none", "_rk", "pos", F.translate(F.btrim("line", F.lit(blank)), string.ascii_uppercase, string.ascii_lowercase).alias("key")).filter(F.char_length("key") >= MIN_CHARS)
+    return keys.select("_did", "_none", "_rk", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 class PerfectHash:
@@ -98,12 +102,12 @@ def build_shard(keys: pa.Table) -> pa.Table:
     at = mph.slots(h1, h2)
     prints, counts, keepers = np.empty(len(h1), np.uint32), np.empty(len(h1), np.uint32), np.empty(len(h1), np.int64)
     prints[at] = h2 & np.uint64(0xFFFFFFFF)
-    counts[at] = np.where(keys["lo"].to_numpy() == keys["hi"].to_numpy(), 1, np.minimum(keys["n"].to_numpy(), 2**32 - 1))
-    keepers[at] = keys["lo"].to_numpy()
+    counts[at] = np.where(keys["many"].to_numpy(), np.minimum(keys["n"].to_numpy(), 2**32 - 1), 1)
+    keepers[at] = keys["lo"].fill_null(0).to_numpy()
     return pa.Table.from_pylist([{"shard": keys["shard"][0].as_py(), "sizes": mph.sizes, "bits": np.packbits(mph.bits).tobytes(), "prints": prints.tobytes(), "counts": counts.tobytes(), "keepers": keepers.tobytes()}], INDEX)
 
 
-DROPS = pa.schema([("_did", pa.int64()), ("_rk", pa.int64()), ("pos", pa.int32())])
+DROPS = pa.schema([("_did", pa.int64()), ("_none", pa.bool_()), ("_rk", pa.int64()), ("pos", pa.int32())])
 
 
 def probe_shard(lines: pa.Table, index: pa.Table) -> pa.Table:
@@ -116,14 +120,18 @@ def probe_shard(lines: pa.Table, index: pa.Table) -> pa.Table:
     at = mph.slots(h1, h2)
     safe = np.maximum(at, 0)
     known = (at >= 0) & (np.frombuffer(row["prints"], np.uint32)[safe] == (h2 & np.uint64(0xFFFFFFFF)))
-    go = known & (np.frombuffer(row["counts"], np.uint32)[safe] > 1) & (np.frombuffer(row["keepers"], np.int64)[safe] != lines["_did"].to_numpy())
+    # a key of several documents has a keeper with an id
+    other = (np.frombuffer(row["keepers"], np.int64)[safe] != lines["_did"].to_numpy()) | lines["_none"].to_numpy()
+    go = known & (np.frombuffer(row["counts"], np.uint32)[safe] > 1) & other
     return lines.select(DROPS.names).filter(pa.array(go)).cast(DROPS)
 
 
 def line_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(arrays by shard, keys too frequent for one shard, number of shards)."""
-    keys = line_keys(docs).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_did").alias("lo"), F.max("_did").alias("hi"))
-    keys = store(keys, "line-keys")
+    known = F.when(~F.col("_none"), F.col("_did"))
+    keys = line_keys(docs).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(known).alias("lo"), F.max(known).alias("hi"), F.bool_or("_none").alias("none"))
+    many = F.col("lo").isNotNull() & ((F.col("lo") < F.col("hi")) | F.col("none"))
+    keys = store(keys.select("h1", "h2", "n", "lo", many.alias("many")), "line-keys")
     distinct, total = keys.agg(F.count("*"), F.sum("n")).first()
     shards = max(8, -(-distinct // SHARD), -(-(total or 0) // LINES))
     heavy = keys.filter(F.col("n") >= max(64, -(-(total or 0) // min(FREQUENT, 4 * shards))))  # so at most FREQUENT rows
@@ -132,20 +140,20 @@ def line_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """_did, _rk, pos of all lines to drop."""
+    """_did, _none, _rk, pos of all lines to drop."""
     index, heavy, shards = line_index(docs)
-    lines = line_keys(docs).join(F.broadcast(heavy.select("h1", "h2", "lo", "hi")), ["h1", "h2"], "left")
-    direct = lines.filter((F.col("lo") < F.col("hi")) & (F.col("_did") != F.col("lo"))).select("_did", "_rk", "pos")
-    routed = lines.filter(F.col("lo").isNull()).select(F.pmod(F.col("h1"), F.lit(shards)).alias("shard"), "_did", "_rk", "pos", "h1", "h2")
-    probed = routed.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe_shard, "_did long, _rk long, pos int")
+    lines = line_keys(docs).join(F.broadcast(heavy.select("h1", "h2", "lo", "many")), ["h1", "h2"], "left")
+    direct = lines.filter(F.col("many") & (F.col("_none") | (F.col("_did") != F.col("lo")))).select("_did", "_none", "_rk", "pos")
+    routed = lines.filter(F.col("many").isNull()).select(F.pmod(F.col("h1"), F.lit(shards)).alias("shard"), "_did", "_none", "_rk", "pos", "h1", "h2")
+    probed = routed.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe_shard, "_did long, _none boolean, _rk long, pos int")
     return direct.unionByName(probed)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """row (a struct of the columns of ``docs``), kept (what is left of the text), n_lines and n_dropped."""
-    drops = dropped_lines(docs.select("doc_id", "text")).groupBy("_did", "_rk").agg(F.collect_set("pos").alias("_drop"))
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("_did"), F.xxhash64(docs["text"]).alias("_rk"))
-    both = keyed.join(drops.hint("shuffle_hash"), ["_did", "_rk"], "left").withColumn("_lines", F.split(F.coalesce("row.text", F.lit("")), "\n"))
+    drops = dropped_lines(docs.select("doc_id", "text")).groupBy("_did", "_none", "_rk").agg(F.collect_set("pos").alias("_drop"))
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *_id(docs["doc_id"]), F.xxhash64(docs["text"]).alias("_rk"))
+    both = keyed.join(drops.hint("shuffle_hash"), ["_did", "_none", "_rk"], "left").withColumn("_lines", F.split(F.coalesce("row.text", F.lit("")), "\n"))
     left = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _drop), i -> _lines[i]), '\n')")
     return both.select("row", F.when(F.col("_drop").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(left).alias("kept"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
