@@ -29,8 +29,8 @@ reaches the driver; nothing is broadcast. A bucket of any size is an ordinary (s
 have is one entry a block.
 
 Null and empty texts, and texts without words, have no shingles: equal ones are one class, and they are like no other text. Rows with a
-null doc_id form classes by their text; their id counts as larger than all others. Repeated rows are in one class. Further columns pass
-through ``near_dedup``. Empty tables give no rows.
+null doc_id form classes by their text like others; null counts as larger than all ids, so only a class without any id has a null one. Repeated rows
+are in one class. ``near_dedup`` keeps one row of each class, its least by (id, hash of the text); further columns pass. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,6 @@ BLOCK, SHARD, SHARDS, COMMON = 1_000_000, 1_000_000, 32, 64
 #: Hubs that a bucket gets one after the other; steps of a hub's weight in which members are put together in cells.
 TURNS, STEPS = 3, 64
 EPS = 1e-9
-_LAST = 2**63 - 1
 _U = np.uint64
 
 
@@ -108,7 +107,12 @@ PACKETS_SQL = "shard long, block long, kind int, data binary"
 SHINGLES, OWNERS, DOCS = 0, 1, 2
 
 
-def cut_block(ids: list[int], texts: list[bytes], block: int, shards: int, common: int) -> Iterator[tuple[int, int, int, bytes]]:
+def _numbers(ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and where there is none."""
+    return np.array([0 if i is None else i for i in ids], np.int64).view(_U), np.array([i is None for i in ids], np.uint8)
+
+
+def cut_block(ids: list[int | None], texts: list[bytes], block: int, shards: int, common: int) -> Iterator[tuple[int, int, int, bytes]]:
     """The packets of one block."""
     first: dict[bytes, int] = {}
     digests = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
@@ -118,7 +122,7 @@ def cut_block(ids: list[int], texts: list[bytes], block: int, shards: int, commo
     s, tf, begin = shingle_counts(distinct)
     owner = np.repeat(np.arange(len(distinct), dtype=np.uint32), np.diff(begin))
     size = np.concatenate([[0], np.cumsum(tf)])[begin]
-    yield block % shards, block, DOCS, packed(np.array(ids, np.int64).view(_U), which, np.frombuffer(b"".join(first), _U), np.diff(size).astype(_U))
+    yield block % shards, block, DOCS, packed(*_numbers(ids), which, np.frombuffer(b"".join(first), _U), np.diff(size).astype(_U))
     order = np.argsort(s, kind="stable")
     s, tf, owner = s[order], tf[order].astype(np.uint32), owner[order]
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
@@ -170,7 +174,7 @@ def sign_block(packets: pa.Table, total: int, threshold: float, bands: int) -> p
     parts: dict[int, list] = {SHINGLES: [], OWNERS: [], DOCS: []}
     for kind, data in zip(packets["kind"].to_pylist(), packets["data"], strict=True):
         parts[kind].append(unpacked(data.as_py()))
-    ids, which, digests, size = parts[DOCS][0]
+    ids, none, which, digests, size = parts[DOCS][0]
     n_texts = len(size)
     h, df, owner, tf = (np.concatenate([np.empty(0, _U), *x]) for x in zip(*[(np.repeat(p[0], p[2]), np.repeat(p[1], p[2]), p[3], p[4]) for p in parts[SHINGLES]], strict=True)) if parts[SHINGLES] else (np.empty(0, _U),) * 4
     for hot, n, who, count in parts[OWNERS]:
@@ -199,7 +203,7 @@ def sign_block(packets: pa.Table, total: int, threshold: float, bands: int) -> p
     at[firsts] = place
     rows, hv = at.tolist(), h.view(np.int64)
     pick = lambda f: [f(k) if k >= 0 else None for k in rows]
-    cols = [pa.array(ids.view(np.int64)), pa.array([hexes[i] for i in which.tolist()], pa.string()), pa.array(pick(lambda k: float(weight[some[k]])), pa.float64())]
+    cols = [pa.array(ids.view(np.int64), mask=none.astype(bool)), pa.array([hexes[i] for i in which.tolist()], pa.string()), pa.array(pick(lambda k: float(weight[some[k]])), pa.float64())]
     cols += [pa.array(pick(lambda k: keys[k]), SIGNED.types[3]), pa.array(pick(lambda k: hv[begin[k] : begin[k + 1]]), SIGNED.types[4]), pa.array(pick(lambda k: w[begin[k] : begin[k + 1]]), SIGNED.types[5])]
     return pa.Table.from_arrays(cols, schema=SIGNED)
 
@@ -332,15 +336,14 @@ def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """id, text, h of the rows of ``docs``."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("id"), text.alias("text"), F.md5(text).alias("h"))
+    return docs.select(docs["doc_id"].cast("long").alias("id"), text.alias("text"), F.md5(text).alias("h"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) for each row of ``docs``."""
-    null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     # a text with very many copies is a skewed join, which adaptive execution splits
     rows, texts = text_classes(docs, threshold)
-    return rows.join(texts.select("h", "class_id"), "h").select(null("id").alias("doc_id"), null("class_id").alias("class_id"))
+    return rows.join(texts.select("h", "class_id"), "h").select(F.col("id").alias("doc_id"), "class_id")
 
 
 def bucket_members(texts: DataFrame, threshold: float) -> DataFrame:
@@ -363,7 +366,7 @@ def bucket_members(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id and h, the hash of the text, of each row of ``docs``; h, id, the least of its rows, and class_id of each distinct text)."""
+    """(id and h, the hash of the text, of each row of ``docs``; h, id, the least of its rows, class_id and head, whether it is its class's first, of each distinct text)."""
     signed = store(signatures(docs, threshold), "signed")
     vector = F.first(F.when(F.col("keys").isNotNull(), F.struct("total", "keys", "hs", "ws")), ignorenulls=True)
     # a node for each text; its row with the least id stands for it
@@ -395,8 +398,11 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     more = compare(pairs, bodies).filter(F.col("sim") >= threshold - EPS).select("a", "b")
     classes = merged(classes, more)
     by_node = labelled(texts.select("h", "id", "node"), classes, "node", "class")
-    least = by_node.join(classes.select("node"), "node", "left_semi").groupBy("class").agg(F.min("id").alias("class_id"))
-    return signed.select("id", "h"), by_node.join(least, "class", "left").select("h", "id", F.coalesce("class_id", "id").alias("class_id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
+    heads = by_node.join(classes.select("node"), "node", "left_semi").groupBy("class").agg(first)
+    found = by_node.join(heads, "class", "left")
+    head = F.col("first").isNull() | (F.col("h") == F.col("first.h"))
+    return signed.select("id", "h"), found.select("h", "id", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"), head.alias("head"))
 
 
 def labelled(rows: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
@@ -450,14 +456,17 @@ def compare(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of each class; of repeated rows one. Unlike texts that share an id each stay."""
-    keep = text_classes(docs.select("doc_id", "text"), threshold)[1].filter("id = class_id").select("id", "h")
-    packed_ = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("id"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("h"))
+    """One row of ``docs`` for each class: its least by (doc_id, hash of the text), null ids last; of repeated rows one."""
+    split = lambda c: (F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("none"))
+    heads = text_classes(docs.select("doc_id", "text"), threshold)[1].filter("head")
+    keep = heads.select(*split(F.col("id")), "h")
+    key = docs["doc_id"].cast("long")
+    packed_ = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *split(key), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("h"))
     # the same keys for the join and the choice: one exchange
-    return packed_.join(keep.hint("shuffle_hash"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("row.*")
+    return packed_.join(keep.hint("shuffle_hash"), ["id", "none", "h"], "left_semi").dropDuplicates(["id", "none", "h"]).select("row.*")
 
 
-def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD) -> dict[int, int]:
+def brute_force(docs: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> dict[int | None, int | None]:
     """doc_id to class_id by comparing all pairs, for tests."""
     texts = [encoded(t) for _, t in docs]
     grams = [shingle_counts([t])[:2] for t in texts]
@@ -475,7 +484,7 @@ def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD
         for j in range(i):
             if texts[i] == texts[j] or similarity(vectors[i], vectors[j], vectors[i][1].sum() + vectors[j][1].sum()) >= threshold - EPS:
                 root[find(i)] = find(j)
-    least: dict[int, int] = {}
+    least: dict[int, int | None] = {}
     for i, (d, _) in enumerate(docs):
-        least[find(i)] = min(least.get(find(i), d), d)
+        least[find(i)] = min((x for x in (least.get(find(i)), d) if x is not None), default=None)
     return {d: least[find(i)] for i, (d, _) in enumerate(docs)}

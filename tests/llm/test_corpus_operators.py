@@ -23,7 +23,7 @@ def sha(s):
 
 def plain_line_dedup(rows):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
-    last = 2**63 - 1
+    last = 2**63  # an id behind all others
     owners = defaultdict(set)
     for d, t in rows:
         for line in (t or "").split("\n"):
@@ -45,6 +45,8 @@ def test_line_dedup_matches_plain_python(spark, awkward, empty, awkward_rows):
     r = random.Random(2)
     pool = [words(100 + i, 4) for i in range(40)] + ["short", "", "  ", "\t" + words(100, 4).upper() + " \r"]
     rows = [doc(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for i in range(80)] + awkward_rows
+    rows += [doc(2**63 - 1, "a line of the last id and of none\nx"), doc(None, "A line of the last id and of none"), doc(None, "a line of the null id twice\na line of the null id twice")]
+    rows += [doc(None, "one line for null\nand the null id again and again"), doc(None, "and the null id again and again"), doc(-(2**63), "a line of the last id and of none")]
     got = [tuple(x) for x in lines.line_digest(spark.createDataFrame(rows, DOCS)).collect()]
     assert order(got) == order(plain_line_dedup([(x[0], x[1]) for x in rows]))
     assert lines.line_digest(empty).count() == 0
@@ -64,6 +66,8 @@ def test_perfect_hash_is_minimal_and_perfect():
 def test_shards_smaller_than_the_data(spark, monkeypatch, awkward_rows):
     monkeypatch.setattr(lines, "SHARD", 3)
     rows = awkward_rows + [doc(100 + i, "a very common line\n" + words(i, 5)) for i in range(300)]
+    rows += [doc(2**63 - 1, "a line of the last id and of none\nx"), doc(None, "A line of the last id and of none"), doc(None, "a line of the null id twice\na line of the null id twice")]
+    rows += [doc(None, "one line for null\nand the null id again and again"), doc(None, "and the null id again and again"), doc(-(2**63), "a line of the last id and of none")]
     got = [tuple(x) for x in lines.line_digest(spark.createDataFrame(rows, DOCS)).collect()]
     assert order(got) == order(plain_line_dedup([(x[0], x[1]) for x in rows]))
 
@@ -136,7 +140,7 @@ def test_perplexities_match_the_recursive_definition(spark, awkward_rows, bound)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(41, 0, 0), (42, 1, 1), (None, 1, 0), (43, None, None)], "doc_id long, quality int, toxic int")
     counts = quality.gram_counts(docs, labels, bound)
     got = sorted((x.doc_id is None, x.doc_id or 0, math.exp(x.nats) if x.nats is not None else -1.0) for x in quality.perplexities(docs, counts).collect())
-    trusted = [encoded(r[1]) for r in rows if r[0] is not None and r[0] < 40]
+    trusted = [encoded(r[1]) for r in rows if r[0] is not None and r[0] < 40 and r[1]]
     few = [(r[0], encoded(r[1])) for r in rows if len(r[1] or "") < 5000]
     want = sorted((d is None, d or 0, p if p == p else -1.0) for (d, _), p in zip(few, quality.brute_force([t for _, t in few], trusted), strict=True))
     got = [g for g in got if g[1] != 10 or g[0]]
@@ -159,6 +163,38 @@ def test_quality_keeps_good_and_drops_bad(spark, awkward, empty):
     assert quality.quality(empty, labels).count() == 0
 
 
+def plain_quality(rows, labels):
+    """Thresholds and decisions from the recursive definition's perplexities."""
+    good = {d for d, q, t in labels if d is not None and q == 1 and not t}
+    trusted = [encoded(t) for d, t, _ in rows if d in good and t]
+    nats = [math.log(p) if p == p else None for p in quality.brute_force([encoded(t) for _, t, _ in rows], trusted)]
+    known = [(lang, round(n, 3)) for (d, _, lang), n in zip(rows, nats, strict=True) if d in good and n is not None]
+    limit = lambda x: sorted(x)[math.ceil(len(x) * quality.QUANTILE) - 1] + quality.MARGIN
+    own = {lang: limit([n for k, n in known if k == lang]) for lang in {k for k, _ in known}}
+    return [(d, lang, own.get(lang, limit([n for _, n in known])), n) for (d, _, lang), n in zip(rows, nats, strict=True)]
+
+
+def test_thresholds_and_decisions_match_plain_python(spark):
+    """Null and empty languages apart, trusted texts that are null or empty, repeated rows and ids, a language without trusted texts."""
+    r = random.Random(8)
+    pools = {k: words(20 + i, 30).split() for i, k in enumerate(["en", None, "", "xx"])}
+    rows = [(i, " ".join(r.choice(pools[lang]) for _ in range(r.randint(3, 25))), lang) for i in range(120) for lang in [("en", None, "", "xx")[i % 4]]]
+    rows += [(200 + i, t, lang) for i, (t, lang) in enumerate([(None, "en"), ("", "en"), (None, None), ("", ""), ("?" * 40, None), ("?" * 40, "")] * 5)] + rows[:8]
+    labels = [(i, 1, 0) for i in range(230) if i % 4 != 3] + [(None, 1, 0), (5, 1, 0)]
+    docs = spark.createDataFrame([doc(*x) for x in rows], DOCS)
+    got = quality.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    key = lambda d, lang, p: (d, str(lang), lang is None, round(p or 0.0, 2))
+    found = sorted((*key(x.doc_id, x.lang, x.perplexity), x.threshold, x.keep) for x in got)
+    want = sorted((*key(d, lang, n and math.exp(n)), math.exp(limit), n) for d, lang, limit, n in plain_quality(rows, labels))
+    assert len(found) == len(want) and len({f[4] for f in found}) >= 3
+    for f, w in zip(found, want, strict=True):
+        assert f[:3] == w[:3] and abs(f[4] - w[4]) <= 0.003 * w[4]
+        if w[5] is None:
+            assert f[3:6:2] == (0.0, False)
+        elif abs(math.exp(w[5]) - w[4]) > 0.01 * w[4]:
+            assert f[5] == (math.exp(w[5]) <= w[4])
+
+
 def multiset_similarity(a, b):
     a, b = Counter(WORD.findall(a.lower())), Counter(WORD.findall(b.lower()))
     return sum((a & b).values()) / (sum((a | b).values()) or 1) if a or b else 1.0
@@ -287,6 +323,19 @@ def test_near_classes_of_awkward_rows(spark, awkward, empty, awkward_rows):
     assert neardup.near_classes(empty).count() == 0 and neardup.near_dedup(empty).count() == 0
 
 
+def test_near_classes_with_null_and_largest_ids(spark):
+    """The largest id is an id; a class without ids has none and keeps one row; equal ids of like texts keep one row."""
+    near = lambda seed, at: " ".join("zz" if i == at else w for i, w in enumerate(words(seed, 120).split()))
+    big = 2**63 - 1
+    rows = [(5, near(1, 0)), (None, near(1, 9)), (big, near(1, 9)), (None, near(2, 0)), (None, near(2, 5)), (None, near(2, 5)), (big, near(3, 0)), (big, near(3, 7)), (big, near(3, 7)), (-(2**63), near(4, 0)), (None, None), (None, "")]
+    docs = spark.createDataFrame([doc(*x) for x in rows], DOCS)
+    got = Counter((x.doc_id, x.class_id) for x in neardup.near_classes(docs).collect())
+    assert got == Counter({(5, 5): 1, (None, 5): 1, (big, 5): 1, (None, None): 5, (big, big): 3, (-(2**63), -(2**63)): 1})
+    kept = neardup.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert Counter(x.doc_id for x in kept.collect()) == Counter({5: 1, None: 2, big: 1, -(2**63): 1})
+
+
 def test_collision_rate_is_weighted_jaccard():
     rng = np.random.default_rng(3)
     s = rng.integers(0, 2**63, 40).astype(np.uint64)
