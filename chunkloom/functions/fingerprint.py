@@ -19,20 +19,6 @@ def two_lane(data: bytes) -> str:
     return f"{a}:{b}"
 
 
-def shorten(fp: str, bits: int) -> str:
-    """Keep the low half of ``bits`` of each lane; 0 or 64 and more keep all."""
-    if not bits or bits >= 64:
-        return fp
-    mask = (1 << max(1, bits >> 1)) - 1
-    a, b = map(int, fp.split(":"))
-    return f"{a & mask}:{b & mask}"
-
-
-def lanes_bucket(fp: str, buckets: int = BUCKETS) -> int:
-    a, b = map(int, fp.split(":"))
-    return (a ^ (b >> 3)) % buckets
-
-
 def digest(data: Column) -> Column:
     """The fingerprint column of a binary column."""
     return F.md5(data)

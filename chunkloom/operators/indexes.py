@@ -23,11 +23,11 @@ class FullHash:
 
     def begin(self, file_id: int, fps: list[str]) -> None: ...
 
-    def look(self, fp: str) -> tuple[bool, str, int, int]:
-        """(hit, kind, seeks, entries read in sequence)."""
+    def look(self, fp: str) -> tuple[bool, int, int]:
+        """(hit, seeks, entries read in sequence)."""
         hit = fp in self.seen
         self.seen.add(fp)
-        return hit, "ram", 0, 0
+        return hit, 0, 0
 
     @property
     def entries(self) -> int:
@@ -52,20 +52,20 @@ class ExtremeBinning:
         self.rep = min(fps, default=None) if self.by_min else None
         self.met.add(file_id)
 
-    def look(self, fp: str) -> tuple[bool, str, int, int]:
+    def look(self, fp: str) -> tuple[bool, int, int]:
         own = self.on_disk.setdefault(self.file, set())
         if self.linked is not None:
             hit = fp in self.linked
             if not hit:
                 own.add(fp)
-            return hit, "linked" if hit else "linked-new", 0, 0
+            return hit, 0, 0
         if fp in self.owner and (not self.by_min or fp == self.rep):
             self.linked = self.on_disk[self.owner[fp]]
-            return True, "disk", 1, len(self.linked)
+            return True, 1, len(self.linked)
         own.add(fp)
         if self.waiting and (not self.by_min or fp == self.rep):
             self.owner[fp], self.waiting = self.file, False
-        return False, "ram-new", 0, 0
+        return False, 0, 0
 
     @property
     def entries(self) -> int:
@@ -87,17 +87,17 @@ class SiLo:
     def begin(self, file_id: int, fps: list[str]) -> None:
         self.file, self.read = file_id, []
 
-    def look(self, fp: str) -> tuple[bool, str, int, int]:
+    def look(self, fp: str) -> tuple[bool, int, int]:
         current = self.last.get(self.file)
         if (current and fp in current) or fp in self.read:
-            return True, "segment", 0, 0
+            return True, 0, 0
         if fp in self.lead:
             self.read = self.lead[fp]
-            return True, "fetch", 1, len(self.read)
+            return True, 1, len(self.read)
         if current is None or len(current) >= self.size:
             current = self.last[self.file] = self.lead[fp] = []
         current.append(fp)
-        return False, "ram-new", 0, 0
+        return False, 0, 0
 
     @property
     def entries(self) -> int:
@@ -127,7 +127,7 @@ def replay(frame: pd.DataFrame, cfg: DedupConfig) -> dict:
         fps = part["fp"].tolist()
         index.begin(file_id, fps)
         for fp, n, known in zip(fps, part["len"].tolist(), part["known"].tolist(), strict=True):
-            hit, _, seek, seq = index.look(fp)
+            hit, seek, seq = index.look(fp)
             hit = hit or known and whole
             out["chunks"] += 1
             out["logical"] += n

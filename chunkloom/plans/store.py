@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chunkloom.operators import chunking, dedup, reuse, scan, store
 from chunkloom.plans.dedup import BLOCK, BLOCKS, blocks
 from chunkloom.plans.registry import query
-from chunkloom.sources.tables import files
+from chunkloom.sources.tables import BACKUPS_SQL, backups, files
 
 CAPACITY = 32 * 1024
 DECIDED = f"{BLOCKS}, d AS (SELECT *, min(ord) OVER (PARTITION BY fp) AS chunk_id FROM chunks)"
@@ -135,13 +135,15 @@ def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("source", "file_id", "cum_logical", "cum_written", "files_done")
 
 
-@query(f"""{PACKED}, last AS (SELECT shard, max(file_id) AS file_id FROM (SELECT file_id // {store.STREAM} AS shard, file_id FROM files WHERE octet_length(body) > 0) GROUP BY shard),
-used AS (SELECT p.shard, p.container, sum(p.rec_len) AS used, sum(p.rec_len) FILTER (p.chunk_id IN (SELECT chunk_id FROM d WHERE file_id % 3 = 0)) AS live FROM p GROUP BY ALL)
+@query(f"""{PACKED}, {BACKUPS_SQL}, wanted AS (SELECT DISTINCT chunk_id FROM d WHERE file_id IN (SELECT doc_id FROM backups WHERE day = (SELECT max(day) FROM backups))),
+used AS (SELECT p.shard, p.container, sum(p.rec_len) AS used, sum(p.rec_len) FILTER (p.chunk_id IN (SELECT chunk_id FROM wanted)) AS live FROM p GROUP BY ALL)
 SELECT shard, container, used::BIGINT AS used, coalesce(live, 0)::BIGINT AS live, round(coalesce(live, 0) / used, 6) AS utilisation, coalesce(live, 0) / used < 0.5 AS rewrite FROM used""")
 def container_sparsity_har(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Use of each container by the backup of every third file; sparse ones are rewritten by the next backup."""
-    p, d = packed(spark, sf_dir), decided(spark, sf_dir)
-    wanted = d.filter("file_id % 3 = 0").select("chunk_id").distinct().withColumn("_live", F.lit(1))
+    """Use of each container by the last day's backup; sparse ones are rewritten by the next backup."""
+    p, d, all_days = packed(spark, sf_dir), decided(spark, sf_dir), backups(spark, sf_dir)
+    last = F.broadcast(all_days.agg(F.max("day").alias("last")))  # one row
+    saved = all_days.crossJoin(last).filter("day = last").select(F.col("doc_id").alias("file_id")).distinct()
+    wanted = d.join(saved, "file_id", "left_semi").select("chunk_id").distinct().withColumn("_live", F.lit(1))
     u = p.join(wanted, "chunk_id", "left").groupBy("shard", "container").agg(F.sum("rec_len").alias("used"), F.sum(F.when(F.col("_live") == 1, F.col("rec_len")).otherwise(0)).alias("live"))
     share = F.col("live") / F.col("used")
     return u.select("shard", "container", "used", "live", F.round(share, 6).alias("utilisation"), (share < 0.5).alias("rewrite"))

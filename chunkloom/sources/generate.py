@@ -27,7 +27,12 @@ class FileType:
 
 
 # fixed values: profiles of file types
-TYPES = (FileType("vm", 0.6, "img", "vm", 0.02), FileType("code", 0.35, "src", "module", 0.12), FileType("logs", 0.15, "log", "app", 0.3), FileType("db", 0.45, "db", "table", 0.06))
+TYPES = (
+    FileType("vm", 0.82, "vmdk", "img", 0.02),
+    FileType("code", 0.55, "tar", "src", 0.10),
+    FileType("logs", 0.30, "log", "app", 0.35),
+    FileType("db", 0.70, "sql", "dump", 0.05),
+)
 
 
 def type_dimension(spark: SparkSession) -> DataFrame:
