@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import DedupConfig
 from chunkloom.functions.codec import apply, encode, parse
+from chunkloom.sources.storage import stored
 
 
 def previous_versions(backups: DataFrame) -> DataFrame:
@@ -38,24 +38,29 @@ def candidates(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
 
 
 def best_records(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """For each chunk with bytes: raw_len, rec_len and, where a delta pays, its target and record; the first of equally short ones.
+    """For each chunk with bytes and fp: raw_len, rec_len and, where a delta pays, its target and record; the first of equally short ones.
 
-    Eligibility (length, target length) is filtered before any encoding; encoding is a map over (target, source) pairs.
+    Eligibility (length, target length) is filtered before any encoding. Encoding is a map over the different (target, source) pairs of
+    fingerprints, so what many versions or files have in common is encoded once, and bytes are shuffled once for each different chunk and pair.
     """
-    big = chunks.filter(F.col("len") >= cfg.delta_min)
-    pairs = candidates(chunks.drop("bytes"), cfg).join(big.select("file_id", "version", "seq", F.col("bytes").alias("source")), ["file_id", "version", "seq"])
-    pairs = pairs.join(chunks.filter("len >= 32").select("file_id", F.col("version").alias("t_version"), F.col("seq").alias("t_seq"), F.col("bytes").alias("target")), ["file_id", "t_version", "t_seq"])
+    places = chunks.select("file_id", "version", "seq", "fp", "len")
+    target = places.filter("len >= 32").select("file_id", F.col("version").alias("t_version"), F.col("seq").alias("t_seq"), F.col("fp").alias("t_fp"))
+    big = places.filter(F.col("len") >= cfg.delta_min).select("file_id", "version", "seq", "fp")
+    pairs = candidates(places, cfg).join(big, ["file_id", "version", "seq"]).join(target, ["file_id", "t_version", "t_seq"])
+    bytes_of = chunks.groupBy("fp").agg(F.first("bytes").alias("bytes"))
+    both = pairs.select("fp", "t_fp").distinct().join(bytes_of.select("fp", F.col("bytes").alias("source")), "fp").join(bytes_of.select(F.col("fp").alias("t_fp"), F.col("bytes").alias("target")), "t_fp")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rec = [encode(bytes(t), bytes(s)) for t, s in zip(f["target"], f["source"], strict=True)]
-            yield f[["file_id", "version", "seq", "t_version", "t_seq", "rank"]].assign(rec_len=[len(r) for r in rec], record=rec)
+            yield f[["fp", "t_fp"]].assign(rec_len=[len(r) for r in rec], record=rec)
 
-    made = pairs.mapInPandas(run, "file_id long, version long, seq int, t_version long, t_seq int, rank int, rec_len long, record binary")
-    best = made.groupBy("file_id", "version", "seq").agg(F.min_by(F.struct("t_version", "t_seq", "rec_len", "record"), F.struct("rec_len", "rank")).alias("d"))
-    out = chunks.select("file_id", "version", "seq", "len").join(best, ["file_id", "version", "seq"], "left")
+    made = both.select("fp", "t_fp", "target", "source").mapInPandas(run, "fp string, t_fp string, rec_len long, record binary")
+    best = pairs.join(made, ["fp", "t_fp"]).groupBy("file_id", "version", "seq").agg(F.min_by(F.struct("t_version", "t_seq", "t_fp", "rec_len", "record"), F.struct("rec_len", "rank")).alias("d"))
+    out = chunks.select("file_id", "version", "seq", "fp", "len").join(best, ["file_id", "version", "seq"], "left")
     pays = F.col("d.rec_len") < (F.col("len") + 1) * cfg.delta_min_ratio
-    return out.select("file_id", "version", "seq", F.col("len").alias("raw_len"), F.col("d").isNotNull().alias("tried"), F.when(pays, F.col("d.rec_len")).otherwise(F.col("len") + 1).alias("rec_len"), F.when(pays, F.col("d.t_version")).alias("t_version"), F.when(pays, F.col("d.t_seq")).alias("t_seq"), F.when(pays, F.col("d.record")).alias("record"))
+    kept = [F.when(pays, F.col(f"d.{c}")).alias(c) for c in ("t_version", "t_seq", "t_fp", "record")]
+    return out.select("file_id", "version", "seq", "fp", F.col("len").alias("raw_len"), F.col("d").isNotNull().alias("tried"), F.when(pays, F.col("d.rec_len")).otherwise(F.col("len") + 1).alias("rec_len"), *kept)
 
 
 def applied(records: DataFrame, targets: DataFrame) -> DataFrame:
@@ -80,23 +85,19 @@ def record_ops(records: DataFrame) -> DataFrame:
     return records.filter("record IS NOT NULL").select("file_id", "version", "seq", "record").mapInPandas(run, "file_id long, version long, seq int, k int, op string, off long, len long")
 
 
-def chain_depths(edges: DataFrame, most: int = 12) -> DataFrame:
-    """node, depth, root: how many records must be read before the raw one, by pointer jumping until no pointer moves.
+def chain_depths(edges: DataFrame) -> DataFrame:
+    """node, depth, root: how many records must be read before the raw one, by pointer jumping over stored tables until no pointer moves.
 
-    ``edges`` has node and target (null for raw). ``most`` is the depth expected: the first log2 of it joins are made without
-    asking whether any pointer still moves; longer chains take as many more as they need. Only what leads to no raw node has no root: null.
+    ``edges`` has node and target (null for raw). Pointers double in each round. Only what leads to no raw node has no root: null.
     """
-    at = edges.select("node", F.col("target").alias("to"), F.when(F.col("target").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    done, nodes = 0, None
+    at = stored(edges.select("node", F.col("target").alias("to"), F.when(F.col("target").isNull(), 0).otherwise(1).cast("long").alias("depth")), "pointers")
+    nodes, hops = at.count(), 1
     while True:
-        for _ in range(max(1, most.bit_length()) if not done else 1):
-            step = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("depth").alias("more"))
-            at = at.join(step, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-            done += 1
-        at = at.persist(StorageLevel.DISK_ONLY)
-        # a pointer to a node with a pointer moves on; in a ring it always does, and no chain needs more turns than log2 of all nodes
-        nodes = edges.count() if nodes is None else nodes
-        if 2**done > nodes or not at.join(at.filter("to IS NOT NULL").select(F.col("node").alias("to")), "to", "left_semi").limit(1).count():
+        step = at.filter("to IS NOT NULL").select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("depth").alias("more"))
+        jumped = at.join(step, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("to2").isNotNull().alias("moved"))
+        at, hops = stored(jumped, "pointers"), hops * 2
+        # in a ring pointers always move, and no chain has more hops than there are nodes
+        if hops > nodes or not at.filter("moved").limit(1).count():
             break
     ends = edges.filter("target IS NULL").select(F.col("node").alias("root"))
     return at.select("node", "depth", F.coalesce("to", "node").alias("_r")).join(ends, F.col("_r") == F.col("root"), "left").select("node", "depth", "root")
@@ -106,3 +107,76 @@ def broken_links(edges: DataFrame, live: DataFrame) -> DataFrame:
     """Live delta nodes whose target isn't live: what garbage collection would break, or a guard must write raw before."""
     alive = live.select("node").distinct()
     return edges.filter("target IS NOT NULL").join(alive, "node", "left_semi").join(alive.withColumnRenamed("node", "target"), "target", "left_anti").select("node", "target")
+
+
+def record_store(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """fp, raw_len, rec_len, target (fp, null if raw), record (null if raw) and bytes (null if a delta): what a store writes for each different chunk.
+
+    A chunk is written where it first occurs, by (version, file, seq), so a target, which is of an earlier version, is always written
+    before what is encoded against it, and no chain returns to itself.
+    """
+    first = F.min(F.struct("version", "file_id", "seq")).alias("at")
+    firsts = chunks.groupBy("fp").agg(first, F.first("bytes").alias("bytes")).select("fp", "at.*", "bytes")
+    found = best_records(chunks, cfg).select("file_id", "version", "seq", "raw_len", "rec_len", F.col("t_fp").alias("target"), "record")
+    both = firsts.join(found, ["file_id", "version", "seq"])
+    # a chunk that equals its target is its own copy: it was written already, so this can only be a raw one met again
+    delta = F.col("target").isNotNull() & (F.col("target") != F.col("fp"))
+    return both.select("fp", "raw_len", F.when(delta, F.col("rec_len")).otherwise(F.col("raw_len") + 1).alias("rec_len"), F.when(delta, F.col("target")).alias("target"), F.when(delta, F.col("record")).alias("record"), F.when(~delta, F.col("bytes")).alias("bytes"))
+
+
+def decoded(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """fp, bytes of the chunks of ``records`` that can be read, or of those in ``wanted`` (fp): level by level, each a join of deltas with the chunks of the level before.
+
+    A chunk is missing where its chain leads to a record that isn't there. Chains have as many levels as versions at most.
+    """
+    need = records if wanted is None else records.join(chain_of(records, wanted), "fp", "left_semi")
+    deltas = stored(need.filter("target IS NOT NULL").select("fp", "target", "raw_len", "record"), "deltas")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"fp": f["fp"], "bytes": [apply(bytes(t), bytes(r), n) for t, r, n in zip(f["bytes"], f["record"], f["raw_len"], strict=True)]})
+
+    level = stored(need.filter("target IS NULL").select("fp", "bytes"), "level")
+    done = level
+    while True:
+        more = deltas.join(level.withColumnRenamed("fp", "target"), "target").select("fp", "bytes", "record", "raw_len")
+        level = stored(more.mapInPandas(run, "fp string, bytes binary").filter("bytes IS NOT NULL"), "level")
+        if not level.limit(1).count():
+            break
+        done = done.unionByName(level)
+    return done if wanted is None else done.join(wanted.select("fp").distinct(), "fp", "left_semi")
+
+
+def chain_of(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp of ``wanted`` and of all that their deltas need, to the raw record: liveness closed over the delta graph."""
+    edges = stored(records.filter("target IS NOT NULL").select("fp", "target"), "edges")
+    front = stored(wanted.select("fp").distinct(), "front")
+    closed = front
+    while True:
+        front = stored(edges.join(front, "fp").select(F.col("target").alias("fp")).distinct().join(closed, "fp", "left_anti"), "front")
+        if not front.limit(1).count():
+            return closed
+        closed = closed.unionByName(front)
+
+
+def collected(records: DataFrame, live: DataFrame, guard: str) -> tuple[DataFrame, DataFrame]:
+    """(the records that a collection leaves, fp and bytes of those it writes raw first) for ``live`` (fp).
+
+    ``off``: what isn't live goes, whoever needs it. ``close``: targets of the living stay. ``expand``: a living delta whose target isn't live is
+    read through its chain and written raw, then only the living stay.
+    """
+    alive = live.select("fp").distinct()
+    none = records.select("fp", F.lit(None).cast("binary").alias("bytes")).limit(0)
+    if guard == "off":
+        return records.join(alive, "fp", "left_semi"), none
+    if guard == "close":
+        return records.join(chain_of(records, alive), "fp", "left_semi"), none
+    if guard != "expand":
+        raise ValueError("guard must be off, close or expand")
+    kept = records.join(alive, "fp", "left_semi")
+    hanging = stored(kept.filter("target IS NOT NULL").join(alive.withColumnRenamed("fp", "target"), "target", "left_anti").select("fp"), "hanging")
+    raw = stored(decoded(records, hanging), "rewritten")
+    rest = kept.join(hanging, "fp", "left_anti")
+    n = F.octet_length("bytes").cast("long")
+    again = raw.select("fp", n.alias("raw_len"), (n + 1).alias("rec_len"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("binary").alias("record"), "bytes")
+    return rest.unionByName(again), raw

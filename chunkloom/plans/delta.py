@@ -1,4 +1,4 @@
-"""Queries over versions: delta candidates, savings, chains. Versions of a file are a conversation as it grows."""
+"""Queries over versions: delta candidates, savings, chains. A version of a file is the newest three turns of a conversation."""
 
 from __future__ import annotations
 
@@ -11,17 +11,18 @@ from chunkloom.functions.codec import positional
 from chunkloom.operators import chunking, delta
 from chunkloom.plans.lifecycle import ranked
 from chunkloom.plans.registry import query
+from chunkloom.sources.storage import stored
 from chunkloom.sources.tables import SPAN, table
 
 BLOCK = 256
 CFG = DedupConfig(bits=8, delta=True, delta_min=64)
-VERSIONS = """versions AS (SELECT conv_id AS file_id, turn AS version, encode(string_agg(coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS body FROM conversations)"""
+VERSIONS = """versions AS (SELECT conv_id AS file_id, turn AS version, encode(string_agg(coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS 2 PRECEDING)) AS body FROM conversations)"""
 VBLOCKS = f"""{VERSIONS}, c AS (SELECT file_id, version, i::INT AS seq, least({BLOCK}, octet_length(body) - i * {BLOCK})::BIGINT AS len, md5(body[i * {BLOCK} + 1 : least((i + 1) * {BLOCK}, octet_length(body))]) AS fp FROM versions, range(((octet_length(body) + {BLOCK - 1}) // {BLOCK})::BIGINT) t(i))"""
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, version, body: all turns up to the version's."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    """file_id, version, body: the version's turn and the two before it, as in a log that is rotated; so all versions are three times their turns."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 0)
     texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(w), "\n").alias("body"))
     return texts.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("version"), F.encode("body", "UTF-8").alias("body"))
 
@@ -54,7 +55,7 @@ def version_delta_candidates_recent(spark: SparkSession, sf_dir: str) -> DataFra
 @query()
 def delta_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and stored bytes by choice of target. The codec is tested by its own round trips."""
-    c, out = chunks(spark, sf_dir), None
+    c, out = stored(chunks(spark, sf_dir), "chunks"), None
     for pick in ("index", "recent"):
         r = delta.best_records(c, DedupConfig(bits=8, delta=True, delta_min=64, delta_pick=pick))
         one = r.agg(F.count("*").alias("chunks"), F.count_if("tried").alias("tries"), F.count_if(F.col("t_seq").isNotNull()).alias("deltas"), F.sum(F.col("raw_len") + 1).alias("raw"), F.sum("rec_len").alias("stored")).select(F.lit(pick).alias("pick"), "*", F.round(1 - F.col("stored") / F.col("raw"), 6).alias("saved"))
@@ -65,7 +66,7 @@ def delta_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {VERSIONS} SELECT true AS same, 0::BIGINT AS wrong")
 def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every delta put together again equals its chunk."""
-    c = chunks(spark, sf_dir)
+    c = stored(chunks(spark, sf_dir), "chunks")
     back = delta.applied(delta.best_records(c, CFG), c)
     both = back.select("file_id", "version", "seq", F.md5("bytes").alias("again")).join(c.select("file_id", "version", "seq", "fp"), ["file_id", "version", "seq"])
     wrong = F.count_if(~F.col("again").eqNullSafe(F.col("fp")))
@@ -78,6 +79,34 @@ def delta_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.record_ops(delta.best_records(chunks(spark, sf_dir), CFG)).groupBy("op").agg(F.count("*").alias("n"), F.sum("len").alias("bytes"))
 
 
+GUARDS = ("off", "close", "expand")
+
+
+@query()
+def collection_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forced collection of real delta records, without a guard, with targets kept, and with hanging deltas written raw before: records and bytes
+    kept, freed and rewritten, and what every live version restores to: chunks are read through their chains, joined and compared with the body's digest."""
+    c = stored(chunks(spark, sf_dir), "chunks")
+    records = stored(delta.record_store(c, CFG), "records")
+    today = F.broadcast(c.agg(F.max("version").alias("today")))  # one row
+    recipes = stored(c.drop("bytes").crossJoin(today).filter(F.col("version") >= F.col("today") - KEPT).select("file_id", "version", "seq", "fp", "len"), "recipes")
+    whole = records.agg(F.count("*").alias("all_records"), F.sum("rec_len").alias("all_bytes"))
+    out = None
+    for guard in GUARDS:
+        kept, raw = delta.collected(records, recipes, guard)
+        kept = stored(kept, "kept")
+        read = delta.decoded(kept).select("fp", (F.md5("bytes") == F.col("fp")).alias("same"))
+        versions_ = recipes.join(read, "fp", "left").groupBy("file_id", "version").agg(F.count_if(~F.coalesce("same", F.lit(False))).alias("lost"))
+        lost = versions_.agg(F.count("*").alias("versions"), F.count_if(F.col("lost") > 0).alias("lost_versions"), F.count_distinct(F.when(F.col("lost") > 0, F.col("file_id"))).alias("lost_files"))
+        left = kept.agg(F.count("*").alias("records"), F.coalesce(F.sum("rec_len"), F.lit(0)).alias("bytes"))
+        extra = raw.agg(F.count("*").alias("rewritten"), F.coalesce(F.sum(F.octet_length("bytes") + 1), F.lit(0)).alias("rewritten_bytes"))
+        one = left.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(extra)).crossJoin(F.broadcast(lost))  # one row each
+        freed = (F.col("all_records") - F.col("records")).alias("dropped"), (F.col("all_bytes") - F.col("bytes")).alias("freed")
+        one = one.select(F.lit(guard).alias("guard"), "records", "bytes", *freed, "rewritten", "rewritten_bytes", "versions", "lost_versions", "lost_files")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 EDGES = f"""{VERSIONS}, lens AS (SELECT file_id, version, octet_length(body) AS n, lag(octet_length(body)) OVER w AS before, lag(version) OVER w AS prev FROM versions WINDOW w AS (PARTITION BY file_id ORDER BY version)),
 edges AS (SELECT file_id * {SPAN} + version AS node, CASE WHEN prev IS NOT NULL AND n < 2 * before THEN file_id * {SPAN} + prev END AS target FROM lens)"""
 
@@ -93,7 +122,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {EDGES}, r AS (SELECT node, 0::BIGINT AS depth, node AS root FROM edges WHERE target IS NULL UNION ALL SELECT e.node, r.depth + 1, r.root FROM edges e JOIN r ON e.target = r.node) SELECT node, depth, root FROM r""")
 def chain_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records lie between a version and a raw one."""
-    return delta.chain_depths(edges(spark, sf_dir), 64)
+    return delta.chain_depths(edges(spark, sf_dir))
 
 
 #: A version is kept on its own day and on two more; the day is the newest version's number.

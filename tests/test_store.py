@@ -183,13 +183,13 @@ def test_simulate_sums_shards(spark):
 
 def test_chain_depths_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1000)], "node long, target long")
-    got = {x.node: (x.depth, x.root) for x in delta.chain_depths(edges, 64).collect()}
+    got = {x.node: (x.depth, x.root) for x in delta.chain_depths(edges).collect()}
     assert all(got[i] == (i, 0) for i in range(300)) and all(got[i][1] is None for i in (1000, 1001, 1002))
 
 
 def test_chain_depths_and_broken_links(spark):
     edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (9, None)], "node long, target long")
-    got = {x.node: (x.depth, x.root) for x in delta.chain_depths(edges, 8).collect()}
+    got = {x.node: (x.depth, x.root) for x in delta.chain_depths(edges).collect()}
     assert got == {1: (0, 1), 2: (1, 1), 3: (2, 1), 4: (3, 1), 5: (4, 1), 9: (0, 9)}
     live = spark.createDataFrame([(2,), (4,), (5,)], "node long")
     assert sorted(tuple(x) for x in delta.broken_links(edges, live).collect()) == [(2, 1), (4, 3)]
