@@ -44,13 +44,27 @@ TAG = "spdx license identifier"
 _TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+_:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
+# fixed values: short identifiers without a version, and names in common use
+PLAIN = frozenset("""
+0bsd aal agpl apache bsd bsl bzip2 cc0 curl cc-by cc-by-nc cc-by-nd cc-by-sa epl fsfap fsful ftl gpl icu ijg isc json lgpl libpng libtiff mit mit-0 mpl
+ncsa ngpl ntp openssl php postgresql public-domain python ruby sendmail sleepycat sqlite tcl unlicense vim w3c wtfpl x11 xnet zlib zpl
+""".split())
+_VERSIONED = re.compile(r"(?=.*\d)[a-z0-9]+(?:\.[a-z0-9]+)*(?:-[a-z0-9]+(?:\.[a-z0-9]+)*)+")
+_OWN = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 PERMISSIVE = frozenset("mit apache apache-2.0 bsd bsd-2-clause bsd-3-clause isc 0bsd cc0 cc0-1.0 cc-by cc-by-4.0 cc-by-3.0 unlicense bsl bsl-1.0 zlib public-domain".split())
 
 
+def is_identifier(t: str) -> bool:
+    """Whether a lower-cased token has the form of a licence or exception identifier: a name with a version, one of ``PLAIN``, a reference or an exception."""
+    t = t.removesuffix("+")
+    return t in PLAIN or bool(_VERSIONED.fullmatch(t) or _OWN.fullmatch(t)) or t.endswith("-exception")
+
+
 def parse_expression(text: str) -> list[str] | None:
     """Reverse Polish form of a licence expression, by the shunting-yard algorithm: ``with`` binds before ``and`` before ``or``.
 
-    Reads the longest valid prefix of ``text`` and returns None if there is none, so prose behind an expression is harmless.
+    Reads the longest valid prefix of ``text`` and returns None if there is none, so prose behind an expression, or instead of one, is harmless;
+    so are NONE and NOASSERTION, which name no licence.
     """
     tokens, depth, good, want = [], 0, 0, True
     for m in _TOKEN.finditer(text):
@@ -58,7 +72,7 @@ def parse_expression(text: str) -> list[str] | None:
         low = t.lower()
         if want and t == "(":
             depth += 1
-        elif want and t not in "()" and low not in _RANK:
+        elif want and is_identifier(low):
             want = False
         elif not want and t == ")" and depth:
             depth -= 1

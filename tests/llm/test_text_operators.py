@@ -56,6 +56,10 @@ def test_licence_expressions():
     found = licenses.scan("// SPDX-License-Identifier: (MIT OR GPL-2.0+) blah\nGNU Lesser General Public License")
     assert found[5] == "gpl-2.0+,lgpl,mit" and found[7] == "mit gpl-2.0+ or" and found[8] is True
     assert licenses.scan(None)[:7] == (0, 0, None, None, "", "", 0.0)
+    for line in ("see the LICENSE file", "NOASSERTION", "NONE", "the", "unknown-license", "(see LICENSE-2.0", "proprietary and confidential"):
+        assert licenses.parse_expression(line) is None and licenses.scan(f"SPDX-License-Identifier: {line}")[5] == "", line
+    for line, want in {"MIT see COPYING": "mit", "GPL-2.0-only WITH LLVM-exception OR the": "gpl-2.0-only", "LicenseRef-Own AND 0BSD": "0bsd,licenseref-own", "EPL-2.0.": "epl-2.0"}.items():
+        assert licenses.scan(f"SPDX-License-Identifier: {line}")[5] == want, line
 
 
 def test_licence_scan_of_awkward_rows(awkward, empty, awkward_rows):
