@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import DedupConfig
-from chunkloom.operators import chunking, dedup, lifecycle
+from chunkloom.operators import chunking, dedup, lifecycle, scan
 from chunkloom.plans.dedup import BLOCK
 from chunkloom.plans.registry import query
 from chunkloom.sources.tables import BACKUPS_SQL, FILES_SQL, backups, blocks_sql, files
@@ -93,6 +93,25 @@ def retention_due_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.select("run_day", "due", (F.col("due") + F.lag("backlog", 1, 0).over(w) - F.col("backlog")).alias("taken"), "backlog")
 
 
+QUEUE = f"""WITH RECURSIVE {BACKUPS_SQL}, due AS (SELECT (day + {KEEP + 1})::INT AS run_day, count(*) AS n FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY ALL),
+d AS (SELECT t::INT AS run_day, coalesce(n, 0) AS n FROM range((SELECT min(run_day) FROM due), {DAYS}) r(t) LEFT JOIN due ON due.run_day = t),
+r AS (SELECT run_day, least(n, 20) AS taken, greatest(n - 20, 0) AS backlog FROM d WHERE run_day = (SELECT min(run_day) FROM d)
+UNION ALL SELECT d.run_day, least(d.n + r.backlog, 20), greatest(d.n + r.backlog - 20, 0) FROM r JOIN d ON d.run_day = r.run_day + 1),
+c AS (SELECT run_day, taken, sum(taken) OVER (ORDER BY run_day) AS up FROM r),
+q AS (SELECT day, file_id, row_number() OVER (ORDER BY day, file_id) AS place FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1})"""
+
+
+@query(f"{QUEUE} SELECT place, file_id, day, (day + {KEEP + 1})::INT AS due_on, run_day AS taken_on FROM q LEFT JOIN c ON place > up - taken AND place <= up")
+def retention_due_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every expired copy in the order in which it is due, and the day on which a run of at most twenty takes it (null: it still waits at the end)."""
+    copies = lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).select("day", "file_id", F.col("expired_on").cast("int").alias("due_on"))
+    queue = scan.running(scan.in_ranges(copies, [], ["day", "file_id"]), [], ["day", "file_id"], "place").drop("part")
+    # a row a day, so the join by ranges has no more than the month's days on its other side
+    days = retention_due_capped(spark, sf_dir).withColumn("up", F.sum("taken").over(Window.orderBy("run_day")))
+    turns = F.broadcast(days.select(F.col("run_day").alias("taken_on"), (F.col("up") - F.col("taken")).alias("_from"), F.col("up").alias("_to")))
+    return queue.join(turns, (F.col("place") > F.col("_from")) & (F.col("place") <= F.col("_to")), "left").select("place", "file_id", "day", "due_on", "taken_on")
+
+
 LIVE = f"""{SESSIONS}, u AS (SELECT DISTINCT day, fp, len FROM refs), t AS (SELECT unnest(range({DAYS}))::INT AS t),
 w AS (SELECT t, fp, max(len) AS len, max(day) AS last FROM u, t WHERE day <= t GROUP BY t, fp)"""
 
