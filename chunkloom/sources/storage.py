@@ -27,18 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/chunkloom/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_clean)
+    _MADE.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     The table outlives lost executors. It goes when the driver ends, for lazy results may still read it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chunkloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    if not _MADE:
-        atexit.register(_clean)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def added(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """Append ``df`` to the table at ``path`` (of ``new_path``), partitioned ``by``, and read all of it."""
+    df.write.mode("append").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _clean() -> None:
