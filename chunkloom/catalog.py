@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkloom.plans import delta, dedup, lifecycle, models, month, rewriting, search, store, streams  # noqa: F401  (they register their queries)
+from chunkloom.plans import delta, dedup, lifecycle, models, month, resemblance, rewriting, search, store, streams  # noqa: F401  (they register their queries)
 from chunkloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -3,6 +3,9 @@
 Format (fixed values): the first byte of a record is 0x00 for raw bytes or 0x01 for a delta; a delta is a run of 0xC0 offset length
 (copy) and 0xA0 length bytes (insert), numbers as LEB128. Matches start at anchors every 8 bytes of the target, found by a hash of 16
 bytes, grow both ways, and count from 24 bytes on.
+
+``encode_words`` writes the same format from words instead of anchors: both chunks are cut by their content into words, equal words are found by
+hash and confirmed by their bytes, and each match takes in what is equal beside it before the next word is looked up.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import numpy as np
 from chunkloom.functions.gear import rolling
 
 WINDOW, STEP, LEAST = 16, 8, 24
+#: A word is 2^5 bytes on average (the usual 64 would be two words to a chunk of 256 bytes); shorter copies take as many bytes as they save.
+WORD_BITS, WORD_LEAST = 5, 8
 RAW, DELTA, COPY, INSERT = 0x00, 0x01, 0xC0, 0xA0
 
 
@@ -96,6 +101,52 @@ def encode(target: bytes, source: bytes) -> bytes:
     return bytes(out)
 
 
+def words(data: bytes, bits: int = WORD_BITS) -> list[tuple[int, int]]:
+    """(offset, length) of the words of ``data``: cut where the low ``bits`` bits of the rolling hash are zero, so 2^bits bytes on average."""
+    if not data:
+        return []
+    ends = (np.flatnonzero(rolling(np.frombuffer(data, np.uint8), bits) == 0) + 1).tolist()
+    if not ends or ends[-1] < len(data):
+        ends.append(len(data))
+    return [(a, b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def encode_words(target: bytes, source: bytes, bits: int = WORD_BITS) -> bytes:
+    """The delta record of ``source`` against ``target`` by words (the first of equal ones in the target). An edit changes the words it touches and
+    where the next begins, no other; a word that a copy has passed isn't looked up. Copies are at least ``WORD_LEAST`` bytes."""
+    t, s = memoryview(target), memoryview(source)
+    known: dict[bytes, int] = {}
+    for at, n in words(target, bits):
+        known.setdefault(target[at : at + n], at)
+    out, open_ = bytearray([DELTA]), 0
+
+    def insert(to: int) -> None:
+        if to > open_:
+            out.append(INSERT)
+            out.extend(varint(to - open_) + source[open_:to])
+
+    for i, n in words(source, bits):
+        if i + n <= open_:
+            continue
+        at = known.get(source[i : i + n])
+        if at is None:
+            continue
+        # a word that the last copy has begun goes on where that copy ended
+        skip = max(0, open_ - i)
+        back = 0
+        while back < min(i + skip - open_, at + skip) and source[i + skip - back - 1] == target[at + skip - back - 1]:
+            back += 1
+        ahead = _common(s[i + skip :], t[at + skip :])
+        if back + ahead < WORD_LEAST:
+            continue
+        insert(i + skip - back)
+        out.append(COPY)
+        out += varint(at + skip - back) + varint(back + ahead)
+        open_ = i + skip + ahead
+    insert(len(source))
+    return bytes(out)
+
+
 def raw_record(data: bytes) -> bytes:
     return bytes([RAW]) + data
 

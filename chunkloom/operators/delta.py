@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,7 +37,20 @@ def candidates(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
     return both.select("file_id", "version", "seq", F.col("prev").alias("t_version"), F.col("t_seq").cast("int").alias("t_seq"), F.col("rank").cast("int").alias("rank"))
 
 
-def best_records(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
+def encoded(pairs: DataFrame, chunks: DataFrame, coder: Callable[[bytes, bytes], bytes] = encode) -> DataFrame:
+    """Different ``pairs`` (fp, t_fp) with rec_len and record: each chunk's bytes are shuffled once for each pair that it is in."""
+    bytes_of = chunks.groupBy("fp").agg(F.first("bytes").alias("bytes"))
+    both = pairs.join(bytes_of.select("fp", F.col("bytes").alias("source")), "fp").join(bytes_of.select(F.col("fp").alias("t_fp"), F.col("bytes").alias("target")), "t_fp")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rec = [coder(bytes(t), bytes(s)) for t, s in zip(f["target"], f["source"], strict=True)]
+            yield f[["fp", "t_fp"]].assign(rec_len=[len(r) for r in rec], record=rec)
+
+    return both.select("fp", "t_fp", "target", "source").mapInPandas(run, "fp string, t_fp string, rec_len long, record binary")
+
+
+def best_records(chunks: DataFrame, cfg: DedupConfig, coder: Callable[[bytes, bytes], bytes] = encode) -> DataFrame:
     """For each chunk with bytes and fp: raw_len, rec_len and, where a delta pays, its target and record; the first of equally short ones.
 
     Eligibility (length, target length) is filtered before any encoding. Encoding is a map over the different (target, source) pairs of
@@ -47,15 +60,7 @@ def best_records(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
     target = places.filter("len >= 32").select("file_id", F.col("version").alias("t_version"), F.col("seq").alias("t_seq"), F.col("fp").alias("t_fp"))
     big = places.filter(F.col("len") >= cfg.delta_min).select("file_id", "version", "seq", "fp")
     pairs = candidates(places, cfg).join(big, ["file_id", "version", "seq"]).join(target, ["file_id", "t_version", "t_seq"])
-    bytes_of = chunks.groupBy("fp").agg(F.first("bytes").alias("bytes"))
-    both = pairs.select("fp", "t_fp").distinct().join(bytes_of.select("fp", F.col("bytes").alias("source")), "fp").join(bytes_of.select(F.col("fp").alias("t_fp"), F.col("bytes").alias("target")), "t_fp")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rec = [encode(bytes(t), bytes(s)) for t, s in zip(f["target"], f["source"], strict=True)]
-            yield f[["fp", "t_fp"]].assign(rec_len=[len(r) for r in rec], record=rec)
-
-    made = both.select("fp", "t_fp", "target", "source").mapInPandas(run, "fp string, t_fp string, rec_len long, record binary")
+    made = encoded(pairs.select("fp", "t_fp").distinct(), chunks, coder)
     best = pairs.join(made, ["fp", "t_fp"]).groupBy("file_id", "version", "seq").agg(F.min_by(F.struct("t_version", "t_seq", "t_fp", "rec_len", "record"), F.struct("rec_len", "rank")).alias("d"))
     out = chunks.select("file_id", "version", "seq", "fp", "len").join(best, ["file_id", "version", "seq"], "left")
     pays = F.col("d.rec_len") < (F.col("len") + 1) * cfg.delta_min_ratio
@@ -74,6 +79,18 @@ def applied(records: DataFrame, targets: DataFrame) -> DataFrame:
     return both.select("file_id", "version", "seq", "raw_len", "record", "target").mapInPandas(run, "file_id long, version long, seq int, bytes binary")
 
 
+def wrong_records(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row, wrong: how many of ``records`` (fp, t_fp, raw_len, record) don't give the chunk that they stand for. ``chunks`` has fp and bytes."""
+    targets = chunks.groupBy(F.col("fp").alias("t_fp")).agg(F.first("bytes").alias("target"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[["fp"]].assign(bytes=[apply(bytes(t), bytes(r), n) for t, r, n in zip(f["target"], f["record"], f["raw_len"], strict=True)])
+
+    again = records.join(targets, "t_fp").select("fp", "raw_len", "record", "target").mapInPandas(run, "fp string, bytes binary")
+    return again.agg(F.count_if(~F.md5("bytes").eqNullSafe(F.col("fp"))).alias("wrong"))
+
+
 def record_ops(records: DataFrame) -> DataFrame:
     """A row per operation of each record: op (raw, copy, insert), off and len."""
 
@@ -109,7 +126,7 @@ def broken_links(edges: DataFrame, live: DataFrame) -> DataFrame:
     return edges.filter("target IS NOT NULL").join(alive, "node", "left_semi").join(alive.withColumnRenamed("node", "target"), "target", "left_anti").select("node", "target")
 
 
-def record_store(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
+def record_store(chunks: DataFrame, cfg: DedupConfig, coder: Callable[[bytes, bytes], bytes] = encode) -> DataFrame:
     """fp, raw_len, rec_len, target (fp, null if raw), record (null if raw) and bytes (null if a delta): what a store writes for each different chunk.
 
     A chunk is written where it first occurs, by (version, file, seq), so a target, which is of an earlier version, is always written
@@ -117,7 +134,7 @@ def record_store(chunks: DataFrame, cfg: DedupConfig) -> DataFrame:
     """
     first = F.min(F.struct("version", "file_id", "seq")).alias("at")
     firsts = chunks.groupBy("fp").agg(first, F.first("bytes").alias("bytes")).select("fp", "at.*", "bytes")
-    found = best_records(chunks, cfg).select("file_id", "version", "seq", "raw_len", "rec_len", F.col("t_fp").alias("target"), "record")
+    found = best_records(chunks, cfg, coder).select("file_id", "version", "seq", "raw_len", "rec_len", F.col("t_fp").alias("target"), "record")
     both = firsts.join(found, ["file_id", "version", "seq"])
     # a chunk that equals its target is its own copy: it was written already, so this can only be a raw one met again
     delta = F.col("target").isNotNull() & (F.col("target") != F.col("fp"))
