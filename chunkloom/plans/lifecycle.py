@@ -9,13 +9,23 @@ from chunkloom.config import DedupConfig
 from chunkloom.operators import chunking, dedup, lifecycle, scan
 from chunkloom.plans.dedup import BLOCK
 from chunkloom.plans.registry import query
-from chunkloom.sources.tables import BACKUPS_SQL, FILES_SQL, backups, blocks_sql, files
+from chunkloom.sources.tables import BACKUPS_SQL, FILES_SQL, backups, blocks_sql, files, table
 
-DAYS, KEEP, GC = 30, 7, 0.25
+KEEP, GC = 7, 0.25
+#: Days of a generated month. What is read from tables ends with the last day that they have.
+DAYS = 30
+LAST = "(SELECT max(day) FROM backups)"
+CLOCK = "(SELECT unnest(range(m + 1))::INT AS t FROM (SELECT max(day) AS m FROM backups))"
 SESSIONS = f"WITH {FILES_SQL}, {blocks_sql(BLOCK)}, {BACKUPS_SQL}, refs AS (SELECT b.day, b.file_id, c.fp, c.len, c.seq FROM backups b JOIN chunks c ON c.file_id = b.doc_id)"
 RATIO = "round(CASE WHEN {1} > 0 THEN {0}::DOUBLE / {1} ELSE 0 END, 6)"
 
 
+def last_day(spark: SparkSession, sf_dir: str) -> int:
+    """The last day that has a backup, from 0; -1 if there is none."""
+    found = table(spark, sf_dir, "events").agg(F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))).alias("last")).first()["last"]
+    return -1 if found is None else found
+
+
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, fp, len of the contents that backups refer to; contents are chunked once, however often they are backed up."""
     return chunking.fixed_chunks(files(spark, sf_dir), BLOCK).select(F.col("file_id").alias("doc_id"), "seq", "fp", "len")
@@ -71,21 +81,21 @@ def day_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("day", kind.alias("kind"), colour.alias("colour"))
 
 
-@query(f"WITH {BACKUPS_SQL} SELECT day + {KEEP + 1} AS expired_on, count(*) AS copies, count(DISTINCT file_id) AS files FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY day")
+@query(f"WITH {BACKUPS_SQL} SELECT day + {KEEP + 1} AS expired_on, count(*) AS copies, count(DISTINCT file_id) AS files FROM backups WHERE day + {KEEP + 1} <= {LAST} GROUP BY day")
 def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies that expire on each day."""
-    return lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).groupBy("expired_on").agg(F.count("*").alias("copies"), F.count_distinct("file_id").alias("files"))
+    return lifecycle.expiries(backups(spark, sf_dir), KEEP, last_day(spark, sf_dir)).groupBy("expired_on").agg(F.count("*").alias("copies"), F.count_distinct("file_id").alias("files"))
 
 
-@query(f"""WITH RECURSIVE {BACKUPS_SQL}, due AS (SELECT (day + {KEEP + 1})::INT AS run_day, count(*) AS n FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY ALL),
-d AS (SELECT t::INT AS run_day, coalesce(n, 0) AS n FROM range((SELECT min(run_day) FROM due), {DAYS}) r(t) LEFT JOIN due ON due.run_day = t),
+@query(f"""WITH RECURSIVE {BACKUPS_SQL}, due AS (SELECT (day + {KEEP + 1})::INT AS run_day, count(*) AS n FROM backups WHERE day + {KEEP + 1} <= {LAST} GROUP BY ALL),
+d AS (SELECT t::INT AS run_day, coalesce(n, 0) AS n FROM range((SELECT min(run_day) FROM due), {LAST} + 1) r(t) LEFT JOIN due ON due.run_day = t),
 r AS (SELECT run_day, n AS due, least(n, 20) AS taken, greatest(n - 20, 0) AS backlog FROM d WHERE run_day = (SELECT min(run_day) FROM d)
 UNION ALL SELECT d.run_day, d.n, least(d.n + r.backlog, 20), greatest(d.n + r.backlog - 20, 0) FROM r JOIN d ON d.run_day = r.run_day + 1)
 SELECT run_day, due::BIGINT AS due, taken::BIGINT AS taken, backlog::BIGINT AS backlog FROM r""")
 def retention_due_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expiry of at most twenty copies a day, the oldest first: due, taken, and what waits for the next day (the cap is the rule)."""
-    due = lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).groupBy(F.col("expired_on").cast("int").alias("run_day")).agg(F.count("*").alias("due"))
-    days = due.agg(F.explode(F.sequence(F.min("run_day"), F.lit(DAYS - 1))).alias("run_day")).join(due, "run_day", "left").fillna(0, ["due"])
+    due = lifecycle.expiries(backups(spark, sf_dir), KEEP, last_day(spark, sf_dir)).groupBy(F.col("expired_on").cast("int").alias("run_day")).agg(F.count("*").alias("due"))
+    days = due.agg(F.explode(F.sequence(F.min("run_day"), F.lit(last_day(spark, sf_dir)))).alias("run_day")).join(due, "run_day", "left").fillna(0, ["due"])
     # one row a day: the queue is its sum of arrivals less the cap, less the least that sum ever was
     w = Window.orderBy("run_day")
     total = days.withColumn("c", F.sum(F.col("due") - 20).over(w))
@@ -93,18 +103,18 @@ def retention_due_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.select("run_day", "due", (F.col("due") + F.lag("backlog", 1, 0).over(w) - F.col("backlog")).alias("taken"), "backlog")
 
 
-QUEUE = f"""WITH RECURSIVE {BACKUPS_SQL}, due AS (SELECT (day + {KEEP + 1})::INT AS run_day, count(*) AS n FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY ALL),
-d AS (SELECT t::INT AS run_day, coalesce(n, 0) AS n FROM range((SELECT min(run_day) FROM due), {DAYS}) r(t) LEFT JOIN due ON due.run_day = t),
+QUEUE = f"""WITH RECURSIVE {BACKUPS_SQL}, due AS (SELECT (day + {KEEP + 1})::INT AS run_day, count(*) AS n FROM backups WHERE day + {KEEP + 1} <= {LAST} GROUP BY ALL),
+d AS (SELECT t::INT AS run_day, coalesce(n, 0) AS n FROM range((SELECT min(run_day) FROM due), {LAST} + 1) r(t) LEFT JOIN due ON due.run_day = t),
 r AS (SELECT run_day, least(n, 20) AS taken, greatest(n - 20, 0) AS backlog FROM d WHERE run_day = (SELECT min(run_day) FROM d)
 UNION ALL SELECT d.run_day, least(d.n + r.backlog, 20), greatest(d.n + r.backlog - 20, 0) FROM r JOIN d ON d.run_day = r.run_day + 1),
 c AS (SELECT run_day, taken, sum(taken) OVER (ORDER BY run_day) AS up FROM r),
-q AS (SELECT day, file_id, row_number() OVER (ORDER BY day, file_id) AS place FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1})"""
+q AS (SELECT day, file_id, row_number() OVER (ORDER BY day, file_id) AS place FROM backups WHERE day + {KEEP + 1} <= {LAST})"""
 
 
 @query(f"{QUEUE} SELECT place, file_id, day, (day + {KEEP + 1})::INT AS due_on, run_day AS taken_on FROM q LEFT JOIN c ON place > up - taken AND place <= up")
 def retention_due_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every expired copy in the order in which it is due, and the day on which a run of at most twenty takes it (null: it still waits at the end)."""
-    copies = lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).select("day", "file_id", F.col("expired_on").cast("int").alias("due_on"))
+    copies = lifecycle.expiries(backups(spark, sf_dir), KEEP, last_day(spark, sf_dir)).select("day", "file_id", F.col("expired_on").cast("int").alias("due_on"))
     queue = scan.running(scan.in_ranges(copies, [], ["day", "file_id"]), [], ["day", "file_id"], "place").drop("part")
     # a row a day, so the join by ranges has no more than the month's days on its other side
     days = retention_due_capped(spark, sf_dir).withColumn("up", F.sum("taken").over(Window.orderBy("run_day")))
@@ -112,7 +122,7 @@ def retention_due_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.join(turns, (F.col("place") > F.col("_from")) & (F.col("place") <= F.col("_to")), "left").select("place", "file_id", "day", "due_on", "taken_on")
 
 
-LIVE = f"""{SESSIONS}, u AS (SELECT DISTINCT day, fp, len FROM refs), t AS (SELECT unnest(range({DAYS}))::INT AS t),
+LIVE = f"""{SESSIONS}, u AS (SELECT DISTINCT day, fp, len FROM refs), t AS {CLOCK},
 w AS (SELECT t, fp, max(len) AS len, max(day) AS last FROM u, t WHERE day <= t GROUP BY t, fp)"""
 
 
@@ -123,13 +133,11 @@ def live_chunks_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = lifecycle.day_masks(day_refs(spark, sf_dir))
-    days = F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))).alias("day")
-    # the mask up to the day tells what is stored, its last days what is live; one row per chunk and day, combined map-side
-    upto = F.expr("days & (shiftleft(1L, day + 1) - 1L)")
-    live = F.expr(f"shiftright(days & (shiftleft(1L, day + 1) - 1L), greatest(0, day - {KEEP}))") != 0
-    m = masks.select("len", "days", days).filter(upto != 0)
-    return m.groupBy("day").agg(F.count_if(live).alias("live_chunks"), F.sum(F.when(live, F.col("len")).otherwise(0)).alias("live_bytes"), F.sum(F.when(~live, F.col("len")).otherwise(0)).alias("holes"), F.sum("len").alias("used"))
+    by_day = lifecycle.changes(lifecycle.day_lists(day_refs(spark, sf_dir)), 0, 0, KEEP)
+    w = Window.orderBy("day")  # a row per day
+    days = spark.range(last_day(spark, sf_dir) + 1).select(F.col("id").cast("int").alias("day")).join(by_day, "day", "left")
+    sums = days.select("day", *(F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in ("live", "live_n", "used")))
+    return sums.filter("used > 0").select("day", F.col("live_n").alias("live_chunks"), F.col("live").alias("live_bytes"), (F.col("used") - F.col("live")).alias("holes"), "used")
 
 
 @query(f"{LIVE} SELECT t AS day, coalesce(sum(len) FILTER (last < t - {KEEP}), 0)::BIGINT AS holes, sum(len)::BIGINT AS used FROM w GROUP BY t")
@@ -142,21 +150,21 @@ CONTAINER = 64 * 1024
 
 
 def between_sql(lo: str, hi: str) -> str:
-    """Bits lo..hi of a mask of days."""
-    return f"(((1::BIGINT << (({hi}) + 1)::INT) - 1) & ~((1::BIGINT << ({lo})::INT) - 1))"
+    """Whether ``days`` has one from ``lo`` to ``hi``."""
+    return f"len(list_filter(days, lambda d: d >= {lo} AND d <= {hi})) > 0"
 
 
-ON_DISK = f"days & {between_sql(f'greatest(0, c - {KEEP})', 't')} <> 0"
-ALIVE = f"days & {between_sql(f'greatest(0, t - {KEEP})', 't')} <> 0"
-BEFORE = f"days & {between_sql(f'greatest(0, c - {KEEP})', 't - 1')} <> 0"
+ON_DISK = between_sql(f"greatest(0, c - {KEEP})", "t")
+ALIVE = between_sql(f"greatest(0, t - {KEEP})", "t")
+BEFORE = between_sql(f"greatest(0, c - {KEEP})", "t - 1")
 HOLES = f"coalesce(sum(len) FILTER ({ON_DISK}), 0) - coalesce(sum(len) FILTER ({ALIVE}), 0)"
 WHOLE = f"((coalesce({{}}, 0)::BIGINT + {CONTAINER - 1}) // {CONTAINER} * {CONTAINER})"
 #: DuckDB CTEs up to ``log``: c is the day of the last collection, each step of ``ran`` finds the next one.
-LOG = f"""{SESSIONS.replace('WITH', 'WITH RECURSIVE', 1)}, masks AS MATERIALIZED (SELECT fp, max(len)::BIGINT AS len, bit_or(1::BIGINT << day) AS days FROM refs WHERE day < {DAYS} GROUP BY fp),
-clock AS (SELECT unnest(range({DAYS}))::INT AS t),
+LOG = f"""{SESSIONS.replace('WITH', 'WITH RECURSIVE', 1)}, masks AS MATERIALIZED (SELECT fp, max(len)::BIGINT AS len, list(DISTINCT day) AS days FROM refs GROUP BY fp),
+clock AS {CLOCK},
 ran AS (SELECT -1 AS c UNION ALL SELECT x FROM (SELECT min(t) AS x FROM (SELECT t FROM masks, clock, ran WHERE t > c GROUP BY t HAVING {HOLES} > {GC}::DOUBLE * {WHOLE.format(f'sum(len) FILTER ({ON_DISK})')})) WHERE x IS NOT NULL),
 since AS (SELECT t, max(c) AS c, t IN (SELECT c FROM ran) AS gc FROM clock JOIN ran ON c < t GROUP BY t),
-state AS (SELECT t, any_value(gc) AS gc, coalesce(sum(len) FILTER (days & (1::BIGINT << t) <> 0 AND NOT ({BEFORE})), 0)::BIGINT AS written, count(*) FILTER (days & (1::BIGINT << t) <> 0 AND NOT ({BEFORE})) AS new_chunks,
+state AS (SELECT t, any_value(gc) AS gc, coalesce(sum(len) FILTER (list_contains(days, t) AND NOT ({BEFORE})), 0)::BIGINT AS written, count(*) FILTER (list_contains(days, t) AND NOT ({BEFORE})) AS new_chunks,
   coalesce(sum(len) FILTER ({ALIVE}), 0)::BIGINT AS live, count(*) FILTER ({ALIVE}) AS live_n, coalesce(sum(len) FILTER ({ON_DISK}), 0)::BIGINT AS used, count(*) FILTER ({ON_DISK}) AS used_n FROM masks, since GROUP BY t),
 log AS (SELECT t AS day, written, new_chunks, live AS live_bytes, CASE WHEN gc THEN live ELSE used END AS used, CASE WHEN gc THEN 0 ELSE used - live END AS holes, {WHOLE.format('CASE WHEN gc THEN live ELSE used END')} AS disk, CASE WHEN gc THEN live_n ELSE used_n END AS entries,
   CASE WHEN used > 0 THEN round((used - live)::DOUBLE / {WHOLE.format('used')}, 6) ELSE 0 END AS holes_ratio_before_gc, CASE WHEN gc THEN live ELSE 0 END AS gc, CASE WHEN gc OR used = 0 THEN 0 ELSE round((used - live)::DOUBLE / {WHOLE.format('used')}, 6) END AS holes_ratio_after_gc FROM state)"""
@@ -164,7 +172,7 @@ log AS (SELECT t AS day, written, new_chunks, live AS live_bytes, CASE WHEN gc T
 
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store day by day, under collection."""
-    return lifecycle.collections(spark, lifecycle.day_masks(day_refs(spark, sf_dir).filter(F.col("day") < DAYS)), DAYS, KEEP, GC, CONTAINER)
+    return lifecycle.collections(spark, lifecycle.day_lists(day_refs(spark, sf_dir)), last_day(spark, sf_dir) + 1, KEEP, GC, CONTAINER)
 
 
 @query(f"{LOG} SELECT * FROM log")
@@ -192,7 +200,7 @@ MONTH = DedupConfig(bits=9, container_bytes=32 * 1024)
 @query()
 def month_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole life of the store, with containers and collection, day by day."""
-    return lifecycle.simulate(bodies(spark, sf_dir), MONTH, DAYS)
+    return lifecycle.simulate(bodies(spark, sf_dir), MONTH, last_day(spark, sf_dir) + 1)
 
 
 @query()
@@ -200,7 +208,7 @@ def month_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month's balance for no delta, delta by place and delta by recency, with savings against the first."""
     out = None
     for k, cfg in enumerate((MONTH, DedupConfig(bits=9, container_bytes=32 * 1024, delta=True), DedupConfig(bits=9, container_bytes=32 * 1024, delta=True, delta_pick="recent"))):
-        one = lifecycle.write_amplification(lifecycle.simulate(bodies(spark, sf_dir), cfg, DAYS)).select(F.lit(k).alias("ord"), F.lit(("off", "index", "recent")[k]).alias("delta"), "*")
+        one = lifecycle.write_amplification(lifecycle.simulate(bodies(spark, sf_dir), cfg, last_day(spark, sf_dir) + 1)).select(F.lit(k).alias("ord"), F.lit(("off", "index", "recent")[k]).alias("delta"), "*")
         out = one if out is None else out.unionByName(one)
     w = Window.orderBy("ord")  # three rows
     return out.withColumn("saved", F.round(1 - F.col("stored") / F.first("stored").over(w), 6))
@@ -209,7 +217,7 @@ def month_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every live copy after the month restored through containers and chains."""
-    return lifecycle.restores(bodies(spark, sf_dir), DedupConfig(bits=9, container_bytes=32 * 1024, delta=True), DAYS)
+    return lifecycle.restores(bodies(spark, sf_dir), DedupConfig(bits=9, container_bytes=32 * 1024, delta=True), last_day(spark, sf_dir) + 1)
 
 
 @query()
@@ -223,21 +231,22 @@ def generated_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"{SERIES} SELECT day, 'backup' AS kind, count(*) AS n, max(logical)::BIGINT AS bytes FROM s GROUP BY day UNION ALL SELECT day + {KEEP + 1}, 'expire', count(*), 0 FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY day")
+@query(f"{SERIES} SELECT day, 'backup' AS kind, count(*) AS n, max(logical)::BIGINT AS bytes FROM s GROUP BY day UNION ALL SELECT day + {KEEP + 1}, 'expire', count(*), 0 FROM backups WHERE day + {KEEP + 1} <= {LAST} GROUP BY day")
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What happened: backups and expiries."""
     s = series(spark, sf_dir).select("day", F.lit("backup").alias("kind"), F.lit(1).cast("long").alias("n"), F.col("logical").alias("bytes"))
-    e = lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).groupBy(F.col("expired_on").alias("day")).agg(F.count("*").alias("n")).select("day", F.lit("expire").alias("kind"), "n", F.lit(0).cast("long").alias("bytes"))
+    e = lifecycle.expiries(backups(spark, sf_dir), KEEP, last_day(spark, sf_dir)).groupBy(F.col("expired_on").alias("day")).agg(F.count("*").alias("n")).select("day", F.lit("expire").alias("kind"), "n", F.lit(0).cast("long").alias("bytes"))
     return s.unionByName(e)
 
 
 @query(f"""{SESSIONS}, d AS (SELECT DISTINCT file_id FROM backups), n AS (SELECT count(*) AS n FROM d), c AS (SELECT file_id, row_number() OVER (ORDER BY file_id) - 1 AS rn FROM d),
-s AS (SELECT unnest(range(12))::INT AS s) SELECT s, greatest(0, {DAYS - 1} - s * {max(1, (DAYS - 1) // 11)})::INT AS day, file_id FROM s, n JOIN c ON c.rn = (s.s * 7) % n.n""")
+s AS (SELECT unnest(range(12))::INT AS s) SELECT s, greatest(0, {LAST} - s * greatest(1, {LAST} // 11))::INT AS day, file_id FROM s, n JOIN c ON c.rn = (s.s * 7) % n.n""")
 def restore_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which twelve copies a spot check restores (a sampling operator): spread over days and files."""
     rank, total = ranked(backups(spark, sf_dir).select("file_id").distinct())
+    last = last_day(spark, sf_dir)
     pick = spark.range(12).select(F.col("id").cast("int").alias("s")).crossJoin(F.broadcast(total)).withColumn("rn", F.pmod(F.col("s") * 7, F.col("total")))
-    return pick.join(rank, "rn").select("s", F.greatest(F.lit(0), F.lit(DAYS - 1) - F.col("s") * max(1, (DAYS - 1) // 11)).cast("int").alias("day"), "file_id")
+    return pick.join(rank, "rn").select("s", F.greatest(F.lit(0), F.lit(last) - F.col("s") * max(1, last // 11)).cast("int").alias("day"), "file_id")
 
 
 def ranked(d: DataFrame) -> tuple[DataFrame, DataFrame]:

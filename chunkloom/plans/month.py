@@ -9,18 +9,18 @@ from chunkloom.config import ENTRY
 from chunkloom.functions import report
 from chunkloom.operators import chunking, dedup, lifecycle
 from chunkloom.plans.dedup import BLOCKS, blocks
-from chunkloom.plans.lifecycle import DAYS, KEEP, LOG, RATIO, SERIES, SESSIONS, collected, event_log, restore_samples, series
+from chunkloom.plans.lifecycle import KEEP, LAST, LOG, RATIO, SERIES, SESSIONS, collected, event_log, last_day, restore_samples, series
 from chunkloom.plans.registry import ORACLE, query
 from chunkloom.sources.tables import BACKUPS_SQL, FILES_SQL, backups, files
 
 LOGGED = SERIES.replace(SESSIONS, LOG, 1)  # the log and, after it, the series s
-EXPIRED = f"x AS (SELECT (day + {KEEP + 1})::INT AS day, count(*) AS expired FROM backups WHERE day + {KEEP + 1} <= {DAYS - 1} GROUP BY ALL)"
+EXPIRED = f"x AS (SELECT (day + {KEEP + 1})::INT AS day, count(*) AS expired FROM backups WHERE day + {KEEP + 1} <= {LAST} GROUP BY ALL)"
 CHOSEN = 5
 
 
 def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """day, expired: copies that go on each day."""
-    return lifecycle.expiries(backups(spark, sf_dir), KEEP, DAYS - 1).groupBy(F.col("expired_on").cast("int").alias("day")).agg(F.count("*").alias("expired"))
+    return lifecycle.expiries(backups(spark, sf_dir), KEEP, last_day(spark, sf_dir)).groupBy(F.col("expired_on").cast("int").alias("day")).agg(F.count("*").alias("expired"))
 
 
 @query(f"{LOG} SELECT day, entries, (entries * {ENTRY})::BIGINT AS index_ram, (max(entries * {ENTRY}) OVER (ORDER BY day))::BIGINT AS peak FROM log")
@@ -52,7 +52,7 @@ def day_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("day", "chunks", dups.alias("dups"), "written", says.alias("sentence"))
 
 
-@query(f"""{LOGGED}, {EXPIRED}, b AS (SELECT count(*) AS backups, count(DISTINCT file_id) AS files FROM backups WHERE day < {DAYS}), e AS (SELECT coalesce(sum(expired), 0)::BIGINT AS expired FROM x),
+@query(f"""{LOGGED}, {EXPIRED}, b AS (SELECT count(*) AS backups, count(DISTINCT file_id) AS files FROM backups), e AS (SELECT coalesce(sum(expired), 0)::BIGINT AS expired FROM x),
 j AS (SELECT log.*, coalesce(s.logical, 0) AS logical, coalesce(s.chunks, 0) AS chunks FROM log LEFT JOIN s USING (day))
 SELECT count(*) AS days, any_value(b.backups) AS backups, any_value(b.files) AS files, sum(chunks)::BIGINT AS chunks, sum(new_chunks)::BIGINT AS uniques, (sum(chunks) - sum(new_chunks))::BIGINT AS dups, sum(logical)::BIGINT AS logical, sum(written)::BIGINT AS stored,
 (sum(logical) - sum(written))::BIGINT AS saved, {RATIO.format('sum(logical)', 'sum(written)')} AS ratio, max(written) AS most_written, min(written) AS least_written, min_by(written, day) AS first_written, max_by(written, day) AS last_written, round(avg(written), 6) AS mean_written,
@@ -60,7 +60,7 @@ count(*) FILTER (gc > 0) AS gc_runs, sum(gc)::BIGINT AS rewritten, min(day) FILT
 any_value(e.expired) AS expired, max(disk) AS peak_disk, max_by(disk, day) AS last_disk, max(holes)::BIGINT AS peak_holes, max_by(holes, day)::BIGINT AS last_holes, max_by(live_bytes, day) AS last_live, max(entries) AS peak_entries, (max(entries) * {ENTRY})::BIGINT AS peak_ram, max(holes_ratio_before_gc) AS peak_holes_ratio FROM j, b, e""")
 def month_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month under collection in one row of thirty fields."""
-    b = backups(spark, sf_dir).filter(F.col("day") < DAYS).agg(F.count("*").alias("backups"), F.count_distinct("file_id").alias("files"))
+    b = backups(spark, sf_dir).agg(F.count("*").alias("backups"), F.count_distinct("file_id").alias("files"))
     e = expired(spark, sf_dir).agg(F.coalesce(F.sum("expired"), F.lit(0)).alias("expired"))
     j = collected(spark, sf_dir).join(series(spark, sf_dir).select("day", "logical", "chunks"), "day", "left").fillna(0, ["logical", "chunks"])
     n, w, g = F.sum("logical"), F.sum("written"), F.sum("gc")
@@ -105,7 +105,7 @@ def restore_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FILES_SQL}, {BACKUPS_SQL}, v AS (SELECT b.day, b.file_id, md5(f.body) AS fp FROM backups b JOIN files f ON f.file_id = b.doc_id), p AS (SELECT day + 1 AS day, file_id, fp FROM v),
 m AS (SELECT coalesce(v.day, p.day) AS day, coalesce(v.fp, p.fp) AS fp, count(*) FILTER (p.fp IS NULL) AS gained, count(*) FILTER (v.fp IS NULL) AS lost FROM v FULL JOIN p ON v.day = p.day AND v.file_id = p.file_id AND v.fp = p.fp GROUP BY 1, 2)
-SELECT day, sum(gained)::BIGINT AS gained, sum(lost)::BIGINT AS lost, sum(least(gained, lost))::BIGINT AS moved FROM m WHERE day BETWEEN 1 AND {DAYS - 1} GROUP BY day""")
+SELECT day, sum(gained)::BIGINT AS gained, sum(lost)::BIGINT AS lost, sum(least(gained, lost))::BIGINT AS moved FROM m WHERE day BETWEEN 1 AND {LAST} GROUP BY day""")
 def moved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that a day's files have and had not, had and have not, and of these how many only changed their file: they needn't be chunked.
 
@@ -116,7 +116,7 @@ def moved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = v.select("*", F.lit(1).alias("now"), F.lit(0).alias("before")).unionByName(v.select((F.col("day") + 1).alias("day"), "file_id", "fp", F.lit(0).alias("now"), F.lit(1).alias("before")))
     per = both.groupBy("day", "fp", "file_id").agg(F.max("now").alias("now"), F.max("before").alias("before"))
     m = per.groupBy("day", "fp").agg(F.count_if((F.col("now") == 1) & (F.col("before") == 0)).alias("gained"), F.count_if((F.col("now") == 0) & (F.col("before") == 1)).alias("lost"))
-    return m.filter(F.col("day").between(1, DAYS - 1)).groupBy("day").agg(F.sum("gained").alias("gained"), F.sum("lost").alias("lost"), F.sum(F.least("gained", "lost")).alias("moved"))
+    return m.filter(F.col("day").between(1, last_day(spark, sf_dir))).groupBy("day").agg(F.sum("gained").alias("gained"), F.sum("lost").alias("lost"), F.sum(F.least("gained", "lost")).alias("moved"))
 
 
 @query(f"""{BLOCKS}, q AS (SELECT DISTINCT file_id FROM files ORDER BY file_id LIMIT {KEEP}), g AS (SELECT fp, max(len) AS len, count(*) AS n, count(*) FILTER (file_id IN (SELECT file_id FROM q)) AS gone FROM chunks GROUP BY fp)

@@ -111,18 +111,35 @@ def replay_collections(refs, days, keep, threshold, container):
     return out
 
 
-@pytest.mark.parametrize("container", [1, 500, 1 << 18])
-def test_collections_match_a_replay(spark, container):
+@pytest.mark.parametrize(("container", "days"), [(1, 30), (500, 30), (1 << 18, 30), (1, 100), (500, 100)])
+def test_collections_match_a_replay(spark, container, days):
+    """Also for more days than a word has bits."""
     r = random.Random(3)
     size = {f"f{i}": r.randint(1, 100) for i in range(60)}
-    refs = sorted({(d, f"f{(d * 2 + r.randint(0, 12)) % 60}") for d in range(30) for _ in range(6)})
+    refs = sorted({(d, f"f{(d * 2 + r.randint(0, 12)) % 60}") for d in range(days) for _ in range(6)})
     refs = [(d, fp, size[fp]) for d, fp in refs]
-    masks = lifecycle.day_masks(spark.createDataFrame(refs, "day int, fp string, len long"))
-    got = [(x.day, x.written, x.used, x.gc > 0) for x in lifecycle.collections(spark, masks, 30, 7, 0.25, container).orderBy("day").collect()]
-    want = replay_collections(refs, 30, 7, 0.25, container)
+    lists = lifecycle.day_lists(spark.createDataFrame(refs, "day int, fp string, len long"))
+    got = [(x.day, x.written, x.used, x.gc > 0) for x in lifecycle.collections(spark, lists, days, 7, 0.25, container).orderBy("day").collect()]
+    want = replay_collections(refs, days, 7, 0.25, container)
     assert [g[:3] for g in got] == [w[:3] for w in want] and (sum(w[3] for w in want) > 0 or container > 500)
 
 
+def test_changes_by_day_are_those_of_a_replay(spark):
+    """Days without references, a chunk met once, one met each day; days that begin late and count from a later day on."""
+    refs = [(0, "a", 5), (0, "a", 5), (3, "a", 5), (90, "a", 5), (70, "b", 7), (2, "c", 1), *((d, "hot", 11) for d in range(95))]
+    lists = lifecycle.day_lists(spark.createDataFrame(refs, "day int, fp string, len long"))
+    for low, first, keep in ((0, 0, 7), (60, 65, 7), (0, 0, 0), (80, 96, 3)):
+        got, sums = {r.day: r for r in lifecycle.changes(lists, low, first, keep).collect()}, [0, 0, 0]
+        for t in range(first, 105):
+            r = got.get(t)
+            if r:
+                sums = [a + b for a, b in zip(sums, (r.live, r.live_n, r.used), strict=True)]
+            alive = {fp: n for d, fp, n in refs if max(low, t - keep) <= d <= t}
+            there = {fp: n for d, fp, n in refs if low <= d <= t}
+            assert sums == [sum(alive.values()), len(alive), sum(there.values())], (t, low)
+            assert (r.written if r else 0) == sum(n for fp, n in there.items() if t == min(d for d, f, _ in refs if f == fp and d >= low))
+
+
 def month(days=20, files=4, churn=0.4, seed=1):
     r, rows = random.Random(seed), []
     bodies = {f: generate.pool(8192, seed * 50 + f) for f in range(files)}
