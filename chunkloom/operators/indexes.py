@@ -2,17 +2,18 @@
 
 The last two decide by what they have met before, so a store's stream is an ordered fold, one shard a group (shards are bounded by
 ``operators.store.STREAM`` files). ``binned`` is the form of Extreme Binning that needs no order: files go to the bin of their
-representative and dedup within it.
+representative and dedup within it. ``segmented`` is SiLo's: segments meet by their least fingerprint, over the whole store.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import ENTRY, DedupConfig
 from chunkloom.operators.dedup import ratio
+from chunkloom.sources.storage import stored
 
 
 class FullHash:
@@ -168,3 +169,32 @@ def binned(chunks: DataFrame, by_min: bool = True) -> DataFrame:
     per = chunks.join(representatives(chunks, by_min), "file_id").groupBy("rep", "fp").agg(F.count("*").alias("n"), F.max("len").alias("len"))
     bins = per.groupBy("rep").agg(F.sum("n").alias("chunks"), F.count("*").alias("fresh"), F.sum(F.col("n") * F.col("len")).alias("logical"), F.sum("len").alias("stored"))
     return bins.agg(F.count("*").alias("bins"), F.sum("chunks").alias("chunks"), F.sum("fresh").alias("fresh"), F.sum("logical").alias("logical"), F.sum("stored").alias("stored")).withColumn("ratio", ratio(F.col("logical"), F.col("stored")))
+
+
+def segmented(chunks: DataFrame, sizes: list[int]) -> DataFrame:
+    """SiLo without order, a row of counters for each segment size: files are cut into segments of so many chunks, and a segment whose least fingerprint
+    an earlier one has too (the first one counts) is looked up in that one's block: it and the segments beside it in its file.
+
+    ``chunks`` has file_id, seq, ord, fp and len. A chunk is found if its fingerprint stands earlier in its own segment or in that block; what is found
+    is a duplicate, and ``false_neg`` are the duplicates that aren't found. Memory has an entry for each least fingerprint. A segment looks into one block
+    at most, so a block that very many segments meet is one row for each of its fingerprints on its side of the join, and copies make no pairs.
+    """
+    seg = ["size", "file_id", "seg"]
+    c = chunks.select("file_id", "seq", "ord", "fp", "len", F.explode(F.array(*map(F.lit, sizes))).alias("size")).withColumn("seg", F.floor(F.col("seq") / F.col("size")).cast("int"))
+    w = Window.partitionBy(*seg)  # no more rows than a segment has
+    c = c.select(*seg, "ord", "fp", "len", F.min("fp").over(w).alias("rep"), F.min("ord").over(w).alias("begin"), (F.min("ord").over(Window.partitionBy(*seg, "fp")) < F.col("ord")).alias("own"))
+    c = stored(c, "segments")
+    met = c.select(*seg, "rep", "begin").distinct()
+    first = F.min(F.struct("begin", "file_id", "seg")).alias("h")
+    heads = met.groupBy("size", "rep").agg(first, F.count("*").alias("segments")).select("size", "rep", "segments", F.col("h.begin").alias("head"), F.col("h.file_id").alias("file_id"), F.col("h.seg").alias("at"))
+    heads = stored(heads, "heads")
+    beside = heads.filter("segments > 1").select("size", "head", "file_id", F.explode(F.sequence(F.col("at") - 1, F.col("at") + 1)).alias("seg"))
+    block = beside.join(c.select(*seg, "fp", "ord"), seg).groupBy("size", "head", "fp").agg(F.min("ord").alias("there"))
+    known = chunks.groupBy("fp").agg(F.min("ord").alias("first"))
+    looked = c.join(heads.select("size", "rep", "head"), ["size", "rep"]).join(block, ["size", "head", "fp"], "left").join(known, "fp")
+    found = F.col("own") | ((F.col("head") != F.col("begin")) & F.coalesce(F.col("there") < F.col("ord"), F.lit(False)))
+    dup = F.col("first") < F.col("ord")
+    size = lambda x: F.sum(F.when(x, F.col("len")).otherwise(0))
+    out = looked.groupBy("size").agg(F.count("*").alias("chunks"), F.count_if(dup).alias("dups"), F.count_if(found).alias("found"), F.count_if(dup & ~found).alias("false_neg"), F.sum("len").alias("logical"), size(~found).alias("stored"))
+    index = heads.groupBy("size").agg(F.count("*").alias("entries"), F.sum(F.col("segments") - 1).alias("reads"))
+    return out.join(index, "size").select(F.col("size").alias("segment_chunks"), "chunks", "dups", "found", "false_neg", "logical", "stored", ratio(F.col("logical"), F.col("stored")).alias("ratio"), ratio(F.col("found"), F.col("dups")).alias("recall"), "entries", (F.col("entries") * ENTRY).alias("index_ram"), "reads")

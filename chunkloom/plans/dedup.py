@@ -257,8 +257,8 @@ def near_exact_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks in streams of consecutive files, each with its fingerprint's first place in the whole store."""
-    return dedup.decisions(blocks(spark, sf_dir)).withColumnRenamed("chunk_id", "first").withColumn("shard", F.floor(F.col("file_id") / STREAM))
+    """Blocks in streams of consecutive files, each with its fingerprint's first place in the whole store: decided once and stored, as several strategies read them."""
+    return stored(dedup.decisions(blocks(spark, sf_dir)).withColumnRenamed("chunk_id", "first").withColumn("shard", F.floor(F.col("file_id") / STREAM)), "streams")
 
 
 @query()
@@ -319,6 +319,22 @@ def eb_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.binned(blocks(spark, sf_dir))
 
 
+SEGMENTS = [4, 16, 64]
+
+
+@query(f"""{BLOCKS}, z AS (SELECT unnest({SEGMENTS})::INT AS size), s AS (SELECT size, file_id, seq // size AS seg, ord, fp, len, min(ord) OVER (PARTITION BY fp, size) < ord AS dup FROM chunks, z),
+t AS (SELECT *, min(fp) OVER w AS rep, min(ord) OVER w AS b, min(ord) OVER (PARTITION BY size, file_id, seg, fp) < ord AS own FROM s WINDOW w AS (PARTITION BY size, file_id, seg)),
+h AS (SELECT size, rep, min(b) AS head, count(DISTINCT b) AS segments FROM t GROUP BY ALL), f AS (SELECT t.*, h.head FROM t JOIN h USING (size, rep)),
+hs AS (SELECT DISTINCT size, head, file_id, seg FROM f WHERE b = head), bl AS (SELECT hs.size, hs.head, s.fp, min(s.ord) AS there FROM hs JOIN s ON s.size = hs.size AND s.file_id = hs.file_id AND s.seg BETWEEN hs.seg - 1 AND hs.seg + 1 GROUP BY ALL),
+x AS (SELECT f.*, f.own OR (f.head <> f.b AND coalesce(bl.there < f.ord, false)) AS found FROM f LEFT JOIN bl ON bl.size = f.size AND bl.head = f.head AND bl.fp = f.fp),
+i AS (SELECT size, count(*) AS entries, sum(segments - 1)::BIGINT AS reads FROM h GROUP BY size),
+o AS (SELECT size, count(*) AS chunks, count(*) FILTER (dup) AS dups, count(*) FILTER (found) AS found, count(*) FILTER (dup AND NOT found) AS false_neg, sum(len)::BIGINT AS logical, coalesce(sum(len) FILTER (NOT found), 0)::BIGINT AS stored FROM x GROUP BY size)
+SELECT size AS segment_chunks, chunks, dups, found, false_neg, logical, stored, {RATIO.format('logical', 'stored')} AS ratio, {RATIO.format('found', 'dups')} AS recall, entries, entries * {ENTRY} AS index_ram, reads FROM o JOIN i USING (size)""")
+def silo_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SiLo without order and over the whole store, by segment size: what share of all duplicates a block's neighbourhood finds."""
+    return indexes.segmented(blocks(spark, sf_dir), SEGMENTS)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words: ASCII characters that aren't letters or digits. All other scripts are words.
 APART = "[\\x01-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
