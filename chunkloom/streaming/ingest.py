@@ -2,7 +2,7 @@
 
 ``chunk_stream`` cuts files that arrive in pieces: the state of a file is its open chunk and the few bytes before it, so a file of any length
 takes bounded state, kept in the state store (RocksDB where set) and dropped when the file ends. ``dedup_stream`` keeps, within a watermark, the
-first chunk of each fingerprint. ``ingest_batches`` is the in-line form against a durable store: each micro-batch is anti-joined with it.
+first chunk of each fingerprint. ``expiry_stream`` has a timer for each copy that retention will drop. ``ingest_batches`` is the in-line form against a durable store: each micro-batch is anti-joined with it.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from chunkloom.config import DedupConfig
 from chunkloom.functions.gear import Resumable
 from chunkloom.operators.dedup import new_chunks
 
 CHUNKS = "file_id long, seq int, off long, len long, fp string"
+EXPIRED = "file_id long, backed_up date, expired_on date"
+DAY = 86_400_000  # milliseconds
 STATE = "before binary, open binary, offset long, seq int"
 
 
@@ -48,6 +51,52 @@ def dedup_stream(chunks: DataFrame, time: str, late: str = "7 days") -> DataFram
     return chunks.withWatermark(time, late).dropDuplicatesWithinWatermark(["fp"])
 
 
+class Retention(StatefulProcessor):
+    """The copies of a file that are kept: a state of the days that have one, and a timer for the day on which each goes."""
+
+    def __init__(self, keep: int):
+        self.after = (keep + 1) * DAY
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getMapState("kept", "day long", "one boolean")
+
+    def row(self, file_id: int, day: int) -> tuple:
+        date = lambda ms: pd.Timestamp(ms, unit="ms").date()
+        return file_id, date(day), date(day + self.after)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now, gone = timerValues.getCurrentWatermarkInMs(), []
+        for day in sorted({int(d) for f in rows for d in f["day"]}):
+            if self.kept.containsKey((day,)):
+                continue
+            if day + self.after <= now:  # it came when its time was over
+                gone.append(self.row(key[0], day))
+                continue
+            self.kept.updateValue((day,), (True,))
+            self.handle.registerTimer(day + self.after)
+        yield pd.DataFrame(gone, columns=["file_id", "backed_up", "expired_on"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = expiredTimerInfo.getExpiryTimeInMs() - self.after
+        self.kept.removeKey((day,))
+        yield pd.DataFrame([self.row(key[0], day)], columns=["file_id", "backed_up", "expired_on"])
+
+    def close(self) -> None: ...
+
+
+def expiry_stream(events: DataFrame, keep: int, late: str = "1 day") -> DataFrame:
+    """file_id, backed_up and expired_on (dates, UTC) of each copy as the watermark of ``events`` (file_id, ts) reaches the day on which it goes.
+
+    A file has one copy a day however many events. Its state is the days kept, no more than ``keep`` and the days the watermark is behind; rows behind the
+    watermark are dropped, a null ``ts`` or ``file_id`` is no backup. Timers and state are in the state store and survive a restart from the checkpoint.
+    The session's state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    day = (F.floor(F.unix_millis("ts") / DAY) * DAY).cast("long").alias("day")
+    copies = events.filter("ts IS NOT NULL AND file_id IS NOT NULL").withWatermark("ts", late).select("file_id", "ts", day)
+    return copies.groupBy("file_id").transformWithStateInPandas(Retention(keep), EXPIRED, "Append", "EventTime")
+
+
 def daily_totals(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """Events by day of event time, final once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
