@@ -9,7 +9,7 @@ import pytest
 from chunkloom import catalog
 from tests.test_queries import rows
 
-BY_DAY = ["holes_by_day", "live_chunks_by_day", "gc_log", "month_report", "retention_due_list", "retention_due_capped", "event_log", "restore_samples", "moved_files"]
+BY_DAY = ["holes_by_day", "live_chunks_by_day", "gc_log", "month_report", "retention_due_list", "retention_due_capped", "event_log", "restore_samples", "moved_files", "retention_stream"]
 
 
 def tables(path, events):
@@ -49,7 +49,7 @@ def test_a_hundred_days(spark, hundred, name):
 
 def test_no_days(spark, tmp_path):
     tables(tmp_path, [])
-    for name in BY_DAY:
+    for name in [*BY_DAY, "rewriting_by_day"]:
         if name != "month_report":
             assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0, name
     assert catalog.QUERIES["month_report"](spark, str(tmp_path)).first()["days"] == 0
