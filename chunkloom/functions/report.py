@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def byte_size(n: Column) -> Column:
-    """'1.5 MB', '12 KB' or '17 B'."""
-    return F.when(n >= 1048576, F.concat(F.format_string("%.1f", n / 1048576.0), F.lit(" MB"))).when(n >= 1024, F.concat(F.format_string("%.0f", n / 1024.0), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    """'1.5 MB', '12 KB' or '17 B'; halves go to the even digit, as in C and SQL (Java's format rounds them up)."""
+    mega, kilo = F.bround(n / 1048576.0, 1), F.bround(n / 1024.0, 0)
+    return F.when(n >= 1048576, F.concat(F.format_string("%.1f", mega), F.lit(" MB"))).when(n >= 1024, F.concat(F.format_string("%.0f", kilo), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def grouped(n: Column) -> Column:
@@ -51,8 +52,8 @@ def hex_window(body: Column, at: Column, n: int = 96) -> Column:
 
 
 def mark_key(file_id: Column, day: Column) -> Column:
-    """'file@day', for exchange with systems that key recipes so; ``split_key`` is the way back."""
-    return F.concat_ws("@", file_id.cast("string"), day.cast("string"))
+    """'file@day', for exchange with systems that key recipes so; ``split_key`` is the way back. Null if either is."""
+    return F.concat(file_id.cast("string"), F.lit("@"), day.cast("string"))
 
 
 def split_key(key: Column) -> Column:

@@ -95,7 +95,9 @@ def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How files are shown: size, last bytes, recipe key, name."""
     n = F.octet_length("body")
     f = files(spark, sf_dir).filter(n > 0)
-    return f.select("file_id", report.byte_size(n).alias("size"), report.hex_window(F.col("body"), n - 1, 16).alias("tail"), report.mark_key(F.col("file_id"), (F.col("file_id") % 30)).alias("key"), F.format_string("file-%03d.%s", F.col("file_id") + 1, F.col("lang")).alias("name"))
+    # without an id or a language there is no name: format_string would write the word null
+    name = F.when(F.col("file_id").isNotNull() & F.col("lang").isNotNull(), F.format_string("file-%03d.%s", F.col("file_id") + 1, F.col("lang")))
+    return f.select("file_id", report.byte_size(n).alias("size"), report.hex_window(F.col("body"), n - 1, 16).alias("tail"), report.mark_key(F.col("file_id"), (F.col("file_id") % 30)).alias("key"), name.alias("name"))
 
 
 @query(f"""WITH {FILES_SQL} SELECT file_id, k::INT AS k, (('0x' || hex(body[k * octet_length(body) // 64 + 1 : k * octet_length(body) // 64 + 1]))::INT & 63) / 63.0::DOUBLE AS shade

@@ -93,3 +93,19 @@ def test_the_gate_misses_nothing_that_is_stored(spark, shard):
     assert sum(got[f"k{i}"] for i in range(500, 1500)) < 100
     assert bloom.gated(batch.limit(0), store, "fp", shard).count() == 0
     assert not any(r.maybe for r in bloom.gated(batch, store.limit(0), "fp", shard).collect())
+
+
+def test_file_labels_round_halves_and_keep_nulls_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    from chunkloom import catalog
+
+    sizes = [1, 512, 1024, 1535, 1536, 1537, 2560, 3584, 1048575, 1310720, 1835008]
+    d = duckdb.connect()
+    d.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    d.executemany("INSERT INTO documents VALUES (?, ?, ?, 's')", [(i, "x" * n, "en") for i, n in enumerate(sizes)] + [(99, "no language", None), (None, "no id", "de")])
+    d.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    key = lambda r: [str(x) for x in r]
+    got = catalog.QUERIES["file_labels"](spark, str(tmp_path))
+    want = d.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE['file_labels']})").fetchall()
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
