@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.codec import encode, encode_words
 from chunkloom.operators import delta, resemblance
 from chunkloom.plans.dedup import gear_sql
-from chunkloom.plans.delta import CFG, VBLOCKS, blocks, chunks
+from chunkloom.plans.delta import CFG, ROTATED_TURNS, ROTATED_VBLOCKS, blocks, chunks
 from chunkloom.plans.registry import query
 from chunkloom.sources.storage import stored
 
@@ -20,7 +20,7 @@ def distinct(c: DataFrame) -> DataFrame:
     return c.filter("len > 0").groupBy("fp").agg(F.max("len").alias("len"), F.first("bytes").alias("bytes"), F.min(F.struct("version", "file_id", "seq")).alias("pos"))
 
 
-@query(f"""WITH {VBLOCKS}, k AS (SELECT fp AS file_id, min((version, file_id, seq)) AS pos FROM c GROUP BY fp),
+@query(f"""WITH {ROTATED_VBLOCKS}, k AS (SELECT fp AS file_id, min((version, file_id, seq)) AS pos FROM c GROUP BY fp),
 body AS (SELECT DISTINCT c.fp AS file_id, v.body[c.seq * 256 + 1 : c.seq * 256 + c.len] AS body FROM c JOIN versions v USING (file_id, version)), {gear_sql(resemblance.WINDOW_BITS, "body")},
 f AS (SELECT file_id AS fp, i, min((h * m + a) & 4294967295) AS v FROM (SELECT DISTINCT file_id, h FROM hashed), (VALUES {TRANSFORMS}) t(i, m, a) GROUP BY ALL),
 s AS (SELECT fp, i // {resemblance.EACH} AS g, string_agg(v, ',' ORDER BY i) AS sf FROM f GROUP BY ALL), p AS (SELECT s.*, pos FROM s JOIN k ON k.file_id = s.fp),
@@ -28,7 +28,7 @@ heads AS (SELECT g, sf, arg_min(fp, pos) AS t_fp FROM p GROUP BY ALL)
 SELECT p.fp, t_fp, count(*) AS matches FROM p JOIN heads USING (g, sf) WHERE p.fp <> t_fp GROUP BY ALL""")
 def resembling_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earlier chunks that share super-features with each different chunk of all versions, whatever file they are of, and how many they share."""
-    d = stored(distinct(blocks(spark, sf_dir, keep=True)), "distinct")
+    d = stored(distinct(blocks(spark, sf_dir, ROTATED_TURNS, keep=True)), "distinct")
     return resemblance.candidates(resemblance.super_features(d), d)
 
 
