@@ -190,8 +190,9 @@ def write_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """shard, day, file_id, body: sessions with contents, sixteen files a shard."""
-    return backups(spark, sf_dir).join(files(spark, sf_dir).select(F.col("file_id").alias("doc_id"), "body"), "doc_id").select(F.floor(F.col("file_id") / 16).alias("shard"), "day", "file_id", "body")
+    """shard, file_id, days, body: sessions with contents, sixteen files a shard; a file's content comes once with all the days that have it."""
+    days = backups(spark, sf_dir).groupBy("file_id", "doc_id").agg(F.collect_list("day").alias("days"))
+    return days.join(files(spark, sf_dir).select(F.col("file_id").alias("doc_id"), "body"), "doc_id").select(F.floor(F.col("file_id") / 16).alias("shard"), "file_id", "days", "body")
 
 
 MONTH = DedupConfig(bits=9, container_bytes=32 * 1024)
@@ -206,10 +207,10 @@ def month_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def month_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month's balance for no delta, delta by place and delta by recency, with savings against the first."""
-    out = None
-    for k, cfg in enumerate((MONTH, DedupConfig(bits=9, container_bytes=32 * 1024, delta=True), DedupConfig(bits=9, container_bytes=32 * 1024, delta=True, delta_pick="recent"))):
-        one = lifecycle.write_amplification(lifecycle.simulate(bodies(spark, sf_dir), cfg, last_day(spark, sf_dir) + 1)).select(F.lit(k).alias("ord"), F.lit(("off", "index", "recent")[k]).alias("delta"), "*")
-        out = one if out is None else out.unionByName(one)
+    cfgs = [MONTH, DedupConfig(bits=9, container_bytes=32 * 1024, delta=True), DedupConfig(bits=9, container_bytes=32 * 1024, delta=True, delta_pick="recent")]
+    each = lifecycle.simulate_each(bodies(spark, sf_dir), cfgs, last_day(spark, sf_dir) + 1)
+    name = F.element_at(F.array(*map(F.lit, ("off", "index", "recent"))), F.col("k").cast("int") + 1)
+    out = lifecycle.write_amplification(each, "k").select(F.col("k").cast("int").alias("ord"), name.alias("delta"), "*").drop("k")
     w = Window.orderBy("ord")  # three rows
     return out.withColumn("saved", F.round(1 - F.col("stored") / F.first("stored").over(w), 6))
 

@@ -324,3 +324,26 @@ def test_restore_tells_where_bodies_differ_without_python(spark):
     got = store.restore(recipe, payload, spark.createDataFrame(list(bodies.items()), "file_id long, body binary"))
     assert {x.file_id: (x.bytes, x.chunks, x.missing, x.first_diff, x.verified) for x in got.collect()} == {0: (10240, 40, 0, -1, True), 1: (9984, 40, 1, -1, False), 2: (10240, 40, 0, -1, True), 3: (10240, 40, 0, 10240, False), 4: (0, 0, 0, -1, True), 5: (10240, 40, 0, 10239, False), 6: (10240, 40, 0, 0, False), 7: (10240, 40, 0, 5000, False)}
     assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_a_content_is_cut_once_however_many_days_have_it(monkeypatch):
+    r = random.Random(8)
+    old, new = (bytes(r.randrange(256) for _ in range(6000)) for _ in range(2))
+    calls, real = [], lifecycle.cdc_spans
+    monkeypatch.setattr(lifecycle, "cdc_spans", lambda body, cfg: calls.append(body) or real(body, cfg))
+    by_day = pd.DataFrame([(d, f, old if d < 5 else new) for d in range(10) for f in (1, 2)], columns=["day", "file_id", "body"])
+    packed = pd.DataFrame([(f, list(days), b) for f in (2, 1) for days, b in ((range(5), old), (range(5, 10), new))], columns=["file_id", "days", "body"])
+    cfg = DedupConfig(bits=9, container_bytes=4096, retention=2, delta=True)
+    want = lifecycle.live_through(by_day, cfg, 10)
+    assert len(calls) == 2
+    got = lifecycle.live_through(packed, cfg, 10)
+    assert len(calls) == 4 and all(a.equals(b) for a, b in zip(got, want, strict=True))
+
+
+def test_several_stores_in_one_pass(spark):
+    cfgs = [DedupConfig(bits=9), DedupConfig(bits=9, delta=True), DedupConfig(bits=8)]
+    df = spark.createDataFrame(month(days=5).assign(shard=0))
+    each = lifecycle.simulate_each(df, cfgs, 5).toPandas()
+    for k, cfg in enumerate(cfgs):
+        want = lifecycle.simulate(df, cfg, 5).orderBy("day").toPandas()
+        assert each[each.k == k].drop(columns="k").sort_values("day", ignore_index=True).equals(want)
