@@ -133,3 +133,14 @@ def test_no_version_is_lost_behind_a_guard(spark, monkeypatch, chunks):
     assert got["off"].lost_versions > 0 == got["close"].lost_versions == got["expand"].lost_versions
     assert got["expand"].rewritten > 0 and got["off"].records == got["expand"].records < got["close"].records
     assert {x.versions for x in got.values()} == {15} and all(x.dropped + x.records == chunks.select("fp").distinct().count() for x in got.values())
+
+
+def test_a_chunk_is_hashed_once_for_all_its_targets(monkeypatch):
+    r = random.Random(4)
+    source = bytes(r.randrange(256) for _ in range(300))
+    targets = [source[:k] + b"?" + source[k + 1 :] for k in (10, 100, 150, 290)]
+    codec._window_hashes.cache_clear()
+    calls, real = [], codec.rolling
+    monkeypatch.setattr(codec, "rolling", lambda data, bits: calls.append(bytes(data)) or real(data, bits))
+    assert all(codec.apply(t, codec.encode(t, source), len(source)) == source for t in targets)
+    assert calls.count(source) == 1 and len(calls) == 5
