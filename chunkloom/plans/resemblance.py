@@ -40,17 +40,19 @@ def resemblance_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every different chunk stored against a base of the version before (around the same place) or one that resembles it, of any file, its delta made
     by anchors or by words: deltas, bytes raw and stored, and how many records don't give their chunk again."""
     c = stored(chunks(spark, sf_dir), "chunks")
-    d, out = stored(distinct(c), "distinct"), None
-    raw = d.agg(F.count("*").alias("chunks"), F.sum(F.col("len") + 1).alias("raw"))
-    for base in ("version", "resemblance"):
-        for name, coder in CODERS.items():
-            if base == "version":
-                found = delta.record_store(c, CFG, coder).filter("target IS NOT NULL").select("fp", F.col("target").alias("t_fp"), "raw_len", "rec_len", "record")
-            else:
-                found = resemblance.bases(d, d, CFG.delta_min_ratio, coder).join(d.select("fp", F.col("len").alias("raw_len")), "fp").filter(F.col("raw_len") >= CFG.delta_min)
-            found = stored(found.select("fp", "t_fp", "raw_len", "rec_len", "record"), "found")
-            less = found.agg(F.count("*").alias("deltas"), F.coalesce(F.sum(F.col("raw_len") + 1 - F.col("rec_len")), F.lit(0)).alias("less"))
-            one = raw.crossJoin(F.broadcast(less)).crossJoin(F.broadcast(delta.wrong_records(found, d)))  # one row each
-            one = one.select(F.lit(base).alias("base"), F.lit(name).alias("coder"), "chunks", "deltas", "raw", (F.col("raw") - F.col("less")).alias("stored"), F.round(F.col("less") / F.col("raw"), 6).alias("saved"), "wrong")
-            out = one if out is None else out.unionByName(one)
-    return out
+    d = stored(delta.different(c), "different")
+    by_version = delta.first_pairs(c.drop("bytes"), d, CFG).select("fp", "t_fp", "rank", F.lit(None).cast("int").alias("like"))
+    places = d.select("fp", F.struct("version", "file_id", "seq").alias("pos"))
+    alike = resemblance.candidates(resemblance.super_features(d), places).join(d.filter(F.col("len") >= CFG.delta_min).select("fp"), "fp", "left_semi")
+    # what both kinds of bases have in common is encoded once, by both coders where its bytes are
+    pairs = by_version.unionByName(alike.select("fp", "t_fp", F.lit(None).cast("int").alias("rank"), F.lit(0).alias("like")))
+    made = delta.measured(pairs.groupBy("fp", "t_fp").agg(F.min("rank").alias("rank"), F.min("like").alias("like")), d, CODERS)
+    kinds = F.array(F.struct(F.lit("version").alias("base"), F.col("rank").alias("place")), F.struct(F.lit("resemblance").alias("base"), F.col("like").alias("place")))
+    each = made.select("fp", "t_fp", "coder", "rec_len", "same", F.explode(kinds).alias("k")).select("*", "k.*").filter("place IS NOT NULL")
+    best = each.groupBy("base", "coder", "fp").agg(F.min_by(F.struct("rec_len", "same"), F.struct("rec_len", "place", "t_fp")).alias("r")).select("base", "coder", "fp", "r.*")
+    found = best.join(d.select("fp", "len"), "fp").filter(F.col("rec_len") < (F.col("len") + 1) * CFG.delta_min_ratio)
+    sums = found.groupBy("base", "coder").agg(F.count("*").alias("deltas"), F.sum(F.col("len") + 1 - F.col("rec_len")).alias("less"), F.count_if(~F.col("same")).alias("wrong"))
+    raw = d.agg(F.count("*").alias("chunks"), F.sum(F.col("len") + 1).alias("raw"))  # one row
+    four = spark.createDataFrame([(b, n) for b in ("version", "resemblance") for n in CODERS], "base string, coder string")
+    out = four.join(sums, ["base", "coder"], "left").fillna(0, ["deltas", "less", "wrong"]).crossJoin(F.broadcast(raw))
+    return out.select("base", "coder", "chunks", "deltas", "raw", (F.col("raw") - F.col("less")).alias("stored"), F.round(F.col("less") / F.col("raw"), 6).alias("saved"), "wrong")
