@@ -2,7 +2,7 @@
 
 ``chunk_stream`` cuts files that arrive in pieces: the state of a file is its open chunk and the few bytes before it, so a file of any length
 takes bounded state, kept in the state store (RocksDB where set) and dropped when the file ends. ``dedup_stream`` keeps, within a watermark, the
-first chunk of each fingerprint. ``expiry_stream`` has a timer for each copy that retention will drop. ``ingest_batches`` is the in-line form against a durable store: each micro-batch is anti-joined with it.
+first chunk of each fingerprint. ``expiry_stream`` has a timer for the next copy of each file that retention will drop. ``ingest_batches`` is the in-line form against a durable store: each micro-batch is anti-joined with it.
 """
 
 from __future__ import annotations
@@ -52,35 +52,52 @@ def dedup_stream(chunks: DataFrame, time: str, late: str = "7 days") -> DataFram
 
 
 class Retention(StatefulProcessor):
-    """The copies of a file that are kept: a state of the days that have one, and a timer for the day on which each goes."""
+    """The copies of a file that are kept: a state of the days that have one, and a timer for the day on which the oldest goes; when it fires, the timer of the next is set.
+
+    The state is read and written once for a batch's rows of a file and once for a timer, however many copies it holds.
+    """
 
     def __init__(self, keep: int):
         self.after = (keep + 1) * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getMapState("kept", "day long", "one boolean")
+        self.kept = handle.getValueState("kept", "days array<long>")
 
-    def row(self, file_id: int, day: int) -> tuple:
+    def gone(self, file_id: int, days: list[int]) -> pd.DataFrame:
         date = lambda ms: pd.Timestamp(ms, unit="ms").date()
-        return file_id, date(day), date(day + self.after)
+        return pd.DataFrame([(file_id, date(d), date(d + self.after)) for d in days], columns=["file_id", "backed_up", "expired_on"])
+
+    def days(self) -> list[int]:
+        return sorted(map(int, self.kept.get()[0])) if self.kept.exists() else []
+
+    def keep_(self, days: list[int]) -> None:
+        if days:
+            self.kept.update((days,))
+        else:
+            self.kept.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        now, gone = timerValues.getCurrentWatermarkInMs(), []
-        for day in sorted({int(d) for f in rows for d in f["day"]}):
-            if self.kept.containsKey((day,)):
-                continue
-            if day + self.after <= now:  # it came when its time was over
-                gone.append(self.row(key[0], day))
-                continue
-            self.kept.updateValue((day,), (True,))
-            self.handle.registerTimer(day + self.after)
-        yield pd.DataFrame(gone, columns=["file_id", "backed_up", "expired_on"])
+        now, before = timerValues.getCurrentWatermarkInMs(), self.days()
+        new = {int(d) for f in rows for d in f["day"].unique()} - set(before)
+        gone = sorted(d for d in new if d + self.after <= now)  # they came when their time was over
+        days = sorted({*before, *new} - set(gone))
+        if days != before:
+            self.keep_(days)
+            if not before or days[0] < before[0]:
+                if before:
+                    self.handle.deleteTimer(before[0] + self.after)
+                self.handle.registerTimer(days[0] + self.after)
+        if gone:
+            yield self.gone(key[0], gone)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() - self.after
-        self.kept.removeKey((day,))
-        yield pd.DataFrame([self.row(key[0], day)], columns=["file_id", "backed_up", "expired_on"])
+        now, days = timerValues.getCurrentWatermarkInMs(), self.days()
+        gone, left = [d for d in days if d + self.after <= now], [d for d in days if d + self.after > now]
+        self.keep_(left)
+        if left:
+            self.handle.registerTimer(left[0] + self.after)
+        yield self.gone(key[0], gone)
 
     def close(self) -> None: ...
 
