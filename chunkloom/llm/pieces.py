@@ -27,6 +27,8 @@ MARK = "▁"
 LETTER = r"[^\W\d_]"
 #: Stretches remembered per Python worker, at most twice as many.
 CACHE = 300_000
+#: Code points up to which an agenda is a list and not a heap.
+SHORT = 48
 
 
 class Remembered(dict):
@@ -58,6 +60,7 @@ class Encoder:
                 score[p] = lib.get_score(i)
         place = {v: k for k, v in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank = {p: place[v] for p, v in score.items()}
+        self.none = len(place)  # no piece: after all ranks
         self.decimal = list(map(str, range(n)))
         if any(MARK in p[1:] and p.strip(MARK) for p in self.said) or any("\n" in p for p in self.said):
             raise ValueError("pieces of this vocabulary cross word starts or line ends")
@@ -70,8 +73,9 @@ class Encoder:
         cuts = [f"(?<![{''.join(sorted(letters))}]){re.escape(c)}" for c, letters in before.items() if letters]
         if apart := "".join(re.escape(c) for c, letters in before.items() if not letters):
             cuts.append(f"[{apart}]")
-        word = f"{MARK}*+{LETTER}++(?={'|'.join([f'[{MARK}\\n]', *cuts])})"
-        self.split = re.compile(f"{word}|{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
+        # texts are cut with spaces for marks: most then take a byte a character, which is quicker to cut and to look up
+        word = f" *+{LETTER}++(?={'|'.join(['[ \\n]', *cuts])})"
+        self.split = re.compile(f"{word}| *[^ \\n]+| +|\\n")
         self.check, self.cache = check, Remembered(self.stretch_ids)
 
     def symbols(self, stretch: str) -> list[str]:
@@ -79,6 +83,8 @@ class Encoder:
 
         A pair's key is ``rank * n + place``. A key whose pair has been merged since names no pair of that rank any more.
         """
+        if len(stretch) <= SHORT:
+            return self.few_symbols(stretch)
         rank, s, n = self.rank.get, list(stretch), len(stretch)
         heap = [v * n + i for i, v in enumerate(map(rank, map(add, stretch, stretch[1:]))) if v is not None]
         if not heap:
@@ -101,17 +107,32 @@ class Encoder:
                 heappush(heap, v * n + k)
         return [x for x in s if x]
 
+    def few_symbols(self, stretch: str) -> list[str]:
+        """The same for short stretches, whose agenda is a list: its least rank is merged where it stands first."""
+        rank, none, s = self.rank.get, self.none, list(stretch)
+        agenda = [rank(x, none) for x in map(add, stretch, stretch[1:])]
+        while agenda and (r := min(agenda)) < none:
+            i = agenda.index(r)
+            joined = s[i] + s[i + 1]
+            s[i : i + 2] = [joined]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(s[i - 1] + joined, none)
+            if i < len(agenda):
+                agenda[i] = rank(joined + s[i + 1], none)
+        return s
+
     def stretch_ids(self, stretch: str) -> str:
-        """Decimal ids joined by commas."""
+        """Decimal ids joined by commas; spaces stand for marks."""
         said = self.said.get
-        return ",".join([said(x) or self.by_bytes(x) for x in self.symbols(stretch)])
+        return ",".join([said(x) or self.by_bytes(x) for x in self.symbols(stretch.replace(" ", MARK))])
 
     def by_bytes(self, symbol: str) -> str:
         return ",".join(str(self.byte0 + b) for b in symbol.encode("utf-8", "surrogatepass"))
 
     def joined(self, text: str) -> str:
         """Decimal ids of a text joined by commas."""
-        return ",".join(map(self.cache.__getitem__, self.split.findall(MARK + text.replace(" ", MARK)))) if text else ""
+        return ",".join(map(self.cache.__getitem__, self.split.findall(" " + text.replace(MARK, " ")))) if text else ""
 
     def checked(self, text: str | None) -> tuple[list[int], str]:
         """The ids of a whole text, compared with the library's, and the same in decimal, joined by commas."""

@@ -266,3 +266,10 @@ def test_extraction_of_awkward_pages(spark):
     got = extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((x.page_id or 0, x.n_chars) for x in got)[0] == (0, 0) and len(got) == 5 and max(x.n_chars for x in got) > 300_000
     assert all(x.n_chars == len(x.text) for x in got)
+
+
+def test_a_list_and_a_heap_as_agenda_merge_alike(monkeypatch):
+    enc, r = pieces.Encoder(model_path()), random.Random(3)
+    some = ["▁" + "".join(r.choice("etaoinshrdlu漢é.") for _ in range(r.randint(0, 60))) for _ in range(500)] + ["", "aaaa" * 11]
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert [enc.few_symbols(x) for x in some] == [enc.symbols(x) for x in some]
