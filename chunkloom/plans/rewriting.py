@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.operators import rewriting
-from chunkloom.plans.lifecycle import SESSIONS, refs
+from chunkloom.operators import chunking, rewriting
+from chunkloom.plans.dedup import BLOCK
+from chunkloom.plans.lifecycle import SESSIONS
 from chunkloom.plans.registry import query
 from chunkloom.sources.storage import stored
-from chunkloom.sources.tables import SPAN
+from chunkloom.sources.tables import SPAN, backups, files
 
 CAPACITY, SPARSE = 32 * 1024, 0.5
 #: A copy is (c, fp); ``ref``: the day uses it; ``again``: it is a rewrite. Each day looks at all copies of the day before.
@@ -22,8 +23,12 @@ r AS (SELECT k, fp, len, (k * 1048576 + (sum(len) OVER (ORDER BY pos) - len) //
   UNION ALL SELECT k, fp, len, (k * 1048576 + (sum(len) OVER (ORDER BY pos) - len) // {CAPACITY})::BIGINT, true, coalesce(again, false) FROM t WHERE c IS NULL OR again))"""
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refs(spark, sf_dir).select(F.col("day").alias("session"), "file_id", "seq", "fp", "len")
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of chunks of all backups; only contents that some backup has are cut."""
+    uses = stored(backups(spark, sf_dir).groupBy("doc_id", "day").agg(F.min("file_id").alias("file_id")), "uses")
+    used = files(spark, sf_dir).join(uses.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_semi")
+    chunks = chunking.fixed_chunks(used, BLOCK).select(F.col("file_id").alias("content"), "seq", "fp", "len")
+    return rewriting.runs(chunks, uses.select(F.col("day").alias("session"), "file_id", F.col("doc_id").alias("content")))
 
 
 @query(f"""{REPLAY}, u AS (SELECT k, c, sum(len) FILTER (ref) AS live, sum(len) AS used FROM r GROUP BY k, c),
@@ -35,10 +40,12 @@ SELECT day::BIGINT AS day, chunks, bytes, new_bytes, rewritten, rewritten_bytes,
 def rewriting_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's backup where it rewrites what lies in containers that the day before used to less than half: distinct chunks, bytes new and written
     again, containers a restore of the day reads, how many of them the next day inherits as sparse, and what it would read had nothing been rewritten."""
-    every = stored(sessions(spark, sf_dir), "refs")
-    placed = rewriting.rewritten(every, CAPACITY, SPARSE)
-    size = lambda c: F.coalesce(F.sum(F.when(c, F.col("len"))), F.lit(0))
-    days = placed.groupBy("session").agg(F.count("*").alias("chunks"), F.sum("len").alias("bytes"), size(F.col("written") & ~F.col("again")).alias("new_bytes"), F.count_if("again").alias("rewritten"), size(F.col("again")).alias("rewritten_bytes"))
-    use = rewriting.use(placed).groupBy("session").agg(F.count("*").alias("containers"), F.count_if(F.col("live") < F.col("used") * SPARSE).alias("sparse"))
-    plain = rewriting.unmoved(every, CAPACITY).select(F.col("session").cast("long").alias("session"), "home", "container").distinct().groupBy("session").agg(F.count("*").alias("unmoved_containers"))
-    return days.join(use, "session").join(plain, "session").withColumnRenamed("session", "day")
+    found = runs(spark, sf_dir)
+    done = rewriting.replayed(found, CAPACITY, SPARSE)
+    if done is None:
+        return spark.createDataFrame([], "day long, chunks long, bytes long, new_bytes long, rewritten long, rewritten_bytes long, containers long, sparse long, unmoved_containers long")
+    sparse = F.count_if(F.col("live") < F.col("used") * SPARSE).alias("sparse")
+    sums = {"chunks": "chunks", "live": "bytes", "fresh": "new_bytes", "rewritten": "rewritten", "rewritten_bytes": "rewritten_bytes"}
+    days = rewriting.use(done[1]).groupBy("session").agg(*(F.sum(c).alias(name) for c, name in sums.items()), F.count("*").alias("containers"), sparse)
+    plain = rewriting.unmoved_runs(found, CAPACITY).select(F.explode("uses.session").alias("session"), "home", "container").distinct().groupBy("session").agg(F.count("*").alias("unmoved_containers"))
+    return days.join(plain, "session").withColumn("session", F.col("session").cast("long")).withColumnRenamed("session", "day")

@@ -60,3 +60,28 @@ def test_without_rewriting_a_chunk_stays_where_it_was_put(spark):
 def test_no_sessions(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert rewriting.rewritten(none, 100).count() == rewriting.unmoved(none, 100).count() == 0
+
+
+def test_runs_move_together_and_are_cut_where_containers_end(spark, monkeypatch):
+    """Contents with chunks of their own and shared ones, backed up by several files: few rows a session, the same as the replay by chunks."""
+    monkeypatch.setattr(rewriting, "RUN", 8)
+    monkeypatch.setattr(rewriting, "RANGE", 5)
+    r = random.Random(6)
+    size = {f"{c}-{k}": r.randint(1, 40) for c in range(12) for k in range(20)} | {f"s{k}": r.randint(1, 250) for k in range(9)}
+    contents = {c: [f"{c}-{k}" for k in range(10)] + [f"s{k}" for k in range(c % 3 * 3, c % 3 * 3 + 3)] + [f"{c}-{k}" for k in range(10, 20)] + [f"{c}-3"] for c in range(12)}
+    contents[11] = contents[2]
+    chunks = [(c, k, x, size[x]) for c, names in contents.items() for k, x in enumerate(names)] + [(99, 0, "unused", 7)]
+    uses = [(s, f, (f + s // 3) % 12) for s in (-2, 0, 1, 3, 4, 7, 8) for f in r.sample(range(30), 9)]
+    rows = [(s, f, k, x, n) for s, f, c in uses for d, k, x, n in chunks if d == c]
+    want = replay(rows, 100, 0.7)
+    assert sum(x[3] for x in want.values()) > 5
+    found = rewriting.runs(spark.createDataFrame(chunks, "content long, seq int, fp string, len long"), spark.createDataFrame(uses, "session int, file_id long, content long"), members=True)
+    moves, places = rewriting.replayed(found, 100, 0.7)
+    got = rewriting._by_chunk(moves, found, *rewriting.HOME, "written", "again").collect()
+    assert {(x.session, x.fp): (x.home, x.container, x.written, x.again) for x in got} == want and len(got) == len(want)
+    assert all(x.len == size[x.fp] for x in got)
+    assert found.count() * 3 < len({x[3] for x in rows}) and moves.count() * 2 < len(want)
+    live = defaultdict(int)
+    for (s, x), (home, c, *_) in want.items():
+        live[s, home, c] += size[x]
+    assert {(x.session, x.home, x.container): x.live for x in places.collect()} == live
